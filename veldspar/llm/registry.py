@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup
+from . import minhash_join, quality_rules, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_quality_rules": quality_rules.op5_quality_rules,
         "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+        "op8_jaccard_join": minhash_join.op8_jaccard_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_quality_rules": quality_rules.SQL,
         "op7_substring_dedup": substring_dedup.SQL,
+        "op8_jaccard_join": minhash_join.SQL,
     }
