@@ -6,7 +6,8 @@ into maximal removal intervals.
    packed arrays, to the partition that owns the hash. A window that a third of all documents hold costs one
    entry a chunk, not one a document.
 2. The owner of a hash keeps its smallest document and names the hash to all others.
-3. The documents meet their hashes by id, hash their windows again and cut the union of the repeated ones.
+3. The documents meet their hashes by bundles of ids, hash their windows again and cut the union of the
+   repeated ones.
 
 Hashes have 64 bits, over 64-bit hashes of the words, besides those bits that choose the partition.
 """
@@ -30,15 +31,12 @@ CHUNK_WORDS, PARTITION_WINDOWS = 1_000_000, 3_000_000
 OUTPUTS = ("n_words", "n_removed", "kept_text", "removed_spans")
 
 
-def _runs(flags: np.ndarray, n: int, size: int) -> list[tuple[int, int]]:
-    """Maximal intervals [start, end) of words under flagged windows."""
-    starts = np.flatnonzero(flags)
-    if not len(starts):
+def _runs(covered: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal intervals [start, end) of covered words."""
+    if not covered.any():
         return []
-    cut = np.flatnonzero(np.diff(starts) > n)
-    first = starts[np.concatenate(([0], cut + 1))]
-    last = starts[np.concatenate((cut, [len(starts) - 1]))] + n
-    return list(zip(first.tolist(), np.minimum(last, size).tolist(), strict=True))
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], covered, [False])).astype(np.int8)))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
 def _counter(n: int, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -106,19 +104,24 @@ def _counter(n: int, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return run
 
 
-def _owner() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """One partition of hashes: names to each document the hashes that a smaller document holds."""
-    schema = pa.schema([("id", pa.int64()), ("items", pa.binary()), ("settled", pa.bool_())])
+def _owner(bundles: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One partition of hashes: names to each document the hashes that a smaller document holds. Documents are
+    addressed in bundles, so that a document costs no row for each partition that has found something."""
+    schema = pa.schema([("__bundle", pa.int64()), ("__ids", pa.binary()), ("__counts", pa.binary()), ("__items", pa.binary()), ("__settled", pa.bool_())])
 
     def rows(ids: np.ndarray, items: np.ndarray, settled: bool) -> Iterator[pa.RecordBatch]:
         if not len(ids):
             return
-        edges = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1], [True])))
-        for at in range(0, len(edges) - 1, 20_000):
-            cut = edges[at : at + 20_001]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[cut[:-1]]), pa.array([items[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array([settled] * (len(cut) - 1))], schema=schema
-            )
+        order = np.lexsort((ids, ids % bundles))
+        ids, items = ids[order], items[order]
+        bundle = ids % bundles
+        edges = np.flatnonzero(np.concatenate(([True], bundle[1:] != bundle[:-1], [True])))
+        columns: list[list] = [[], [], [], [], []]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            own, counts = np.unique(ids[a:b], return_counts=True)
+            for column, value in zip(columns, (int(bundle[a]), own.tobytes(), counts.astype(np.int32).tobytes(), items[a:b].tobytes(), settled), strict=True):
+                column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         all_ids, all_hashes = [], []
@@ -139,13 +142,34 @@ def _owner() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         new = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
         least = np.repeat(np.minimum.reduceat(ids, new), np.diff(np.append(new, len(ids))))
         later = np.flatnonzero(ids > least)
-        ids, hashes = ids[later], hashes[later]
-        order = np.argsort(ids, kind="stable")
-        yield from rows(ids[order], hashes[order], False)
+        yield from rows(ids[later], hashes[later], False)
 
     return run
 
 
+class _Named:
+    """What the owners have named to the documents of one partition."""
+
+    def __init__(self, kind: type, width: int):
+        self.kind, self.width, self.ids, self.items = kind, width, [], []
+
+    def add(self, ids: bytes, counts: bytes, items: bytes) -> None:
+        self.ids.append(np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(counts, np.int32)))
+        self.items.append(np.frombuffer(items, self.kind).reshape(-1, self.width))
+
+    def close(self) -> None:
+        ids = np.concatenate([np.empty(0, np.int64), *self.ids])
+        items = np.concatenate([np.empty((0, self.width), self.kind), *self.items])
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.items = ids[order], items[order]
+
+    def of(self, doc: int | None) -> np.ndarray:
+        if doc is None:
+            return self.items[:0]
+        a, b = np.searchsorted(self.ids, [doc, doc + 1])
+        return self.items[a:b]
+
+
 def _cutter(n: int, id_at: str, text_at: str, names: list[str], schema: pa.Schema, lines: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     import re
 
@@ -161,24 +185,35 @@ def _cutter(n: int, id_at: str, text_at: str, names: list[str], schema: pa.Schem
         return b"".join(out).decode("utf-8", "surrogatepass").strip(" \t\n\r\v\f")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, rolling = C.WordHashes(), C.Rolling(n)
+        words, rolling, named, settled = C.WordHashes(), C.Rolling(n), _Named(np.uint64, 1), _Named(np.int32, 2)
+        closed = False
         for batch in batches:
+            at = lambda name, batch=batch: batch.column(batch.schema.get_field_index(name))
+            first = batch.num_rows - int(np.count_nonzero(np.asarray(at("__document"))))  # what is named comes before the documents
+            for k in range(first):
+                (settled if at("__settled")[k].as_py() else named).add(*(at(x)[k].as_py() for x in ("__ids", "__counts", "__items")))
+            batch = batch.slice(first)
+            if not batch.num_rows:
+                continue
+            if not closed:
+                named.close()
+                settled.close()
+                closed = True
             n_words, n_removed, kept, spans = [], [], [], []
-            for text, hashes, settled in zip(*(batch.column(batch.schema.get_field_index(x)) for x in (text_at, "__hashes", "__settled")), strict=True):
+            for doc, text in zip(at(id_at).slice(first).cast(pa.int64()).to_pylist(), at(text_at).slice(first), strict=True):
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 found = raw.split()
-                gone = np.zeros(len(found) + 1, np.int64)
-                if hashes.is_valid and len(found) >= n:
-                    if packed := b"".join(hashes.as_py()):
-                        own = rolling(words.array(found))
-                        starts = np.flatnonzero(np.isin(own, np.frombuffer(packed, np.uint64)))
-                        gone[starts] += 1
-                        gone[starts + n] -= 1
-                    # settled windows are intervals of words; they add to the same count of covers
-                    pairs = np.frombuffer(b"".join(settled.as_py()), np.int32).reshape(-1, 2)
-                    np.add.at(gone, pairs[:, 0], 1)
-                    np.add.at(gone, pairs[:, 1], -1)
-                covered = np.cumsum(gone)[:-1] > 0
+                cover = np.zeros(len(found) + 1, np.int64)
+                if len(found) >= n:
+                    if len(own := named.of(doc)):
+                        starts = np.flatnonzero(np.isin(rolling(words.array(found)), own))
+                        cover[starts] += 1
+                        cover[starts + n] -= 1
+                    pairs = settled.of(doc)
+                    pairs = pairs[pairs[:, 1] <= len(found)]
+                    np.add.at(cover, pairs[:, 0], 1)
+                    np.add.at(cover, pairs[:, 1], -1)
+                covered = np.cumsum(cover)[:-1] > 0
                 n_words.append(len(found))
                 n_removed.append(int(covered.sum()))
                 if not n_removed[-1]:
@@ -187,14 +222,20 @@ def _cutter(n: int, id_at: str, text_at: str, names: list[str], schema: pa.Schem
                     kept.append(cut_lines(raw, covered))
                 else:
                     kept.append(b" ".join([w for w, x in zip(found, covered.tolist(), strict=True) if not x]).decode("utf-8", "surrogatepass"))
-                spans.append([{"start": a, "end": b} for a, b in _runs(covered, 1, len(found))])
-            own = [batch.column(batch.schema.get_field_index(x)) for x in names]
+                spans.append([{"start": a, "end": b} for a, b in _runs(covered)])
+            own = [at(x).slice(first) for x in names]
             made = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, schema.field("removed_spans").type)]
             yield pa.RecordBatch.from_arrays([*own, *made], names=schema.names)
 
     return run
 
 
+def _prime(least: int) -> int:
+    while any(least % k == 0 for k in range(2, int(least**0.5) + 1)):
+        least += 1
+    return least
+
+
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_white_space: bool = False) -> DataFrame:
     """The rows of df with n_words, n_removed, kept_text and removed_spans (intervals of words, end exclusive).
 
@@ -205,16 +246,18 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     is removed because of it. Rows with one id are one document and don't remove each other's equal starts.
     Input columns named like an output are replaced.
     """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     df = C.without(df, OUTPUTS)
     slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     chars = slim.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = C.partitions_for(df, chars / 6, PARTITION_WINDOWS)
+    bundles = _prime(max(17, 8 * parts))
     counted = slim.mapInArrow(_counter(window, parts), "part int, ids binary, counts binary, items binary, settled boolean")
-    named = counted.repartition(parts, "part").mapInArrow(_owner(), "id long, items binary, settled boolean")
-    named = named.groupBy(F.col("id").alias("__id")).agg(
-        F.collect_list(F.when(~F.col("settled"), F.col("items"))).alias("__hashes"), F.collect_list(F.when(F.col("settled"), F.col("items"))).alias("__settled")
-    )
-    joined = df.join(named, F.col(f"`{id_col}`").cast("long") == F.col("__id"), "left").drop("__id")
+    named = counted.repartition(parts, "part").mapInArrow(_owner(bundles), "__bundle long, __ids binary, __counts binary, __items binary, __settled boolean")
+    docs = df.withColumn("__bundle", F.coalesce(F.pmod(F.col(f"`{id_col}`").cast("long"), F.lit(bundles)), F.lit(0)).cast("long")).withColumn("__document", F.lit(True))
+    both = named.withColumn("__document", F.lit(False)).unionByName(docs, allowMissingColumns=True)
+    both = both.repartition(parts, "__bundle").sortWithinPartitions("__document")
     added = [
         C.field("n_words", T.LongType()),
         C.field("n_removed", T.LongType()),
@@ -222,9 +265,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         C.field("removed_spans", T.ArrayType(T.StructType([C.field("start", T.IntegerType()), C.field("end", T.IntegerType())]))),
     ]
     out = T.StructType([*df.schema.fields, *added])
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return joined.mapInArrow(_cutter(window, id_col, text_col, df.columns, to_arrow_schema(out), keep_white_space), out)
+    return both.mapInArrow(_cutter(window, id_col, text_col, df.columns, to_arrow_schema(out), keep_white_space), out)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
