@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, line_crf, minhash_join, packing, pii, quality_rules, substring_dedup
+from . import bpe, cross_polytope, licenses, line_crf, minhash_join, packing, pii, quality_rules, substring_dedup
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe": bpe.op3_bpe,
         "op4_pii": pii.op4_pii,
         "op5_quality_rules": quality_rules.op5_quality_rules,
+        "op6_cross_polytope": cross_polytope.op6_cross_polytope,
         "op7_substring_dedup": substring_dedup.op7_substring_dedup,
         "op8_jaccard_join": minhash_join.op8_jaccard_join,
         "op9_packing": packing.op9_packing,
@@ -34,6 +35,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_pii": pii.SQL,
         "op5_quality_rules": quality_rules.SQL,
+        "op6_cross_polytope": cross_polytope.SQL,
         "op7_substring_dedup": substring_dedup.SQL,
         "op8_jaccard_join": minhash_join.SQL,
         "op10_licenses": licenses.SQL,
