@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cross_polytope, licenses, line_crf, minhash_join, packing, pii, quality_rules, substring_dedup
+from . import bpe, cross_polytope, html_extract, licenses, line_crf, minhash_join, packing, pii, quality_rules, substring_dedup
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extract": html_extract.op1_html_extract,
         "op2_line_crf": line_crf.op2_line_crf,
         "op3_bpe": bpe.op3_bpe,
         "op4_pii": pii.op4_pii,
