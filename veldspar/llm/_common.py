@@ -74,7 +74,7 @@ def powers(base: int, n: int) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words; the cache empties itself when full, so its memory has a bound."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 

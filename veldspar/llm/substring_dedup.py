@@ -1,7 +1,7 @@
 """Substring dedup: Rabin-Karp hashes of every window of n words, counted in Spark; repeated windows merge
 into maximal removal intervals.
 
-1. Every task reads documents in chunks of about a million words and hashes all windows at once. Windows
+1. Every task reads documents in chunks of about half a million words and hashes all windows at once. Windows
    that repeat inside the chunk are settled there; of each window hash, the chunk's first start goes on, as
    packed arrays, to the partition that owns the hash. A window that a third of all documents hold costs one
    entry a chunk, not one a document.
@@ -27,7 +27,7 @@ from . import _common as C
 
 WINDOW = 20
 #: Words that a task holds at once, and windows that one partition of the count holds.
-CHUNK_WORDS, PARTITION_WINDOWS = 1_000_000, 3_000_000
+CHUNK_WORDS, PARTITION_WINDOWS = 500_000, 1_500_000
 OUTPUTS = ("n_words", "n_removed", "kept_text", "removed_spans")
 
 
@@ -135,13 +135,14 @@ def _owner(bundles: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                     all_hashes.append(np.frombuffer(items, np.uint64))
         if not all_ids:
             return
-        ids, hashes = np.concatenate(all_ids), np.concatenate(all_hashes)
-        all_ids, all_hashes = [], []
+        hashes = np.concatenate(all_hashes)
+        all_hashes.clear()
         order = np.argsort(hashes, kind="stable")
-        ids, hashes = ids[order], hashes[order]
+        hashes, ids = hashes[order], np.concatenate(all_ids)[order]
+        all_ids.clear()
+        del order
         new = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
-        least = np.repeat(np.minimum.reduceat(ids, new), np.diff(np.append(new, len(ids))))
-        later = np.flatnonzero(ids > least)
+        later = np.flatnonzero(ids > np.repeat(np.minimum.reduceat(ids, new), np.diff(np.append(new, len(ids)))))
         yield from rows(ids[later], hashes[later], False)
 
     return run
@@ -187,7 +188,7 @@ def _cutter(n: int, id_at: str, text_at: str, names: list[str], schema: pa.Schem
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, rolling, named, settled = C.WordHashes(), C.Rolling(n), _Named(np.uint64, 1), _Named(np.int32, 2)
         closed = False
-        for batch in batches:
+        for batch in (whole.slice(k, 1000) for whole in batches for k in range(0, whole.num_rows, 1000)):
             at = lambda name, batch=batch: batch.column(batch.schema.get_field_index(name))
             first = batch.num_rows - int(np.count_nonzero(np.asarray(at("__document"))))  # what is named comes before the documents
             for k in range(first):
