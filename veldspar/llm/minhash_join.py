@@ -21,7 +21,7 @@ from . import _common as C
 
 N_GRAM, THRESHOLD, RECALL, MAX_PERMUTATIONS = 5, 0.8, 0.9999, 128
 #: Documents and characters of one block.
-BLOCK_DOCS, BLOCK_CHARS = 1024, 6_000_000
+BLOCK_DOCS, BLOCK_CHARS = 256, 6_000_000
 OUTPUTS = ("class_id", "n_links", "component_id", "kept")
 
 
