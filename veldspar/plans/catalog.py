@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 FLAGSHIP = "agg_group"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-_MODULES: tuple[str, ...] = ("q_records", "q_tools", "q_graph")
+_MODULES: tuple[str, ...] = ("q_records", "q_tools", "q_graph", "q_sparql", "q_sources")
 
 
 def query(sql: str | None = None):

@@ -195,11 +195,12 @@ class _Compiler:
             return rows.where(self.value(p[2], rows).truth), bound
         if kind == "bind":
             rows, bound = self.pattern(p[1])
-            return rows.withColumn(p[2], self.value(p[3], rows).text), bound | {p[2]}
+            typed = self.typed(rows, [p[3]])
+            return typed.withColumn(p[2], self.value(p[3], typed).text).drop(*[c for c in typed.columns if c.startswith("__v_")]), bound | {p[2]}
         (left, lb), (right, rb) = self.pattern(p[1]), self.pattern(p[2])
-        if kind != "minus" and "__unit" in left.columns and kind in ("join",):
+        if kind == "join" and p[1] == ("bgp", ()):
             return right, rb
-        if kind != "union" and "__unit" in right.columns and len(right.columns) == 1:
+        if kind in ("join", "optional") and p[2] == ("bgp", ()):
             return left, lb
         if kind == "join":
             return self.merged(left, right, lb, rb, "inner"), lb | rb
@@ -226,11 +227,22 @@ class _Compiler:
 
     # -- expressions
 
+    def typed(self, rows: DataFrame, expressions: list) -> DataFrame:
+        """Rows with a struct for the typed value of each variable of the expressions, so that it is worked out once."""
+        names = [n for n in dict.fromkeys(_variables(expressions)) if n in rows.columns]
+        parts = {}
+        for n in names:
+            v = stored_value(F.col(n))
+            parts[f"__v_{n}"] = F.struct(v.tag.alias("tag"), v.text.alias("text"), v.whole.alias("whole"), v.number.alias("number"))
+        return rows.withColumns(parts) if parts else rows
+
     def value(self, e: tuple, rows: DataFrame, computed: dict[str, Value] | None = None) -> Value:
         kind = e[0]
         if kind == "var":
             if computed and e[1] in computed:
                 return computed[e[1]]
+            if f"__v_{e[1]}" in rows.columns:
+                return Value(*[F.col(f"__v_{e[1]}.{x}") for x in ("tag", "text", "whole", "number")])
             return stored_value(F.col(e[1])) if e[1] in rows.columns else Value(F.lit("u"), F.lit(""), *_nulls())
         if kind in ("iri", "name"):
             return text_value(F.lit(self.constant(e)))
@@ -282,6 +294,7 @@ class _Compiler:
     def grouped(self, rows: DataFrame, keys: list) -> DataFrame:
         q = self.query
         variables = [c for c in rows.columns if c != "__unit"]
+        rows = self.typed(rows, [*keys, *([e for e, _ in q.projection] if isinstance(q.projection, list) and not isinstance(q.projection[0], str) else []), q.having])
         texts = [self.value(k, rows).text.alias(f"__k{n}") for n, k in enumerate(keys)]
         first = F.min(F.struct(*[F.col(c) for c in variables])).alias("__first") if variables else F.min(F.lit(1)).alias("__first")
         if not isinstance(q.projection, list) or isinstance(q.projection[0], str):
@@ -393,6 +406,12 @@ def _filters_last(p: tuple) -> tuple:
     return inner if filters and inner[0] == "filter" else p
 
 
+def _variables(e) -> list[str]:
+    if isinstance(e, tuple) and len(e) == 2 and e[0] in ("var", "BOUND") and isinstance(e[1], str):
+        return [e[1]]
+    return [n for x in e for n in _variables(x)] if isinstance(e, (tuple, list)) else []
+
+
 def _aggregates(expressions: list) -> list[tuple]:
     out: list[tuple] = []
 
