@@ -33,6 +33,7 @@ _RAW = frozenset("script style noscript template textarea svg title iframe xmp n
 _GONE = _RAW | frozenset("head nav header footer aside form button select option datalist object canvas dialog menu audio video map".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
 _PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption summary caption".split())
+_TRANSPARENT = frozenset("ul ol dl table thead tbody tfoot tr li dt dd p h1 h2 h3 h4 h5 h6 figure picture".split()) | _INLINE
 _CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: A start tag closes an open element of these, up to a border.
 _SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"})}
@@ -58,7 +59,8 @@ class Page:
     blocks: list[tuple[int, str, int]] = field(default_factory=list)  # element, text, characters in links
 
     def scores(self) -> dict[int, float]:
-        """Text beyond links that each container holds: in full if directly, and less the deeper it lies."""
+        """Text beyond links that each container holds: in full if directly, and a tenth less for each container
+        between. Lists, tables and their rows aren't containers."""
         out: dict[int, float] = {}
         for at, text, linked in self.blocks:
             worth = len(text) - 2 * linked
@@ -68,8 +70,10 @@ class Page:
                 at = self.parents[at]
             share = 1.0
             while at >= 0 and share > 0.05:
-                out[at] = out.get(at, 0.0) + worth * share * (1.3 if self.tags[at] in ("article", "main") else 1.0)
-                at, share = self.parents[at], share * 0.5
+                if self.tags[at] not in _TRANSPARENT:
+                    out[at] = out.get(at, 0.0) + worth * share * (1.3 if self.tags[at] in ("article", "main") else 1.0)
+                    share *= 0.9
+                at = self.parents[at]
         return out
 
     def inside(self, roots: set[int]) -> list[str]:
