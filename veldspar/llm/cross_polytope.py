@@ -206,7 +206,8 @@ def embedding_links(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     known = classes.select("digest", "id", "copies").join(counts, "id", "left").join(groups, "id", "left")
     known = known.select("digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     # the second key makes Spark deal both sides anew, so that it can split a vector with very many copies
-    out = read.select("id", "digest", F.xxhash64("digest").alias("key")).join(known.withColumn("key", F.xxhash64("digest")), ["key", "digest"], "left")
+    found = F.when(F.col("id").isNotNull(), F.col("digest"))
+    out = read.select("id", found.alias("digest"), F.xxhash64(found).alias("key")).join(known.withColumn("key", F.xxhash64("digest")), ["key", "digest"], "left")
     out = out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(f"`{id_col}`") == F.col("component_id"), F.lit(True)))
 

@@ -214,7 +214,8 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = known.select("digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "class_id").alias("component_id"))
     # the second key makes Spark deal both sides anew, so that it can split a class with very many copies
     keyed = known.withColumn("key", F.xxhash64("digest"))
-    out = signed.select("id", "digest", F.xxhash64("digest").alias("key")).join(keyed, ["key", "digest"], "left")
+    found = F.when(F.col("id").isNotNull(), F.col("digest"))
+    out = signed.select("id", found.alias("digest"), F.xxhash64(found).alias("key")).join(keyed, ["key", "digest"], "left")
     out = out.select(
         F.col("id").alias(id_col),
         F.coalesce("class_id", "id").alias("class_id"),
