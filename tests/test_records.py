@@ -127,3 +127,15 @@ def test_display_and_tree(spark):
     assert tuple(one) == ("1.5K", "2.0M", "12", "0.13", "41 42", "2.0 KB")
     assert R.storage_kind("x/Y.SQLITE") == "sqlite" and R.storage_kind("x") == "cluster"
     assert not math.isnan(1.0)
+
+
+def test_number_comparisons_reach_the_scan(spark, tmp_path):
+    spark.createDataFrame([(1, 1.5), (2, None), (None, float("nan"))], "k int, v double").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    plan = filter_records(df, Group((Condition("v", ">=", 1), Condition("k", "<", "5"))))._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(v,1.0)" in plan and "LessThan(k,5)" in plan
+    want = {"=": [None], "!=": [1, 2], ">": [], ">=": [None], "<": [1, 2], "<=": [1, 2, None]}
+    for operator, ids in want.items():
+        got = [r["k"] for r in filter_records(df, Group((Condition("v", operator, 2.0),))).collect()]
+        assert sorted(got, key=str) == sorted(ids, key=str), operator
+        assert filter_records(df, Group((Group((Condition("v", operator, 2.0),)), Condition("k", "=", 99)), any_of=True)).count() == len(ids)

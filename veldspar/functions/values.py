@@ -56,6 +56,14 @@ def resolve(df: DataFrame, path: str) -> Field:
     return Field(column, kind_of(schema))
 
 
+def data_type(df: DataFrame, path: str) -> T.DataType | None:
+    """The type at a dotted path through structs."""
+    kind: T.DataType | None = df.schema
+    for step in path.split("."):
+        kind = next((f.dataType for f in kind.fields if f.name == step), None) if isinstance(kind, T.StructType) else None
+    return kind
+
+
 def number_of_text(text: Column) -> Column:
     return F.when(text.rlike(NUMBER), text.try_cast("double"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldspar.functions import values as V
+from veldspar.operators.ranks import placed
 
 FUNCTIONS = ("count", "sum", "avg", "min", "max", "percentile")
 NO_GROUP = "(null)"
@@ -68,15 +69,9 @@ def aggregate(df: DataFrame, query: Aggregation) -> DataFrame:
 
 
 def _at_index(rows: DataFrame, p: float) -> DataFrame:
-    """The value at index floor((n - 1) * p) of each group, from counts of distinct values in order."""
-    from pyspark.sql.window import Window
-
-    counts = rows.where("x is not null").groupBy("group_key", "x").agg(F.count("*").alias("n"))
-    upto = Window.partitionBy("group_key").orderBy("x")
-    total = Window.partitionBy("group_key")
-    ranked = counts.select("group_key", "x", F.sum("n").over(upto).alias("upto"), F.sum("n").over(total).alias("total"))
+    """The value at index floor((n - 1) * p) of each group's sorted values."""
     at = F.floor((F.col("total") - 1) * F.lit(p))
-    return ranked.where(F.col("upto") > at).groupBy("group_key").agg(F.min("x").alias("value"))
+    return placed(rows, "x", ["group_key"]).where(F.col("upto") > at).groupBy("group_key").agg(F.min("x").alias("value"))
 
 
 def dashboard(df: DataFrame) -> list[Aggregation]:

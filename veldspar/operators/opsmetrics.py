@@ -8,22 +8,16 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from veldspar.operators.ranks import placed
 
 SLOW_KEPT, RATE_SECONDS = 100, 60
 
 
 def at_quantiles(df: DataFrame, value_col: str, quantiles: list[float]) -> DataFrame:
-    """One row of p<q>: the value at index min(floor(n * q), n - 1) of the sorted values, from counts of distinct
-    values summed over ranges, so that no task holds all values."""
-    counts = df.where(F.col(value_col).isNotNull()).groupBy(F.col(value_col).alias("x")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    ranged = counts.repartitionByRange("x").withColumn("part", F.spark_partition_id())
-    below = ranged.groupBy("part").agg(F.sum("n").alias("own")).select("part", F.coalesce(F.sum("own").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("below"))
-    upto = F.sum("n").over(Window.partitionBy("part").orderBy("x"))
-    placed = ranged.withColumn("upto", upto).join(F.broadcast(below), "part").withColumn("upto", F.col("upto") + F.col("below")).crossJoin(F.broadcast(total))
+    """One row of p<q>: the value at index min(floor(n * q), n - 1) of the sorted values."""
     index = lambda q: F.least(F.floor(F.col("total") * F.lit(q)), F.col("total") - 1)
-    return placed.agg(*[F.min(F.when(F.col("upto") > index(q), F.col("x"))).alias(f"p{round(q * 100)}") for q in quantiles])
+    return placed(df, value_col).agg(*[F.min(F.when(F.col("upto") > index(q), F.col("x"))).alias(f"p{round(q * 100)}") for q in quantiles])
 
 
 def summary(df: DataFrame, ts_col: str, seconds_col: str, failed_col: str, window_seconds: int = RATE_SECONDS) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veldspar.functions import values as V
 
@@ -49,6 +50,36 @@ def parsed_value(kind: str, text: str) -> str | float | bool | None:
     return text
 
 
+def _plain(df: DataFrame, c: Condition, found: V.Field) -> Column | None:
+    """Comparisons of a number with a number, and with null, in a form that scans can push down; None for others.
+
+    A missing field comes before every value; NaN is equal to every number."""
+    column = found.column
+    if c.value is None:
+        return {"=": column.isNull(), "!=": column.isNotNull(), ">": column.isNotNull(), ">=": F.lit(True), "<": F.lit(False), "<=": column.isNull()}[c.operator] if found.kind != "variant" else None
+    if found.kind != "number" or isinstance(c.value, bool):
+        return None
+    value = V._number_of(c.value) if isinstance(c.value, str) else float(c.value)
+    if value is None:
+        return None
+    kind = V.data_type(df, c.path)
+    fraction = isinstance(kind, (T.FloatType, T.DoubleType))
+    if not fraction and value == int(value) and abs(value) < 2**31:
+        left, right = column, F.lit(int(value))
+    else:
+        left, right = column.cast("double"), F.lit(value)
+    nan = F.isnan(column) if fraction else F.lit(False)
+    missing = column.isNull()
+    return {
+        "=": (left == right) | nan,
+        "!=": missing | ((left != right) & ~nan),
+        ">": (left > right) & ~nan,
+        ">=": left >= right,
+        "<": missing | (left < right),
+        "<=": missing | (left <= right) | nan,
+    }[c.operator]
+
+
 def _condition(df: DataFrame, c: Condition) -> Column:
     found = V.resolve(df, c.path)
     if c.operator in ("is null", "is not null"):
@@ -59,6 +90,9 @@ def _condition(df: DataFrame, c: Condition) -> Column:
             return F.lit(False)
         test = {"contains": F.contains, "starts with": F.startswith, "ends with": F.endswith}[c.operator]
         return F.coalesce(test(F.lower(V.text_of(found)), F.lit(c.value.lower())), F.lit(False))
+    plain = _plain(df, c, found)
+    if plain is not None:
+        return plain
     order = V.compare(found, c.value)
     return {"=": order == 0, "!=": order != 0, ">": order > 0, ">=": order >= 0, "<": order < 0, "<=": order <= 0}[c.operator]
 

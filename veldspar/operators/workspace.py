@@ -6,10 +6,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from veldspar.operators.analytics import Aggregation, aggregate
 from veldspar.operators.graph import Facet
+from veldspar.operators.ranks import placed
 from veldspar.sources.readers import tables
 
 #: Index kinds, the structures they have and the states an index is in.
@@ -88,8 +88,7 @@ def pick_fields(profile: DataFrame, text: str = "") -> DataFrame:
 
 
 def robust_bounds(df: DataFrame, value_cols: list[str], trim: float = 0.025, least: int = 50) -> DataFrame:
-    """One row of low_<c> and high_<c>: without the outer 2.5 % on each side where there are 50 rows or more, by
-    counts of distinct values."""
+    """One row of low_<c> and high_<c>: without the outer 2.5 % on each side where there are 50 rows or more."""
     n = df.count()
     out = None
     for c in value_cols:
@@ -97,10 +96,8 @@ def robust_bounds(df: DataFrame, value_cols: list[str], trim: float = 0.025, lea
             one = df.agg(F.min(c).alias(f"low_{c}"), F.max(c).alias(f"high_{c}"))
         else:
             lo, hi = int(n * trim), n - 1 - int(n * trim)
-            counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n")).repartitionByRange(c).withColumn("part", F.spark_partition_id())
-            below = counts.groupBy("part").agg(F.sum("n").alias("own")).select("part", F.coalesce(F.sum("own").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("below"))
-            upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("part").orderBy(c))).join(F.broadcast(below), "part").withColumn("upto", F.col("upto") + F.col("below"))
-            one = upto.agg(F.min(F.when(F.col("upto") > lo, F.col(c))).alias(f"low_{c}"), F.min(F.when(F.col("upto") > hi, F.col(c))).alias(f"high_{c}"))
+            ranked = placed(df, c)
+            one = ranked.agg(F.min(F.when(F.col("upto") > lo, F.col("x"))).alias(f"low_{c}"), F.min(F.when(F.col("upto") > hi, F.col("x"))).alias(f"high_{c}"))
         out = one if out is None else out.crossJoin(one)  # one row each
     return out
 
