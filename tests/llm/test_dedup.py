@@ -171,4 +171,5 @@ def test_embedding_blocks_find_the_same(spark, monkeypatch):
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
     whole = sorted(map(tuple, X.embedding_links(df).collect()))
     monkeypatch.setattr(X, "BLOCK", 3)
+    monkeypatch.setattr(X, "LINK_BLOCK", 4)
     assert sorted(map(tuple, X.embedding_links(df).collect())) == whole and whole[0][1] == 9
