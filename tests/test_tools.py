@@ -14,14 +14,14 @@ from veldspar.streaming import ops as ST
 
 
 def test_bm25_by_formula(spark):
-    docs = [(1, "Swift swift language", "a"), (2, "rust language", None), (3, "", "swift")]
+    docs = [(1, "Spark spark language", "a"), (2, "rust language", None), (3, "", "spark")]
     df = spark.createDataFrame(docs, "id int, title string, body string")
-    got = {r["id"]: r["score"] for r in S.score(df, "id", ["title", "body"], "Swift swift x").collect()}
+    got = {r["id"]: r["score"] for r in S.score(df, "id", ["title", "body"], "Spark spark x").collect()}
     idf = math.log((3 - 1 + 0.5) / (1 + 0.5) + 1)
     title = idf * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 3 / (5 / 3)))
     body = idf * 2.2 / (1 + 1.2 * (0.25 + 0.75 * 1 / (1 / 3)))
     assert got == {1: pytest.approx(2 * title), 3: pytest.approx(2 * body)}
-    assert [r["id"] for r in S.score(df, "id", ["title", "body"], "language swift", "all").collect()] == [1]
+    assert [r["id"] for r in S.score(df, "id", ["title", "body"], "language spark", "all").collect()] == [1]
     assert [r["id"] for r in S.score(df, "id", ["title", "body"], "rust lang", "phrase").collect()] == [2]
     assert S.score(df, "id", ["title", "body"], "a !").collect() == []
 
