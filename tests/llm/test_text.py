@@ -4,7 +4,6 @@ import re
 import string
 
 import numpy as np
-import pytest
 
 from veldspar.llm import bpe as B
 from veldspar.llm import html_extract as H

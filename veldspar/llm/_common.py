@@ -7,7 +7,6 @@ import tempfile
 from collections.abc import Iterable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,10 +106,6 @@ class Rolling:
         return mix((prefix[self.n :] - prefix[: -self.n]) * self.down[: size - self.n + 1])
 
 
-def arrow_schema(fields: list[tuple[str, pa.DataType]]) -> pa.Schema:
-    return pa.schema(fields)
-
-
 def text_or_empty(column: Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit(""))
 
