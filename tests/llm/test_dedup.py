@@ -50,6 +50,8 @@ def corpus(seed, docs=60):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_substrings_by_brute_force(spark, seed, monkeypatch):
     monkeypatch.setattr(S, "CHUNK_WORDS", 300)
+    monkeypatch.setattr(S, "RANGE_WINDOWS", 100)
+    monkeypatch.setattr(S, "MOST_TASKS", 3)
     rows = corpus(seed)
     df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, N_words string, part string").repartition(5)
     got = S.substring_dedup(df, window=20)

@@ -14,7 +14,6 @@ Hashes have 64 bits, over 64-bit hashes of the words, besides those bits that ch
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,8 +25,10 @@ from pyspark.sql import types as T
 from . import _common as C
 
 WINDOW = 20
-#: Words that a task holds at once, and windows that one partition of the count holds.
-CHUNK_WORDS, PARTITION_WINDOWS = 500_000, 1_500_000
+#: Words that a task holds at once, and windows that one range of hashes holds. Ranges and bundles of documents grow
+#: with the input; a task works on them one after the other, so its memory is that of one, and there are at most so
+#: many tasks (or the session's shuffle partitions, if more).
+CHUNK_WORDS, RANGE_WINDOWS, MOST_TASKS = 500_000, 1_500_000, 20_000
 OUTPUTS = ("n_words", "n_removed", "kept_text", "removed_spans")
 
 
@@ -105,8 +106,8 @@ def _counter(n: int, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
 
 
 def _owner(bundles: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """One partition of hashes: names to each document the hashes that a smaller document holds. Documents are
-    addressed in bundles, so that a document costs no row for each partition that has found something."""
+    """Ranges of hashes, one after the other: names to each document the hashes that a smaller document holds.
+    Documents are addressed in bundles, so that a document costs no row for each range that has found something."""
     schema = pa.schema([("__bundle", pa.int64()), ("__ids", pa.binary()), ("__counts", pa.binary()), ("__items", pa.binary()), ("__settled", pa.bool_())])
 
     def rows(ids: np.ndarray, items: np.ndarray, settled: bool) -> Iterator[pa.RecordBatch]:
@@ -123,16 +124,7 @@ def _owner(bundles: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_ids, all_hashes = [], []
-        for batch in batches:
-            for ids, counts, items, settled in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4)), strict=True):
-                owner = np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(counts, np.int32))
-                if settled:
-                    yield from rows(owner, np.frombuffer(items, np.int32).reshape(-1, 2), True)
-                else:
-                    all_ids.append(owner)
-                    all_hashes.append(np.frombuffer(items, np.uint64))
+    def settle(all_ids: list[np.ndarray], all_hashes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if not all_ids:
             return
         hashes = np.concatenate(all_hashes)
@@ -145,11 +137,26 @@ def _owner(bundles: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         later = np.flatnonzero(ids > np.repeat(np.minimum.reduceat(ids, new), np.diff(np.append(new, len(ids)))))
         yield from rows(ids[later], hashes[later], False)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_ids, all_hashes, now = [], [], None
+        for batch in batches:
+            for part, ids, counts, items, settled in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if part != now:
+                    yield from settle(all_ids, all_hashes)
+                    now = part
+                owner = np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(counts, np.int32))
+                if settled:
+                    yield from rows(owner, np.frombuffer(items, np.int32).reshape(-1, 2), True)
+                else:
+                    all_ids.append(owner)
+                    all_hashes.append(np.frombuffer(items, np.uint64))
+        yield from settle(all_ids, all_hashes)
+
     return run
 
 
 class _Named:
-    """What the owners have named to the documents of one partition."""
+    """What the owners have named to the documents of one bundle."""
 
     def __init__(self, kind: type, width: int):
         self.kind, self.width, self.ids, self.items = kind, width, [], []
@@ -187,21 +194,23 @@ def _cutter(n: int, id_at: str, text_at: str, names: list[str], schema: pa.Schem
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, rolling, named, settled = C.WordHashes(), C.Rolling(n), _Named(np.uint64, 1), _Named(np.int32, 2)
-        closed = False
+        now, closed = None, False
         for batch in (whole.slice(k, 1000) for whole in batches for k in range(0, whole.num_rows, 1000)):
             at = lambda name, batch=batch: batch.column(batch.schema.get_field_index(name))
-            first = batch.num_rows - int(np.count_nonzero(np.asarray(at("__document"))))  # what is named comes before the documents
-            for k in range(first):
-                (settled if at("__settled")[k].as_py() else named).add(*(at(x)[k].as_py() for x in ("__ids", "__counts", "__items")))
-            batch = batch.slice(first)
-            if not batch.num_rows:
-                continue
-            if not closed:
-                named.close()
-                settled.close()
-                closed = True
             n_words, n_removed, kept, spans = [], [], [], []
-            for doc, text in zip(at(id_at).slice(first).cast(pa.int64()).to_pylist(), at(text_at).slice(first), strict=True):
+            documents = []
+            for k, (bundle, document) in enumerate(zip(at("__bundle").to_pylist(), at("__document").to_pylist(), strict=True)):
+                if bundle != now:
+                    named, settled, now, closed = _Named(np.uint64, 1), _Named(np.int32, 2), bundle, False
+                if not document:  # what is named to a bundle comes before its documents
+                    (settled if at("__settled")[k].as_py() else named).add(*(at(x)[k].as_py() for x in ("__ids", "__counts", "__items")))
+                    continue
+                if not closed:
+                    named.close()
+                    settled.close()
+                    closed = True
+                documents.append(k)
+                doc, text = at(id_at)[k].cast(pa.int64()).as_py(), at(text_at)[k]
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 found = raw.split()
                 cover = np.zeros(len(found) + 1, np.int64)
@@ -224,17 +233,20 @@ def _cutter(n: int, id_at: str, text_at: str, names: list[str], schema: pa.Schem
                 else:
                     kept.append(b" ".join([w for w, x in zip(found, covered.tolist(), strict=True) if not x]).decode("utf-8", "surrogatepass"))
                 spans.append([{"start": a, "end": b} for a, b in _runs(covered)])
-            own = [at(x).slice(first) for x in names]
+            if not documents:
+                continue
+            own = [at(x).take(pa.array(documents)) for x in names]
             made = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, schema.field("removed_spans").type)]
             yield pa.RecordBatch.from_arrays([*own, *made], names=schema.names)
 
     return run
 
 
-def _prime(least: int) -> int:
-    while any(least % k == 0 for k in range(2, int(least**0.5) + 1)):
-        least += 1
-    return least
+def _prime(most: int) -> int:
+    """The largest prime up to `most`, 2 at least: ids of any stride spread evenly over so many bundles."""
+    while most > 2 and any(most % k == 0 for k in range(2, int(most**0.5) + 1)):
+        most -= 1
+    return max(2, most)
 
 
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep_white_space: bool = False) -> DataFrame:
@@ -252,13 +264,14 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     df = C.without(df, OUTPUTS)
     slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     chars = slim.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = C.partitions_for(df, chars / 6, PARTITION_WINDOWS)
-    bundles = _prime(max(17, 8 * parts))
+    parts = C.partitions_for(df, chars / 6, RANGE_WINDOWS)
+    tasks = min(parts, C.partitions_for(df, MOST_TASKS, 1))
+    bundles = _prime(parts)
     counted = slim.mapInArrow(_counter(window, parts), "part int, ids binary, counts binary, items binary, settled boolean")
-    named = counted.repartition(parts, "part").mapInArrow(_owner(bundles), "__bundle long, __ids binary, __counts binary, __items binary, __settled boolean")
+    named = counted.repartitionById(tasks, F.pmod(F.col("part"), F.lit(tasks))).sortWithinPartitions("part").mapInArrow(_owner(bundles), "__bundle long, __ids binary, __counts binary, __items binary, __settled boolean")
     docs = df.withColumn("__bundle", F.coalesce(F.pmod(F.col(f"`{id_col}`").cast("long"), F.lit(bundles)), F.lit(0)).cast("long")).withColumn("__document", F.lit(True))
     both = named.withColumn("__document", F.lit(False)).unionByName(docs, allowMissingColumns=True)
-    both = both.repartition(parts, "__bundle").sortWithinPartitions("__document")
+    both = both.repartitionById(tasks, F.pmod(F.col("__bundle"), F.lit(tasks)).cast("int")).sortWithinPartitions("__bundle", "__document")
     added = [
         C.field("n_words", T.LongType()),
         C.field("n_removed", T.LongType()),
