@@ -133,6 +133,19 @@ def test_jaccard_empty_and_repeated(spark):
     assert [(r["n_links"], r["kept"]) for r in M.jaccard_join(twice).collect()] == [(1, True), (1, True)]
 
 
+@pytest.mark.parametrize("shared", [1, 2, 4095, 4096, 4097, 8193])
+def test_shared_counts_keep_the_last_column(shared):
+    common = np.arange(shared, dtype=np.uint64)
+    got = M.shared_counts([common, np.append(common, np.uint64(1 << 40)), np.array([1 << 50], np.uint64)])
+    assert got[0, 1] == got[1, 0] == shared and got[2, 0] == got[2, 1] == 0
+
+
+def test_jaccard_of_one_repeated_word(spark):
+    rows = [(1, "a " * 5), (2, "a " * 80), (3, "b " * 80)]
+    got = {r["doc_id"]: (r["n_links"], r["component_id"]) for r in M.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_links(rows) == {1: (1, 1), 2: (1, 1), 3: (0, 3)}
+
+
 def test_bands_reach_the_recall():
     bands, rows = M.bands_for()
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9999 and bands * rows <= 128

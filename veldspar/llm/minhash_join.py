@@ -96,7 +96,7 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
         return out
     column = np.cumsum(np.concatenate(([False], column[1:] != column[:-1])))
     width = max(256, min(4096, 4_000_000 // m))
-    cuts = np.searchsorted(column, np.arange(0, column[-1] + width, width))
+    cuts = np.append(np.searchsorted(column, np.arange(0, column[-1] + 1, width)), len(column))
     for k in range(len(cuts) - 1):
         a, b = cuts[k], cuts[k + 1]
         if a < b:
