@@ -133,6 +133,21 @@ def test_jaccard_empty_and_repeated(spark):
     assert [(r["n_links"], r["kept"]) for r in M.jaccard_join(twice).collect()] == [(1, True), (1, True)]
 
 
+def test_jaccard_with_more_blocks_than_documents(spark, monkeypatch):
+    rows = near_corpus()
+    monkeypatch.setattr(M, "BLOCK_CHARS", 60)
+    got = M.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_links"], r["component_id"]) for r in got if r["doc_id"] is not None} == brute_links(rows)
+
+
+def test_embeddings_with_empty_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    m = np.repeat(rng.normal(size=(6, 32)), 3, axis=0) + rng.normal(size=(18, 32)) * 0.02
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(X, "LINK_BLOCK", 1)
+    assert [r["n_links"] for r in X.embedding_links(df).collect()] == [2] * 18
+
+
 @pytest.mark.parametrize("shared", [1, 2, 4095, 4096, 4097, 8193])
 def test_shared_counts_keep_the_last_column(shared):
     common = np.arange(shared, dtype=np.uint64)

@@ -182,19 +182,22 @@ def _candidates(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
 
 def _verifier(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (group, side, id, copies, vector) sorted by group: of each vector the linked rows and a root of its links;
-    where a group has two sides, pairs between them."""
+    """Rows (group, side, id, copies, vector, other) sorted by group: of each vector the linked rows and a root of its
+    links; where side and other differ, only of the pairs between the two blocks, of which one may be empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         pack = lambda: pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=["id", "links", "root"])
-        for rows in _groups(batches, 5):
+        for rows in _groups(batches, 6):
+            across = rows[0][1] != rows[0][5]
+            if across and len({r[1] for r in rows}) == 1:
+                continue
             x = np.stack([np.frombuffer(r[4]) for r in rows])
             norm = np.sqrt(np.einsum("ij,ij->i", x, x))
             links = x @ x.T >= threshold * norm[:, None] * norm[None, :]
             np.fill_diagonal(links, False)
-            side = np.array([r[1] for r in rows])
-            if len(np.unique(side)) > 1:
+            if across:
+                side = np.array([r[1] for r in rows])
                 links &= side[:, None] != side[None, :]
             links |= links.T
             count = links @ np.array([r[3] for r in rows], np.int64)
@@ -240,7 +243,7 @@ def embedding_links(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     met = C.components(near)
     nodes = met.join(classes.select(F.col("id").alias("node"), "copies", "vector"), "node")
     sizes = nodes.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > LINK_BLOCK)
-    pairs = _in_blocks(nodes, "component", "node", LINK_BLOCK, sizes).select("group", "side", F.col("node").alias("id"), "copies", "vector")
+    pairs = _in_blocks(nodes, "component", "node", LINK_BLOCK, sizes).select("group", "side", F.col("node").alias("id"), "copies", "vector", "other")
     parts = C.partitions_for(df, 1, 1)
     verified = C.checkpointed(pairs.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(_verifier(threshold), "id long, links long, root long"))
     counts = verified.groupBy("id").agg(F.sum("links").alias("links"))

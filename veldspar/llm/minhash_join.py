@@ -135,11 +135,14 @@ def forest_of(links: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _verifier(n: int, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Groups of rows (group, side, id, copies, text), sorted by group: verifies pairs of a block, or, where a
-    group has two sides, the pairs between them."""
+    """Groups of rows (group, side, id, copies, text, other), sorted by group: verifies pairs of a block where side
+    and other are equal, else the pairs between the two blocks, of which one may be empty."""
     schema = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
     def block(rows: list[tuple], words: C.WordHashes, rolling: C.Rolling) -> list[tuple[int, int, int | None]]:
+        across = rows[0][1] != rows[0][5]
+        if across and len({r[1] for r in rows}) == 1:
+            return []
         rows = sorted({r[2]: r for r in rows}.values(), key=lambda r: r[2])
         ids, copies = [r[2] for r in rows], np.array([r[3] for r in rows], np.int64)
         sets = [shingles(r[4] or "", n, words, rolling) for r in rows]
@@ -147,7 +150,7 @@ def _verifier(n: int, threshold: float) -> Callable[[Iterator[pa.RecordBatch]],
         both = shared_counts(sets)
         links = (both > 0) & (both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9)
         np.fill_diagonal(links, False)
-        if len({r[1] for r in rows}) > 1:
+        if across:
             side = np.array([r[1] for r in rows])
             links &= side[:, None] != side[None, :]
         count = links @ copies
@@ -160,7 +163,7 @@ def _verifier(n: int, threshold: float) -> Callable[[Iterator[pa.RecordBatch]],
         out: list[tuple] = []
         pack = lambda out: pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], schema=schema)
         for batch in batches:
-            for r in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for r in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if rows and rows[0][0] != r[0]:
                     out += block(rows, words, rolling)
                     rows = []
@@ -201,10 +204,10 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     blocks = sizes.select("component", F.greatest(F.lit(1), F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("all_chars") / BLOCK_CHARS)).cast("int").alias("blocks"))
     placed = nodes.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("node", "copies", F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("group"), F.col("own").alias("side"))
+    placed = placed.select("node", "copies", F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("group"), F.col("own").alias("side"), "other")
     # a block meets itself once, and every other block once
     parts = C.partitions_for(df, 1, 1)
-    texts = slim.join(placed, slim.id == placed.node).select("group", "side", "id", "copies", "text")
+    texts = slim.join(placed, slim.id == placed.node).select("group", "side", "id", "copies", "text", "other")
     verified = texts.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(_verifier(n, threshold), "id long, links long, root long")
     verified = C.checkpointed(verified)
 
