@@ -24,6 +24,25 @@ def test_boundaries_by_brute_force(buckets):
         assert padding(lengths, ends) == best and len(ends) <= buckets and ends[-1] == distinct[-1]
 
 
+def test_boundaries_of_many_lengths():
+    rng = np.random.default_rng(5)
+    top = np.sort(rng.choice(5000, 700, replace=False))
+    docs = rng.integers(1, 50, 700)
+    n, s = (np.concatenate(([0], np.cumsum(x))) for x in (docs, top * docs))
+    cost = top * n[1:] - s[1:]
+    for _ in range(1, 8):
+        cost = np.array([min([cost[j], *(cost[:j] + top[j] * (n[j + 1] - n[1 : j + 1]) - (s[j + 1] - s[1 : j + 1]))]) for j in range(700)])
+    ends = np.array(K.optimal_boundaries(top, docs, top * docs, 8))
+    assert (docs * (ends[np.searchsorted(ends, top)] - top)).sum() == cost[-1]
+
+
+def test_one_long_text_leaves_the_others_buckets(spark):
+    rows = [(k, n) for k, n in enumerate([3, 3, 10, 11, 50, 51, 400, 401])]
+    df = spark.createDataFrame([*rows, (99, 4_000_000)], "doc_id int, n_tokens int")
+    assert K.length_boundaries(df, "n_tokens", 8) == [3, 10, 11, 50, 51, 400, 401, 4_000_000]
+    assert {r["padding"] for r in K.pack(df).collect()} == {0}
+
+
 def test_pack(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice([3, 10, 50, 400]), "x") for i in range(300)] + [(300, None, "x"), (301, 5000, "x"), (None, 3, "x"), (7, 3, "x"), (7, 3, "x")]

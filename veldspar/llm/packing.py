@@ -1,9 +1,9 @@
 """Packing: optimal length buckets by dynamic programming over the global histogram, which chooses the bucket
 boundaries that minimise padding; token-budget batches form inside each bucket.
 
-The histogram has one bin for each length up to 4,096, and beyond that for each of at most 4,096 equal ranges of
-lengths, so what reaches the driver has a bound whatever the input. Within the grid of bins the boundaries are
-optimal. Documents are numbered inside (bucket, chunk) and shifted by the chunks' counts, so that no bucket,
+The histogram has one bin for each distinct length, so the boundaries are optimal. What reaches the driver are
+16 bytes a distinct length, and texts of T tokens in all have fewer than sqrt(2 T) + 1 of them, 1.4 million in 1e12.
+Documents are numbered inside (bucket, chunk) and shifted by the chunks' counts, so that no bucket,
 however large, meets in one task.
 """
 
@@ -17,12 +17,34 @@ from pyspark.sql.window import Window
 
 from . import _common as C
 
-BUCKETS, TOKEN_BUDGET, MAX_BINS = 8, 32_768, 4096
+BUCKETS, TOKEN_BUDGET = 8, 32_768
+
+
+def best_splits(cost: np.ndarray, top: np.ndarray, n: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each length j the least padding of all up to j where the bucket before the last ends at some i < j, and
+    the least such i. That i never falls as j grows, so j of one level search only between their neighbours' i."""
+    d = len(top)
+    value, choice = np.full(d, np.iinfo(np.int64).max), np.zeros(d, np.int64)
+    step = 1 << max(0, (d - 1).bit_length() - 1)
+    while step:
+        j = np.arange(step, d, 2 * step)
+        low, high = choice[j - step], j - 1
+        inner = j + step < d
+        high[inner] = np.minimum(high[inner], choice[j[inner] + step])
+        size = high - low + 1
+        start = np.cumsum(size) - size
+        i, at = np.arange(size.sum()) + np.repeat(low - start, size), np.repeat(j, size)
+        t = cost[i] + top[at] * (n[at + 1] - n[i + 1]) - (s[at + 1] - s[i + 1])
+        value[j] = np.minimum.reduceat(t, start)
+        least = np.flatnonzero(t == np.repeat(value[j], size))
+        choice[j] = i[least[np.searchsorted(least, start)]]
+        step //= 2
+    return value, choice
 
 
 def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, totals: np.ndarray, buckets: int) -> list[int]:
-    """The upper ends, from sorted distinct lengths (bins' upper ends), of at most `buckets` buckets with the
-    least padding; totals are the sums of the true lengths of each bin. The last is the largest length."""
+    """The upper ends, from sorted distinct lengths, of at most `buckets` buckets with the least padding; totals are
+    the sums of the lengths. The last is the largest length."""
     d = len(lengths)
     if not d:
         return []
@@ -31,19 +53,9 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, totals: np.ndarr
     cost = top * n[1:] - s[1:]  # one bucket for all bins up to j
     back: list[np.ndarray] = []
     for _ in range(1, min(buckets, d)):
-        best, choice = cost.copy(), np.full(d, -1, np.int64)
-        for a in range(0, d, 256):
-            j = np.arange(a, min(a + 256, d))
-            i = np.arange(0, j[-1])  # the bucket before ends at bin i
-            if not len(i):
-                continue
-            t = cost[None, i] + top[j, None] * (n[j + 1, None] - n[None, i + 1]) - (s[j + 1, None] - s[None, i + 1])
-            t[i[None, :] >= j[:, None]] = np.iinfo(np.int64).max
-            k = t.argmin(1)
-            v = t[np.arange(len(j)), k]
-            better = v < best[j]
-            best[j[better]], choice[j[better]] = v[better], i[k[better]]
-        cost = best
+        value, choice = best_splits(cost, top, n, s)
+        better = value < cost
+        cost, choice = np.where(better, value, cost), np.where(better, choice, -1)
         back.append(choice)
     ends, j = [d - 1], d - 1
     for choice in reversed(back):
@@ -55,12 +67,11 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, totals: np.ndarr
 
 def length_boundaries(df: DataFrame, length_col: str, buckets: int = BUCKETS) -> list[int]:
     lengths = df.select(F.coalesce(F.col(length_col).cast("long"), F.lit(0)).alias("n"))
-    most = lengths.agg(F.max("n")).first()[0]
-    if most is None:
-        return []
-    width = max(1, -(-most // MAX_BINS))
-    bins = lengths.groupBy((F.ceil(F.col("n") / width) * width).cast("long").alias("top")).agg(F.count("*").alias("docs"), F.sum("n").alias("tokens")).orderBy("top").collect()
-    return optimal_boundaries(*(np.array([r[k] for r in bins], np.int64) for k in range(3)), buckets)
+    bins = lengths.groupBy("n").agg(F.count("*").alias("docs")).toArrow()
+    top, docs = (bins.column(k).to_numpy() for k in range(2))
+    order = np.argsort(top)
+    top, docs = top[order], docs[order]
+    return optimal_boundaries(top, docs, top * docs, buckets)
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", length_col: str = "n_tokens", buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET) -> DataFrame:
