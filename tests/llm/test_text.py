@@ -208,6 +208,15 @@ def test_html(spark):
     assert H.extract_pages(df.where("page_id > 99")).collect() == []
 
 
+def test_html_article_in_two_parts(spark):
+    part = lambda word, n: f"<div class={word}><p>{f'{word} ' * n}</div>"
+    page = lambda inner: f"<body><div class=content>{inner}</div><footer>F</footer></body>"
+    pages = [page(part("text", 200))] * 6 + [page(part("text", 80) + part("more", 120))]
+    df = spark.createDataFrame([(k, "http://h.x/", p) for k, p in enumerate(pages)], "page_id int, url string, html string")
+    got = {r["page_id"]: r["text"] for r in H.extract_pages(df).collect()}
+    assert got[0] == " ".join(["text"] * 200) and got[6] == " ".join(["text"] * 80) + "\n\n" + " ".join(["more"] * 120)
+
+
 def test_html_beyond_the_broadcast_bound(spark, monkeypatch):
     df = spark.createDataFrame([(k, f"http://h{k % 3}.x/{k}", PAGE % k) for k in range(9)], "page_id int, url string, html string")
     whole = sorted(map(tuple, H.extract_pages(df).collect()))

@@ -2,7 +2,7 @@
 tag-class paths per host, and pages are extracted again by their host's winning paths.
 
 A path is the tags and classes from the root to a container, with digits made alike, so that pages of one
-template share it. A page in which no winning path holds a fair share of what its own best container holds is
+template share it. A page in which no winning path holds nearly all of what its own best container holds is
 extracted by that container.
 """
 
@@ -23,7 +23,7 @@ from . import _common as C
 #: Paths that a page votes for, and that win a host; votes a winner needs against the first.
 PAGE_VOTES, HOST_PATHS, LEAST_VOTE = 3, 3, 0.1
 #: Share of its own best container's score that a winning path must hold in a page.
-FAIR_SHARE = 0.4
+FAIR_SHARE = 0.9
 #: Hosts whose winning paths are broadcast; beyond, pages are joined to them by host and salt.
 BROADCAST_HOSTS, SALTS = 50_000, 64
 OUTPUTS = ("text", "n_chars")
@@ -233,17 +233,19 @@ def best_containers(page: Page, most: int = PAGE_VOTES) -> list[tuple[int, float
 
 
 def extract(source: str | None, paths: list[str] | None = None) -> str:
-    """The main text by the first of the paths that holds a fair share, else by the page's best container."""
+    """The main text by the path that holds most, if that is a fair share, else by the page's best container."""
     page = parse(source or "")
     scores = page.scores()
     if not scores:
         return "\n\n".join(text for _, text, _ in page.blocks)
     top = min(scores, key=lambda k: (-scores[k], k))
+    held, best = 0.0, {top}
     for path in paths or []:
         roots = {k for k, p in enumerate(page.paths) if p == path and not page.gone[k]}
-        if roots and sum(scores.get(k, 0.0) for k in roots) >= FAIR_SHARE * scores[top]:
-            return "\n\n".join(page.inside(roots))
-    return "\n\n".join(page.inside({top}))
+        share = sum(scores.get(k, 0.0) for k in roots)
+        if roots and share > held and share >= FAIR_SHARE * scores[top]:
+            held, best = share, roots
+    return "\n\n".join(page.inside(best))
 
 
 def _voter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
