@@ -18,9 +18,9 @@ def _recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    kept = quality_rules.quality_rules(docs).where("kept").select(F.col(ID).alias("__kept")).distinct()
-    return docs.join(kept, docs[ID].eqNullSafe(kept["__kept"]), "left_semi")
+    """Documents that the quality rules reject go, and so do frequent lines of the others."""
+    cut = quality_rules.without_frequent_lines(docs).drop(TEXT, "removed_lines").withColumnRenamed("kept_text", TEXT)
+    return _recounted(cut, docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

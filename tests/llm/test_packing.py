@@ -6,6 +6,7 @@ import pytest
 
 import corpus_pipeline
 from veldspar.llm import packing as K
+from veldspar.llm import quality_rules
 
 
 def padding(lengths, ends):
@@ -80,6 +81,21 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.run(spark, sf).count() == counts[-1]
 
 
+def test_pipeline_removes_frequent_lines(spark):
+    rng = random.Random(3)  # letters only: all digits are alike to a line's key
+    own = lambda n: " ".join("".join(rng.choices("abcdefghij", k=8)) for _ in range(n))
+    rows = [(k, f"{own(40)}\n All rights   reserved {k % 10}\n\n{own(40)}", "h", 9) for k in range(30)]
+    rows += [(7, own(80), "h", 9), (None, own(80), None, 9), (40, own(60) + "\nAll rights reserved 1", "g", 9), (41, "short", "h", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.quality(spark, docs, "").collect()
+    want = [(i, "\n".join(x for x in t.split("\n") if s != "h" or "rights" not in x)) for i, t, s, _ in rows if i != 41]
+    key = lambda r: (-1 if r[0] is None else r[0], r[1])
+    assert sorted(key((r["doc_id"], r["text"])) for r in got) == sorted(map(key, want))
+    assert all(r["n_chars"] == len(r["text"]) for r in got)
+    cut = quality_rules.without_frequent_lines(docs).where("doc_id = 12").first()
+    assert cut["removed_lines"] == [" All rights   reserved 2"] and "reserved" in cut["text"]
+
+
 def test_pipeline_takes_odd_rows(spark):
     good = " ".join(f"word{k}" for k in range(80))
     rows = [(1, good + " a@b.co", "en", "s", 9), (2, good + " a@b.co", "en", "s", 9), (3, None, None, None, None), (None, good[::-1], "en", "s", 9), (5, "", "en", "s", 0)]

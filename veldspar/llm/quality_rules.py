@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _common as C
 
@@ -22,6 +23,7 @@ SPACES = " \t\n\v\f\r"
 LINE_DOCS, LINE_SHARE = 20, 0.2
 #: A document is depleted if less than this percentage of its words is left.
 LEFT_PERCENT = 30
+LINE_OUTPUTS = ("kept_text", "removed_lines")
 _DIGITS = {ord(c): "0" for c in "123456789"}
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, digest long, lines array<struct<hash:long,words:long>>"
 
@@ -73,7 +75,7 @@ def _features(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                         kept[h] = kept.get(h, 0) + key.count(b" ") + 1
                 rows.append((
                     len(found), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), dup, repeated_words(h, window) if len(h := rolling(words.array(found))) else 0,
-                    signed(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))), [{"hash": h, "words": n} for h, n in kept.items()],
+                    signed(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), seed=42)), [{"hash": h, "words": n} for h, n in kept.items()],
                 ))
             made = [pa.array([r[i] for r in rows], pa.int64()) for i in range(6)] + [pa.array([r[6] for r in rows], lines_type)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["id", "host", *names, "digest", "lines"])
@@ -96,6 +98,20 @@ def frequent_lines(features: DataFrame, line_docs: int = LINE_DOCS, line_share:
     return counts.join(hosts, "host").where(F.col("docs") > line_share * F.col("all_docs")).select("host", "hash")
 
 
+def _judged(features: DataFrame, line_docs: int, line_share: float, left_percent: int) -> DataFrame:
+    """Features of rows, checkpointed and numbered by `row`, with n_frequent_words, gone (hashes of the row's frequent
+    lines, null if none), base_failed and kept."""
+    # the join's own key makes Spark deal both sides anew, so that it can split a line that very many documents have
+    frequent = frequent_lines(features, line_docs, line_share).withColumn("key", F.xxhash64("host", "hash"))
+    lines = features.select("row", "host", F.explode("lines").alias("line")).select("row", "host", F.col("line.hash").alias("hash"), F.col("line.words").alias("words"))
+    met = lines.withColumn("key", F.xxhash64("host", "hash")).join(frequent, ["key", "host", "hash"])
+    lost = met.groupBy("row").agg(F.sum("words").alias("lost"), F.collect_list("hash").alias("gone"))
+    out = features.drop("lines").join(lost, "row", "left").withColumn("n_frequent_words", F.coalesce("lost", F.lit(0)))
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    depleted = 100 * (F.col("n_words") - F.col("n_frequent_words")) < left_percent * F.col("n_words")
+    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
+
+
 def quality_rules(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, left_percent: int = LEFT_PERCENT
 ) -> DataFrame:
@@ -107,16 +123,51 @@ def quality_rules(
     words repeat. kept is false if base_failed, or if less than left_percent of the words is left.
     """
     features = C.checkpointed(line_features(df, id_col, text_col, host_col).withColumn("row", F.monotonically_increasing_id()))
-    # the join's own key makes Spark deal both sides anew, so that it can split a line that very many documents have
-    frequent = frequent_lines(features, line_docs, line_share).withColumn("key", F.xxhash64("host", "hash"))
-    lines = features.select("row", "host", F.explode("lines").alias("line")).select("row", "host", F.col("line.hash").alias("hash"), F.col("line.words").alias("words"))
-    lost = lines.withColumn("key", F.xxhash64("host", "hash")).join(frequent, ["key", "host", "hash"]).groupBy("row").agg(F.sum("words").alias("lost"))
-    out = features.drop("lines", "digest", "host").join(lost, "row", "left").withColumn("n_frequent_words", F.coalesce("lost", F.lit(0)))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    depleted = 100 * (F.col("n_words") - F.col("n_frequent_words")) < left_percent * F.col("n_words")
-    return out.select(
-        F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "n_frequent_words"
-    )
+    out = _judged(features, line_docs, line_share, left_percent)
+    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_frequent_words")
+
+
+def _remover(text_at: int, gone_at: int, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            texts, removed = batch.column(text_at).to_pylist(), []
+            for k, gone in enumerate(batch.column(gone_at)):
+                lost: list[str] = []
+                if gone.is_valid:
+                    hashes, left = {h % (1 << 64) for h in gone.as_py()}, []
+                    for line in (texts[k] or "").split("\n"):
+                        key = _line_key(line)
+                        (lost if key and xxhash.xxh64_intdigest(key) in hashes else left).append(line)
+                    texts[k] = "\n".join(left)
+                removed.append(lost)
+            columns = [c for at, c in enumerate(batch.columns) if at != gone_at]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array(removed, pa.list_(pa.string()))], names=[*names, *LINE_OUTPUTS])
+
+    return run
+
+
+def without_frequent_lines(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, left_percent: int = LEFT_PERCENT
+) -> DataFrame:
+    """The rows of df that quality_rules() keeps, with kept_text (the text without the lines above the limits) and
+    removed_lines. Input columns named like an output are replaced.
+
+    The verdict and the lines follow from host and text alone, so rows find them by these and not by their ids.
+    """
+    df = C.without(df, [x for x in LINE_OUTPUTS if x not in (id_col, text_col, host_col)])
+    features = C.checkpointed(line_features(df, id_col, text_col, host_col).withColumn("row", F.monotonically_increasing_id()))
+    judged = _judged(features, line_docs, line_share, left_percent).where("kept")
+    host, digest, key, gone = (C.free_name(df.columns, x) for x in ("host", "digest", "key", "gone"))
+    met = [F.col(x) for x in (host, digest)]
+    verdicts = judged.groupBy(F.col("host").alias(host), F.col("digest").alias(digest)).agg(F.any_value("gone").alias(gone)).withColumn(key, F.xxhash64(*met))
+    # as in the features: Spark's xxhash64 of one text is XXH64 with a seed of 42
+    own = C.text_or_empty(F.col(f"`{host_col}`")) if host_col else F.lit("")
+    texts = df.withColumn(host, own).withColumn(digest, F.xxhash64(C.text_or_empty(F.col(f"`{text_col}`")))).withColumn(key, F.xxhash64(*met))
+    found = texts.join(verdicts, [key, host, digest]).select(*[F.col(f"`{c}`") for c in df.columns], gone)
+    out = T.StructType([*df.schema.fields, C.field("kept_text", T.StringType()), C.field("removed_lines", T.ArrayType(T.StringType()))])
+    return found.mapInArrow(_remover(df.columns.index(text_col), len(df.columns), df.columns), out)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
