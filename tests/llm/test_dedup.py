@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from veldspar.llm import _common as C
+from veldspar.llm import _pairs as P
 from veldspar.llm import cross_polytope as X
 from veldspar.llm import minhash_join as M
 from veldspar.llm import substring_dedup as S
@@ -53,9 +54,11 @@ def test_substrings_by_brute_force(spark, seed, monkeypatch):
     monkeypatch.setattr(S, "RANGE_WINDOWS", 100)
     monkeypatch.setattr(S, "MOST_TASKS", 3)
     rows = corpus(seed)
-    df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, N_words string, part string").repartition(5)
+    monkeypatch.setattr(S, "REGROUP", 50)
+    df = spark.createDataFrame([(i, t, "x", "y", 7, "z") for i, t in rows], "doc_id long, text string, N_words string, part string, __bundle int, __items string").repartition(5)
     got = S.substring_dedup(df, window=20)
     assert "N_words" not in got.columns and "part" in got.columns
+    assert {tuple(r) for r in got.select("part", "__bundle", "__items").collect()} == {("y", 7, "z")}
     got = got.collect()
     assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in got) == brute_substrings(rows, 20)
     assert all(sum(s["end"] - s["start"] for s in r["removed_spans"]) == r["n_removed"] for r in got)
@@ -116,6 +119,8 @@ def near_corpus():
 @pytest.mark.parametrize("block", [1024, 3])
 def test_jaccard_by_brute_force(spark, block, monkeypatch):
     monkeypatch.setattr(M, "BLOCK_DOCS", block)
+    monkeypatch.setattr(P, "BUCKET_ROWS", 4 * block)
+    monkeypatch.setattr(P, "PAIRS", 7 * block)
     rows = near_corpus()
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, band int").repartition(4)
     got = M.jaccard_join(df).collect()
@@ -130,7 +135,64 @@ def test_jaccard_empty_and_repeated(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert M.jaccard_join(empty).collect() == []
     twice = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f")], "doc_id long, text string")
-    assert [(r["n_links"], r["kept"]) for r in M.jaccard_join(twice).collect()] == [(1, True), (1, True)]
+    assert sorted((r["n_links"], r["kept"]) for r in M.jaccard_join(twice).collect()) == [(1, False), (1, True)]
+
+
+def test_rows_without_near_duplicates(spark):
+    """Repeated rows leave one; a row goes by its own text, not by that of another row of its id."""
+    a, b = "a b c d e f", "other words stand in this one"
+    rows = [(1, a, "x"), (1, a, "x"), (2, b, "y"), (3, a, "z"), (3, b + " again and so on", "z"), (None, a, "n"), (None, a, "n"), (4, "", "e"), (4, "", "e"), (5, None, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __id string").repartition(3)
+    got = M.without_near_duplicates(df)
+    assert got.columns == df.columns
+    stay = [rows[0], rows[2], rows[4], rows[5], rows[6], rows[7], rows[8], rows[9]]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, stay))
+
+
+def test_ids_of_other_types(spark):
+    texts = [("b", "a b c d e f g"), ("a", "A b c d e f g"), ("c", "x y z"), (None, "x y z")]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"], r["component_id"], r["kept"]) for r in M.jaccard_join(spark.createDataFrame(texts, "doc_id string, text string")).collect()}
+    assert got == {"b": ("a", 1, "a", False), "a": ("a", 1, "a", True), "c": ("c", 0, "c", True), None: (None, 0, None, True)}
+    vectors = [("b", [1.0, 2.0]), ("a", [2.0, 4.0]), ("c", [-1.0, 2.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in X.embedding_links(spark.createDataFrame(vectors, "vec_id string, embedding array<double>")).collect()}
+    assert got == {"b": (1, "a", False), "a": (1, "a", True), "c": (0, "c", True)}
+
+
+def test_chains_cost_in_proportion_to_their_links(spark, monkeypatch):
+    """Each document is like its neighbours only: what meets grows with the links, not with the chain's square."""
+    met = []
+    whole = P.verified
+
+    def counted(meetings, linked, partitions):
+        met.append(meetings.count())
+        return whole(meetings, linked, partitions)
+
+    monkeypatch.setattr(P, "verified", counted)
+    n, words = 3000, [f"w{k}" for k in range(3200)]
+    got = M.jaccard_join(spark.createDataFrame([(k, " ".join(words[k : k + 64])) for k in range(n)], "doc_id long, text string")).collect()
+    # 60 five-grams each: distance d shares 60 - d of 60 + d, 0.8 or more up to d = 6
+    assert {r["doc_id"]: r["n_links"] for r in got} == {k: min(k, 6) + min(n - 1 - k, 6) for k in range(n)}
+    assert {r["component_id"] for r in got} == {0} and met[-1] < 12 * n
+    angles = [(k, [float(np.cos(k * 0.1)), float(np.sin(k * 0.1))] + [0.0] * 30) for k in range(60)]
+    spark_rows = X.embedding_links(spark.createDataFrame(angles, "vec_id long, embedding array<double>")).collect()
+    u = np.array([v for _, v in angles])
+    assert [r["n_links"] for r in sorted(spark_rows)] == ((u @ u.T >= 0.95).sum(1) - 1).tolist()
+
+
+@pytest.mark.parametrize("classes", [10**4, 10**6, 10**8])
+def test_buckets_hold_pairs_at_the_threshold(classes):
+    """Pairs at a cosine of 0.9501 share a bucket, however many hashes make one."""
+    rng = np.random.default_rng(classes)
+    x = rng.normal(size=(1000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=x.shape)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = 0.9501 * x + (1 - 0.9501**2) ** 0.5 * y / np.linalg.norm(y, axis=1, keepdims=True)
+    hashes, shared = X.hashes_for(classes, 64), np.zeros(1000, bool)
+    for t in range(X.TABLES):
+        a, b = (X.probe(np.stack([X.rotated(v, np.random.default_rng((X._SEED, 2, t, h))) for h in range(hashes)]), hashes, X.PROBES)[0] for v in (x, y))
+        shared |= (a[:, :, None] == b[:, None, :]).any((1, 2))
+    assert shared.mean() >= 0.999
 
 
 def test_jaccard_with_more_blocks_than_documents(spark, monkeypatch):
@@ -200,6 +262,6 @@ def test_embedding_blocks_find_the_same(spark, monkeypatch):
     m = np.repeat(rng.normal(size=(4, 32)), 10, axis=0) + rng.normal(size=(40, 32)) * 0.02
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
     whole = sorted(map(tuple, X.embedding_links(df).collect()))
-    monkeypatch.setattr(X, "BLOCK", 3)
+    monkeypatch.setattr(P, "BUCKET_ROWS", 3)
     monkeypatch.setattr(X, "LINK_BLOCK", 4)
     assert sorted(map(tuple, X.embedding_links(df).collect())) == whole and whole[0][1] == 9

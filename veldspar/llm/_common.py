@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 from collections.abc import Iterable
 
 import numpy as np
@@ -15,9 +16,8 @@ from pyspark.sql import types as T
 WORD = r"[^\x20\x09-\x0D]+"
 
 _MASK = (1 << 64) - 1
-#: An odd base of the polynomial hashes, and its inverse modulo 2**64.
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
+#: Odd bases of the polynomial hashes.
+BASE, OTHER_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,17 +25,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder that the session names; makes one only where none is set, as in tests."""
+    """Uses the folder that the session names. Only a local master, as in tests, gets one made where none is set: the
+    executors of a cluster don't see a folder of the driver."""
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="veldspar-checkpoint-"))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """df as a table written to the shared folder: later reads take only their columns, and its size is its true one,
+    where the estimate of a checkpoint() inside a loop of joins squares with every round."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def partitions_for(df: DataFrame, units: float, per_partition: float) -> int:
@@ -92,15 +100,16 @@ class WordHashes(dict):
 class Rolling:
     """Rabin-Karp hashes of all windows of n items over one array of item hashes, modulo 2**64."""
 
-    def __init__(self, n: int):
-        self.n, self.up, self.down = n, powers(BASE, 1), powers(INVERSE, 1)
+    def __init__(self, n: int, base: int = BASE):
+        self.n, self.bases = n, (base, pow(base, -1, 1 << 64))
+        self.up, self.down = (powers(b, 1) for b in self.bases)
 
     def __call__(self, items: np.ndarray) -> np.ndarray:
         size = len(items)
         if size < self.n:
             return np.empty(0, np.uint64)
         if size > len(self.up):
-            self.up, self.down = powers(BASE, 2 * size), powers(INVERSE, 2 * size)
+            self.up, self.down = (powers(b, 2 * size) for b in self.bases)
         prefix = np.zeros(size + 1, np.uint64)
         np.cumsum(items * self.up[:size], out=prefix[1:])
         return mix((prefix[self.n :] - prefix[: -self.n]) * self.down[: size - self.n + 1])
@@ -110,41 +119,31 @@ def text_or_empty(column: Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit(""))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b): rows (node, component), the component named by
     its smallest node.
 
-    Each round every node takes the least label among its own and its neighbours' (partial aggregates keep
-    hubs cheap), then jumps to its label's label. Labels live in checkpoints, so that a lost executor
-    costs one round. Nulls and loops are ignored; an empty table gives an empty result.
+    Each round every node takes the least of its own and its neighbours' names (partial aggregates keep hubs cheap)
+    and then that node's; edges between the new names go on, so a chain of any length takes rounds as its logarithm.
+    What a round finds is written, so that a lost executor costs one round. Nulls and loops are ignored; an empty
+    table gives an empty result.
     """
-    spark = edges.sparkSession
-    clean = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u is not null and v is not null and u <> v")
-    both = checkpointed(clean.unionByName(clean.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = checkpointed(both.groupBy("u").agg(F.min("v").alias("least")).select(F.col("u").alias("node"), F.least("u", "least").alias("label")))
-    for _ in range(rounds):
-        heard = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("label").alias("heard"))
-        step = labels.join(heard, labels.node == heard.u, "left").select("node", F.col("label").alias("was"), F.least("label", "heard").alias("label"))
-        parents = labels.select(F.col("node").alias("parent"), F.col("label").alias("above"))
-        step = step.join(parents, step.label == parents.parent, "left").select("node", "was", F.least("label", "above").alias("label"))
-        step = checkpointed(step)
-        moved = step.where("label <> was").limit(1).count()
-        labels = step.select("node", "label")
-        if not moved:
-            break
-    else:
-        return components_slow(both, labels)
-    return labels.select("node", F.col("label").alias("component"))
-
-
-def components_slow(both: DataFrame, labels: DataFrame) -> DataFrame:
-    """Goes on until nothing moves, for graphs of a very large diameter."""
-    while True:
-        heard = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("label").alias("heard"))
-        step = checkpointed(labels.join(heard, labels.node == heard.u, "left").select("node", F.col("label").alias("was"), F.least("label", "heard").alias("label")))
-        labels = step.select("node", "label")
-        if not step.where("label <> was").limit(1).count():
-            return labels.select("node", F.col("label").alias("component"))
+
+    def forward(a: Column, b: Column) -> list[Column]:
+        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+    links = checkpointed(edges.where("a is not null and b is not null and a <> b").select(*forward(F.col("a"), F.col("b"))).distinct())
+    names = None
+    while names is None or not links.isEmpty():
+        both = links.select(F.col("a").alias("node"), F.col("b").alias("near")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("near")))
+        least = both.groupBy("node").agg(F.least("node", F.min("near")).alias("name"))
+        up = least.select(F.col("node").alias("name"), F.col("name").alias("above"))
+        step = checkpointed(least.join(up, "name").select("node", F.col("above").alias("name")))
+        renamed = step.select(F.col("node").alias("name"), F.col("name").alias("new"))
+        names = step if names is None else names.join(renamed, "name", "left").select("node", F.coalesce("new", "name").alias("name"))
+        ends = [step.select(F.col("node").alias(x), F.col("name").alias(f"{x}_name")) for x in "ab"]
+        links = checkpointed(links.join(ends[0], "a").join(ends[1], "b").where("a_name <> b_name").select(*forward(F.col("a_name"), F.col("b_name"))).distinct())
+    return names.select("node", F.col("name").alias("component"))
 
 
 def field(name: str, kind: T.DataType) -> T.StructField:

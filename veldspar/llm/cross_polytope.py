@@ -3,10 +3,10 @@ candidate pairs.
 
 Equal vectors are one class and go on once. Every class is put into its best few buckets of each table; the
 number of hashes that make a bucket grows with the number of classes, so buckets stay small. Inside a bucket a
-256-bit sign sketch drops pairs that are far apart; of the others only a spanning forest leaves the bucket, so that a
-group of vectors that are all alike makes a row for each, not for each pair. Connected candidates then meet once, in
-blocks of bounded size, where every pair is verified in double precision; what leaves a block are counts and a
-spanning forest of its links. A bucket above BLOCK entries is dealt out as pairs of blocks.
+256-bit sign sketch drops pairs that are far apart; the others name the two blocks that they lie in, so that a group
+of vectors that are all alike makes a few rows for each, not one for each pair. Vectors of equal pairs of blocks meet
+once more, where every pair is verified in double precision; what leaves a meeting are counts and a spanning forest of
+its links.
 """
 
 from __future__ import annotations
@@ -20,12 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
+from . import _pairs as P
 
-THRESHOLD, TABLES, PROBES, PER_BUCKET, BLOCK = 0.95, 12, 6, 64, 4096
+THRESHOLD, TABLES, PROBES, PER_BUCKET = 0.95, 12, 6, 64
 #: Bits of a sketch, and the most that a pair's sketches may differ in: at a cosine of 0.95 they differ in 26 on
 #: average, with a standard deviation of 4.8.
 SKETCH_BITS, MOST_APART = 256, 56
-#: Vectors of one block of verified pairs.
+#: Vectors of a block.
 LINK_BLOCK = 1024
 _SEED = 7_919
 
@@ -117,109 +118,24 @@ def _coder(classes: int, tables: int, probes: int, per_bucket: int) -> Callable[
                         codes, _ = probe(turned, hashes, probes)
                         buckets.append(C.mix(codes * np.uint64(2 * tables + 1) + np.uint64((t + int(size) * C.BASE) % (1 << 64))))
                     found = np.concatenate(buckets, axis=1).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array([s.tobytes() for s in sketch], pa.binary()), pa.array(found.tolist(), pa.list_(pa.int64()))], names=["id", "sketch", "buckets"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array([s.tobytes() for s in sketch], pa.binary()), pa.array(found.tolist(), pa.list_(pa.int64()))], names=["node", "sketch", "buckets"])
 
     return run
 
 
-def forest_of(near: np.ndarray) -> list[tuple[int, int]]:
-    """(member, root) for every row that a symmetric boolean matrix connects to a smaller one."""
-    out: list[tuple[int, int]] = []
-    open_ = near.any(1)
-    for start in range(len(near)):
-        if open_[start]:
-            reached = np.zeros(len(near), bool)
-            reached[start] = True
-            edge = reached
-            while edge.any():
-                edge = near[edge].any(0) & ~reached
-                reached |= edge
-            open_ &= ~reached
-            out += [(int(k), start) for k in np.flatnonzero(reached) if k != start]
-    return out
-
-
-def _groups(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[tuple]]:
-    """Rows of each group of a sorted stream, one for each id (the third column), in the order of ids."""
-    held: list[tuple] = []
-    order = lambda rows: sorted({r[2]: r for r in rows}.values(), key=lambda r: r[2])
-    for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(columns)), strict=True):
-            if held and held[0][0] != row[0]:
-                yield order(held)
-                held = []
-            held.append(row)
-    if held:
-        yield order(held)
-
-
-def _candidates(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (group, side, id, sketch) sorted by group: a spanning forest of the pairs with near sketches."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[tuple[int, int]] = set()
-
-        def flush() -> pa.RecordBatch:
-            pairs = list(found)
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
-        for rows in _groups(batches, 4):
-            if len(rows) < 2:
-                continue
-            sketches = np.frombuffer(b"".join(r[3] for r in rows), np.uint64).reshape(len(rows), -1)
-            near = np.empty((len(rows), len(rows)), bool)
-            for a in range(0, len(rows), 256):
-                near[a : a + 256] = np.bitwise_count(sketches[a : a + 256, None, :] ^ sketches[None, :, :]).sum(2, dtype=np.int64) <= most
-            np.fill_diagonal(near, False)
-            found.update((rows[root][2], rows[k][2]) for k, root in forest_of(near))
-            if len(found) > 100_000:
-                yield flush()
-        if found:
-            yield flush()
-
-    return run
-
-
-def _verifier(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (group, side, id, copies, vector, other) sorted by group: of each vector the linked rows and a root of its
-    links; where side and other differ, only of the pairs between the two blocks, of which one may be empty."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        pack = lambda: pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(3)], names=["id", "links", "root"])
-        for rows in _groups(batches, 6):
-            across = rows[0][1] != rows[0][5]
-            if across and len({r[1] for r in rows}) == 1:
-                continue
-            x = np.stack([np.frombuffer(r[4]) for r in rows])
+def _linker(threshold: float) -> Callable[[], Callable[[list], np.ndarray]]:
+    def linked(vectors: list) -> np.ndarray:
+        out = np.zeros((len(vectors), len(vectors)), bool)
+        sizes = np.array([len(v) for v in vectors])
+        for size in np.unique(sizes):  # vectors of different lengths never link
+            mine = np.flatnonzero(sizes == size)
+            x = np.stack([np.frombuffer(vectors[k]) for k in mine])
             norm = np.sqrt(np.einsum("ij,ij->i", x, x))
             links = x @ x.T >= threshold * norm[:, None] * norm[None, :]
-            np.fill_diagonal(links, False)
-            if across:
-                side = np.array([r[1] for r in rows])
-                links &= side[:, None] != side[None, :]
-            links |= links.T
-            count = links @ np.array([r[3] for r in rows], np.int64)
-            root = dict(forest_of(links))
-            out += [(r[2], int(count[k]), rows[root[k]][2] if k in root else None) for k, r in enumerate(rows) if count[k]]
-            if len(out) > 20_000:
-                yield pack()
-                out = []
-        if out:
-            yield pack()
-
-    return run
-
+            out[np.ix_(mine, mine)] = links | links.T
+        return out
 
-def _in_blocks(df: DataFrame, by: str, id_name: str, block: int, sizes: DataFrame) -> DataFrame:
-    """Rows of df with a group and a side for each pair of blocks that they stand in; sizes has (by, n) of the
-    crowded values of `by`, others are one block."""
-    # the second key makes Spark deal both sides anew, so that it can split a crowded value
-    blocks = sizes.select(by, F.xxhash64(by).alias("key"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    placed = df.withColumn("key", F.xxhash64(by)).join(blocks, ["key", by], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("side", F.pmod(F.xxhash64(id_name), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return placed.withColumn("group", F.xxhash64(by, F.least("side", "other"), F.greatest("side", "other")))
+    return lambda: linked
 
 
 def embedding_links(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
@@ -227,32 +143,30 @@ def embedding_links(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     (smallest id reachable by links, itself included) and kept (id = component_id).
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing; so do vectors of
-    different lengths with each other. A row with a null id has no links and is kept. Equal vectors link. Pairs
-    below the threshold never link; of those above it the tables miss a few in a million.
+    different lengths with each other. A row with a null id has no links and is kept. Equal vectors link, repeated
+    rows too. Ids may be of any type that has an order. Other columns of df, however named, play no part. An empty
+    table gives an empty result. Pairs below the threshold never link; of those above it the tables miss a few in a
+    million.
     """
-    slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    read = C.checkpointed(slim.mapInArrow(_reader, "id long, digest binary, vector binary"))
-    classes = C.checkpointed(read.where("id is not null and digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.any_value("vector").alias("vector")))
+    kind = df.schema[id_col].dataType.simpleString()
+    slim = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
+    read = C.checkpointed(slim.mapInArrow(_reader, f"id {kind}, digest binary, vector binary"))
+    classes = read.where("id is not null and digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.any_value("vector").alias("vector"))
+    classes = C.checkpointed(classes.withColumn("node", F.monotonically_increasing_id()).withColumn("first_row", F.col("node")))
     total = classes.count()
-    coded = classes.select("id", "vector").mapInArrow(_coder(total, tables, probes, PER_BUCKET), "id long, sketch binary, buckets array<long>")
-    entries = C.checkpointed(coded).select("id", "sketch", F.explode("buckets").alias("bucket"))
-    crowded = entries.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
-    placed = _in_blocks(entries, "bucket", "id", BLOCK, crowded).select("group", "side", "id", "sketch")
-    parts = C.partitions_for(df, total * tables * probes, 500_000)
-    near = placed.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(_candidates(MOST_APART), "a long, b long").distinct()
-    met = C.components(near)
-    nodes = met.join(classes.select(F.col("id").alias("node"), "copies", "vector"), "node")
-    sizes = nodes.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > LINK_BLOCK)
-    pairs = _in_blocks(nodes, "component", "node", LINK_BLOCK, sizes).select("group", "side", F.col("node").alias("id"), "copies", "vector", "other")
-    parts = C.partitions_for(df, 1, 1)
-    verified = C.checkpointed(pairs.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(_verifier(threshold), "id long, links long, root long"))
-    counts = verified.groupBy("id").agg(F.sum("links").alias("links"))
-    groups = C.components(verified.where("root is not null").select(F.col("root").alias("a"), F.col("id").alias("b"))).withColumnRenamed("node", "id")
-    known = classes.select("digest", "id", "copies").join(counts, "id", "left").join(groups, "id", "left")
-    known = known.select("digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    coded = C.checkpointed(classes.select("node", "vector").mapInArrow(_coder(total, tables, probes, PER_BUCKET), "node long, sketch binary, buckets array<long>"))
+    # a vector's best bucket of the first table is its cell
+    nodes = P.in_blocks(coded.withColumn("cell", F.get("buckets", F.lit(0))), "cell", F.ceil(F.count("*") / LINK_BLOCK))
+    entries = nodes.select("node", "block", "sketch", F.explode("buckets").alias("bucket"))
+    met = P.meeting(entries, lambda x, y: np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)).sum(1, dtype=np.int64) <= MOST_APART, C.partitions_for(df, total * tables * probes, 500_000))
+    placed = met.join(nodes.select("node", "block"), "node").join(classes.select("node", "copies", F.col("vector").alias("value")), "node")
+    found = P.verified(placed, _linker(threshold), C.partitions_for(df, met.count(), 100_000))
+    counts = found.groupBy("node").agg(F.sum("links").alias("links"))
+    known = classes.select("digest", "node", "id", "copies").join(counts, "node", "left").join(P.members_of(found, classes), "node", "left")
+    known = known.select("digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     # the second key makes Spark deal both sides anew, so that it can split a vector with very many copies
-    found = F.when(F.col("id").isNotNull(), F.col("digest"))
-    out = read.select("id", found.alias("digest"), F.xxhash64(found).alias("key")).join(known.withColumn("key", F.xxhash64("digest")), ["key", "digest"], "left")
+    digest = F.when(F.col("id").isNotNull(), F.col("digest"))
+    out = read.select("id", digest.alias("digest"), F.xxhash64(digest).alias("key")).join(known.withColumn("key", F.xxhash64("digest")), ["key", "digest"], "left")
     out = out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(f"`{id_col}`") == F.col("component_id"), F.lit(True)))
 

@@ -1,10 +1,10 @@
 """N-gram Jaccard join: MinHash banding with band and row counts chosen for a target recall, a shuffle on band
 hashes, and pairs verified on full n-gram sets.
 
-Documents with the same words are one class; only a class's smallest document goes on. Documents that share a
-band hash become candidates through the band's smallest member, so a band of m members makes m - 1 rows, not
-all pairs. Connected candidates meet once, in blocks of bounded size, where every pair of the block is verified
-on its whole n-gram sets; what leaves a block are counts and a spanning forest of its links.
+Documents with the same words are one class; only a class's smallest document goes on. Documents that share a band
+hash meet as sketches, a byte of each permutation; pairs whose sketches are near name the two blocks that they lie
+in, and documents of equal pairs of blocks meet once more, where every pair is verified on its whole n-gram sets.
+What leaves a meeting are counts and a spanning forest of its links.
 """
 
 from __future__ import annotations
@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _common as C
+from . import _pairs as P
 
 N_GRAM, THRESHOLD, RECALL, MAX_PERMUTATIONS = 5, 0.8, 0.9999, 128
 #: Documents and characters of one block.
-BLOCK_DOCS, BLOCK_CHARS = 256, 6_000_000
+BLOCK_DOCS, BLOCK_CHARS = 512, 6_000_000
 OUTPUTS = ("class_id", "n_links", "component_id", "kept")
 
 
@@ -50,8 +51,6 @@ def shingles(text: str, n: int, words: C.WordHashes, rolling: C.Rolling) -> np.n
 
 
 def _signer(n: int, bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    schema = pa.schema([("id", pa.int64()), ("digest", pa.binary()), ("chars", pa.int64()), ("bands", pa.list_(pa.int64()))])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -62,20 +61,23 @@ def _signer(n: int, bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]
         weights = draw.integers(0, 1 << 63, (bands, rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         own = draw.integers(0, 1 << 63, bands, dtype=np.uint64)
         for batch in batches:
-            digests, chars, signed = [], [], []
-            for text in batch.column(1):
+            digests, chars, sketches, signed = [], [], [], []
+            for text in batch.column(3):
                 text = text.as_py() or ""
                 got = shingles(text, n, words, rolling)
                 chars.append(len(text))
                 digests.append(xxhash.xxh3_128_digest(b" ".join(text.lower().encode("utf-8", "surrogatepass").split())) if len(got) else None)
                 if not len(got):
+                    sketches.append(None)
                     signed.append([])
                     continue
                 least = np.full(bands * rows, np.uint64(0xFFFFFFFFFFFFFFFF))
                 for at in range(0, len(got), 4096):
                     least = np.minimum(least, (times[:, None] * got[None, at : at + 4096] + plus[:, None]).min(1))
+                sketches.append((C.mix(least) & np.uint64(255)).astype(np.uint8).tobytes())
                 signed.append(C.mix((C.mix(least).reshape(bands, rows) * weights).sum(1, dtype=np.uint64) + own).view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(chars, pa.int64()), pa.array(signed, pa.list_(pa.int64()))], schema=schema)
+            made = [pa.array(digests, pa.binary()), pa.array(chars, pa.int64()), pa.array(sketches, pa.binary()), pa.array(signed, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *made], names=["row", "id", "hash", "digest", "chars", "sketch", "bands"])
 
     return run
 
@@ -106,126 +108,109 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-class Forest:
-    """Union-find whose roots are the smallest members."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.root(x), self.root(y)
-        if x == y:
-            return False
-        self.up[max(x, y)] = min(x, y)
-        return True
-
-
-def forest_of(links: np.ndarray) -> list[tuple[int, int]]:
-    """(member, root) rows that connect what a symmetric boolean matrix links."""
-    forest = Forest(len(links))
-    for x in range(len(links)):
-        for y in np.flatnonzero(links[x, :x]).tolist():
-            forest.join(x, y)
-    return [(x, r) for x in range(len(links)) if (r := forest.root(x)) != x]
-
-
-def _verifier(n: int, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Groups of rows (group, side, id, copies, text, other), sorted by group: verifies pairs of a block where side
-    and other are equal, else the pairs between the two blocks, of which one may be empty."""
-    schema = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
-
-    def block(rows: list[tuple], words: C.WordHashes, rolling: C.Rolling) -> list[tuple[int, int, int | None]]:
-        across = rows[0][1] != rows[0][5]
-        if across and len({r[1] for r in rows}) == 1:
-            return []
-        rows = sorted({r[2]: r for r in rows}.values(), key=lambda r: r[2])
-        ids, copies = [r[2] for r in rows], np.array([r[3] for r in rows], np.int64)
-        sets = [shingles(r[4] or "", n, words, rolling) for r in rows]
-        size = np.array([len(s) for s in sets], np.float64)
-        both = shared_counts(sets)
-        links = (both > 0) & (both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9)
-        np.fill_diagonal(links, False)
-        if across:
-            side = np.array([r[1] for r in rows])
-            links &= side[:, None] != side[None, :]
-        count = links @ copies
-        root = dict(forest_of(links))
-        return [(ids[k], int(count[k]), ids[root[k]] if k in root else None) for k in range(len(ids)) if count[k]]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def linker(n: int, threshold: float) -> Callable[[], Callable[[list], np.ndarray]]:
+    def make() -> Callable[[list], np.ndarray]:
         words, rolling = C.WordHashes(), C.Rolling(n)
-        rows: list[tuple] = []
-        out: list[tuple] = []
-        pack = lambda out: pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], schema=schema)
-        for batch in batches:
-            for r in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if rows and rows[0][0] != r[0]:
-                    out += block(rows, words, rolling)
-                    rows = []
-                rows.append(r)
-                if len(out) > 20_000:
-                    yield pack(out)
-                    out = []
-        if rows:
-            out += block(rows, words, rolling)
-        if out:
-            yield pack(out)
 
-    return run
+        def linked(texts: list) -> np.ndarray:
+            sets = [shingles(t or "", n, words, rolling) for t in texts]
+            size = np.array([len(s) for s in sets], np.float64)
+            both = shared_counts(sets)
+            return (both > 0) & (both >= threshold * (size[:, None] + size[None, :] - both) - 1e-9)
 
+        return linked
 
-def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N_GRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """One row per input row: id_col, class_id (smallest id with the same words), n_links (other rows whose n-gram
-    Jaccard similarity is `threshold` or more, copies included), component_id (smallest id reachable by links)
-    and kept (id = component_id).
+    return make
 
-    N-grams are n lower-cased words in a row. A text of fewer words is one n-gram of all of them. A null or
-    empty text has no n-grams and links with nothing; a null id gets null class and component and is kept. A
-    repeated row counts as a copy. A pair at the threshold is found with probability `recall`, others with more.
-    """
+
+def _nearness(threshold: float, permutations: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Sketches are one byte of each permutation's least value. Those of a pair at the threshold agree in t * p of p
+    on average; the cut is six standard deviations below."""
+    cut = threshold * permutations - 6 * math.sqrt(permutations * threshold * (1 - threshold))
+    return lambda x, y: (x == y).sum(1) >= cut
+
+
+def _signed(df: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows: int) -> DataFrame:
+    """(row, id, hash, digest, chars, sketch, bands) of every row, checkpointed; id and hash name a row's text."""
+    text = F.col(f"`{text_col}`").cast("string")
+    slim = df.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(C.text_or_empty(text)).alias("hash"), text.alias("text"))
+    kind = df.schema[id_col].dataType.simpleString()
+    return C.checkpointed(slim.mapInArrow(_signer(n, bands, rows), f"row long, id {kind}, hash long, digest binary, chars long, sketch binary, bands array<long>"))
+
+
+def _judged(df: DataFrame, id_col: str, text_col: str, n: int, threshold: float, recall: float) -> DataFrame:
+    """(row, id, hash, class_id, n_links, component_id, kept) of every row."""
     bands, rows = bands_for(threshold, recall)
-    slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = C.checkpointed(slim.mapInArrow(_signer(n, bands, rows), "id long, digest binary, chars long, bands array<long>"))
+    signed = _signed(df, id_col, text_col, n, bands, rows)
     whole = signed.where("id is not null and digest is not null")
-    classes = C.checkpointed(whole.groupBy("digest").agg(F.min_by(F.struct("id", "chars"), "id").alias("r"), F.count("*").alias("copies"), F.min_by("bands", "id").alias("bands")).select("digest", "r.id", "r.chars", "copies", "bands"))
-
-    banded = classes.select("id", F.posexplode("bands").alias("band", "hash"))
-    leaders = banded.groupBy("band", "hash").agg(F.min("id").alias("leader"), F.count("*").alias("members")).where("members > 1").drop("members")
-    edges = banded.join(leaders, ["band", "hash"]).where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    met = C.components(edges)
-
-    nodes = met.join(classes.select(F.col("id").alias("node"), "chars", "copies"), "node")
-    sizes = nodes.groupBy("component").agg(F.count("*").alias("docs"), F.sum("chars").alias("all_chars"))
-    blocks = sizes.select("component", F.greatest(F.lit(1), F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("all_chars") / BLOCK_CHARS)).cast("int").alias("blocks"))
-    placed = nodes.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("node", "copies", F.xxhash64("component", F.least("own", "other"), F.greatest("own", "other")).alias("group"), F.col("own").alias("side"), "other")
-    # a block meets itself once, and every other block once
-    parts = C.partitions_for(df, 1, 1)
-    texts = slim.join(placed, slim.id == placed.node).select("group", "side", "id", "copies", "text", "other")
-    verified = texts.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(_verifier(n, threshold), "id long, links long, root long")
-    verified = C.checkpointed(verified)
-
-    links = verified.groupBy("id").agg(F.sum("links").alias("links"))
-    groups = C.components(verified.where("root is not null").select(F.col("root").alias("a"), F.col("id").alias("b")))
-    known = classes.select("digest", F.col("id").alias("class_id"), "copies").join(links.withColumnRenamed("id", "class_id"), "class_id", "left").join(groups.withColumnRenamed("node", "class_id"), "class_id", "left")
-    known = known.select("digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "class_id").alias("component_id"))
+    least = F.min_by(F.struct("id", F.col("row").alias("first_row"), "hash", "chars", "sketch", "bands"), F.struct("id", "row"))
+    classes = whole.groupBy("digest").agg(least.alias("r"), F.count("*").alias("copies")).select("digest", "r.*", "copies")
+    classes = C.checkpointed(classes.withColumn("node", F.monotonically_increasing_id()))
+
+    # rows whose least neighbour over all buckets is one lie in one block, as near copies mostly do
+    banded = classes.select("node", F.explode("bands").alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").withColumn("key", F.xxhash64("bucket"))
+    entries = C.checkpointed(banded.withColumn("key", F.xxhash64("bucket")).join(shared, ["key", "bucket"]).select("node", "bucket", "leader"))
+    cells = entries.groupBy("node").agg(F.min("leader").alias("cell")).join(classes.select("node", "chars", "sketch"), "node")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("chars") / BLOCK_CHARS))
+    nodes = P.in_blocks(cells, "cell", blocks).select("node", "block", "sketch")
+    met = P.meeting(entries.select("node", "bucket").join(nodes, "node"), _nearness(threshold, bands * rows), C.partitions_for(df, entries.count(), 500_000))
+
+    text = F.col(f"`{text_col}`").cast("string")
+    texts = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(C.text_or_empty(text)).alias("hash"), text.alias("value"))
+    # of rows that share id and text, each meeting takes one
+    placed = met.join(nodes.select("node", "block"), "node").join(classes.select("node", "id", "hash", "copies"), "node")
+    found = P.verified(texts.join(placed, ["id", "hash"]), linker(n, threshold), C.partitions_for(df, met.count(), 20_000))
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    known = classes.join(links, "node", "left").join(P.members_of(found, classes), "node", "left").select(
+        "digest",
+        F.col("id").alias("class_id"),
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.coalesce("component_id", "id").alias("component_id"),
+        F.coalesce("keeper", "first_row").alias("keeper"),
+    )
     # the second key makes Spark deal both sides anew, so that it can split a class with very many copies
-    keyed = known.withColumn("key", F.xxhash64("digest"))
-    found = F.when(F.col("id").isNotNull(), F.col("digest"))
-    out = signed.select("id", found.alias("digest"), F.xxhash64(found).alias("key")).join(keyed, ["key", "digest"], "left")
-    out = out.select(
-        F.col("id").alias(id_col),
+    digest = F.when(F.col("id").isNotNull(), F.col("digest"))
+    out = signed.select("row", "id", "hash", digest.alias("digest"), F.xxhash64(digest).alias("key")).join(known.withColumn("key", F.xxhash64("digest")), ["key", "digest"], "left")
+    return out.select(
+        "row",
+        "id",
+        "hash",
         F.coalesce("class_id", "id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "id").alias("component_id"),
+        F.coalesce(F.col("row") == F.col("keeper"), F.lit(True)).alias("kept"),
     )
-    return out.withColumn("kept", F.coalesce(F.col(f"`{id_col}`") == F.col("component_id"), F.lit(True)))
+
+
+def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N_GRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """One row per input row: id_col, class_id (smallest id with the same words), n_links (other rows whose n-gram
+    Jaccard similarity is `threshold` or more, copies included), component_id (smallest id reachable by links)
+    and kept (true for one row of each component: the row of the smallest id, of repeated ones the first).
+
+    N-grams are n lower-cased words in a row. A text of fewer words is one n-gram of all of them; texts of any length
+    are read whole. A null or empty text has no n-grams and links with nothing; a null id gets null class and
+    component; both are kept. A repeated row counts as a copy. Rows that share an id but not a text are told apart.
+    Ids may be of any type that has an order. Other columns of df, however named, play no part. An empty table gives
+    an empty result. A pair at the threshold is found with probability `recall`, others with more.
+    """
+    judged = _judged(df, id_col, text_col, n, threshold, recall)
+    return judged.select(F.col("id").alias(id_col), *OUTPUTS)
+
+
+def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N_GRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """The rows of df that jaccard_join() keeps, with df's own columns. Rows that share an id go or stay by their own
+    text; of rows that share id and text one stays."""
+    names = (C.free_name(df.columns, "id"), C.free_name(df.columns, "hash"))
+    judged = _judged(df, id_col, text_col, n, threshold, recall).where("id is not null").groupBy("id", "hash").agg(F.count("*").alias("rows"), F.sum(F.col("kept").cast("long")).alias("stay"))
+    judged = C.checkpointed(judged.where("stay < rows").select(F.col("id").alias(names[0]), F.col("hash").alias(names[1]), "stay"))
+    keyed = df.withColumn(names[0], F.col(f"`{id_col}`")).withColumn(names[1], F.xxhash64(C.text_or_empty(F.col(f"`{text_col}`"))))
+    own = [F.col(f"`{c}`") for c in df.columns]
+    stay = keyed.join(judged.drop("stay"), list(names), "left_anti").select(*own)
+    again = judged.where("stay > 0").drop("stay")
+    if again.isEmpty():
+        return stay
+    return stay.unionByName(keyed.join(again, list(names)).dropDuplicates(list(names)).select(*own))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,9 @@ into maximal removal intervals.
 3. The documents meet their hashes by bundles of ids, hash their windows again and cut the union of the
    repeated ones.
 
-Hashes have 64 bits, over 64-bit hashes of the words, besides those bits that choose the partition.
+A window has two hashes of 64 bits each, of two bases: one chooses the range, the other names the window in it, so
+that two windows are taken for each other with a chance of the windows of one range in 2**64, however many ranges
+there are.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ WINDOW = 20
 #: with the input; a task works on them one after the other, so its memory is that of one, and there are at most so
 #: many tasks (or the session's shuffle partitions, if more).
 CHUNK_WORDS, RANGE_WINDOWS, MOST_TASKS = 500_000, 1_500_000, 20_000
+#: Hashes that a task of many ranges takes apart at once.
+REGROUP = 4_000_000
 OUTPUTS = ("n_words", "n_removed", "kept_text", "removed_spans")
 
 
@@ -40,13 +44,18 @@ def _runs(covered: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-def _counter(n: int, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    schema = pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("items", pa.binary()), ("settled", pa.bool_())])
+#: Packed rows: of a task or range the ids of documents, how many items each has, and the items.
+_PACKED = pa.schema([("part", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary()), ("items", pa.binary()), ("settled", pa.bool_())])
 
-    def chunk(docs: list[tuple[int, np.ndarray]], rolling: C.Rolling) -> pa.RecordBatch | None:
+
+def _counter(n: int, parts: int, tasks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    schema = _PACKED
+
+    def chunk(docs: list[tuple[int, np.ndarray]], rolling: C.Rolling, ranging: C.Rolling) -> pa.RecordBatch | None:
         docs.sort(key=lambda x: x[0])
         sizes = np.array([len(x) for _, x in docs])
-        hashes = rolling(np.concatenate([x for _, x in docs]))
+        words = np.concatenate([x for _, x in docs])
+        hashes = rolling(words)
         row = np.repeat(np.arange(len(docs)), sizes)[: len(hashes)]
         start = np.arange(len(hashes)) - (np.cumsum(sizes) - sizes)[row]
         inside = np.flatnonzero(start + n <= sizes[row])
@@ -72,23 +81,23 @@ def _counter(n: int, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                 column.append(value)
 
         go = np.flatnonzero(first)
-        owner = ((hashes[go] >> np.uint64(7)) % np.uint64(parts)).astype(np.int64)
-        by = np.argsort(owner, kind="stable")  # keeps the order of rows inside each part
-        ends = np.searchsorted(owner[by], np.arange(parts + 1))
-        for part in range(parts):
-            if ends[part] < ends[part + 1]:
-                mine = go[by[ends[part] : ends[part + 1]]]
-                put(part, row[mine], hashes[mine], False)
+        part = (ranging(words)[inside][go] % np.uint64(parts)).astype(np.int64)
+        task = part % tasks
+        by = np.argsort(task, kind="stable")  # keeps the order of rows inside each task
+        ends = np.append(np.flatnonzero(np.concatenate(([True], task[by][1:] != task[by][:-1]))), len(by))
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            mine = by[a:b]
+            put(int(task[mine[0]]), row[go[mine]], hashes[go[mine]] if parts == tasks else np.stack((hashes[go[mine]], part[mine].astype(np.uint64)), 1), False)
         if repeated.any():
             mine = np.flatnonzero(repeated)
             step = (np.diff(row[mine]) != 0) | (np.diff(start[mine]) > n)
             opens, closes = np.concatenate(([0], np.flatnonzero(step) + 1)), np.concatenate((np.flatnonzero(step), [len(mine) - 1]))
             spans = np.stack((start[mine][opens], start[mine][closes] + n), 1).astype(np.int32)
-            put(int(ids[0] % parts), row[mine][opens], spans, True)
+            put(int(ids[0] % tasks), row[mine][opens], spans, True)
         return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, rolling, docs, held = C.WordHashes(), C.Rolling(n), [], 0
+        words, rolling, ranging, docs, held = C.WordHashes(), C.Rolling(n), C.Rolling(n, C.OTHER_BASE), [], 0
         for batch in batches:
             for doc, text in zip(batch.column(0), batch.column(1), strict=True):
                 found = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
@@ -96,19 +105,51 @@ def _counter(n: int, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                     docs.append((doc.as_py(), words.array(found)))
                     held += len(found)
                 if held >= CHUNK_WORDS:
-                    if (out := chunk(docs, rolling)) is not None:
+                    if (out := chunk(docs, rolling, ranging)) is not None:
                         yield out
                     docs, held = [], 0
-        if docs and (out := chunk(docs, rolling)) is not None:
+        if docs and (out := chunk(docs, rolling, ranging)) is not None:
             yield out
 
     return run
 
 
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Where a task has many ranges: takes its hashes apart by range, REGROUP at a time, so that neither the chunks
+    nor this task make a row for each hash."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        ids, items = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+        held.clear()
+        order = np.lexsort((ids, items[:, 1]))
+        ids, items = ids[order], items[order]
+        edges = np.append(np.flatnonzero(np.concatenate(([True], items[1:, 1] != items[:-1, 1]))), len(ids)).tolist()
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            own, counts = np.unique(ids[a:b], return_counts=True)
+            row = (int(items[a, 1]), own.tobytes(), counts.astype(np.int32).tobytes(), items[a:b, 0].tobytes(), False)
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _PACKED, strict=True)], schema=_PACKED)
+
+    for batch in batches:
+        rest = [k for k, settled in enumerate(batch.column(4).to_pylist()) if settled]
+        if rest:
+            yield batch.take(pa.array(rest)).cast(_PACKED)
+        for _, ids, counts, items, settled in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if not settled:
+                held.append((np.repeat(np.frombuffer(ids, np.int64), np.frombuffer(counts, np.int32)), np.frombuffer(items, np.uint64).reshape(-1, 2)))
+                size += len(held[-1][0])
+        if size >= REGROUP:
+            yield from out()
+            size = 0
+    if held:
+        yield from out()
+
+
 def _owner(bundles: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Ranges of hashes, one after the other: names to each document the hashes that a smaller document holds.
     Documents are addressed in bundles, so that a document costs no row for each range that has found something."""
-    schema = pa.schema([("__bundle", pa.int64()), ("__ids", pa.binary()), ("__counts", pa.binary()), ("__items", pa.binary()), ("__settled", pa.bool_())])
+    schema = _PACKED
 
     def rows(ids: np.ndarray, items: np.ndarray, settled: bool) -> Iterator[pa.RecordBatch]:
         if not len(ids):
@@ -178,7 +219,7 @@ class _Named:
         return self.items[a:b]
 
 
-def _cutter(n: int, id_at: str, text_at: str, names: list[str], schema: pa.Schema, lines: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _cutter(n: int, id_at: str, text_at: str, names: list[str], schema: pa.Schema, lines: bool, own: dict[str, str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     import re
 
     word = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -199,11 +240,11 @@ def _cutter(n: int, id_at: str, text_at: str, names: list[str], schema: pa.Schem
             at = lambda name, batch=batch: batch.column(batch.schema.get_field_index(name))
             n_words, n_removed, kept, spans = [], [], [], []
             documents = []
-            for k, (bundle, document) in enumerate(zip(at("__bundle").to_pylist(), at("__document").to_pylist(), strict=True)):
+            for k, (bundle, document) in enumerate(zip(at(own["bundle"]).to_pylist(), at(own["document"]).to_pylist(), strict=True)):
                 if bundle != now:
                     named, settled, now, closed = _Named(np.uint64, 1), _Named(np.int32, 2), bundle, False
                 if not document:  # what is named to a bundle comes before its documents
-                    (settled if at("__settled")[k].as_py() else named).add(*(at(x)[k].as_py() for x in ("__ids", "__counts", "__items")))
+                    (settled if at(own["settled"])[k].as_py() else named).add(*(at(own[x])[k].as_py() for x in ("ids", "counts", "items")))
                     continue
                 if not closed:
                     named.close()
@@ -215,8 +256,8 @@ def _cutter(n: int, id_at: str, text_at: str, names: list[str], schema: pa.Schem
                 found = raw.split()
                 cover = np.zeros(len(found) + 1, np.int64)
                 if len(found) >= n:
-                    if len(own := named.of(doc)):
-                        starts = np.flatnonzero(np.isin(rolling(words.array(found)), own))
+                    if len(hashes := named.of(doc)):
+                        starts = np.flatnonzero(np.isin(rolling(words.array(found)), hashes))
                         cover[starts] += 1
                         cover[starts + n] -= 1
                     pairs = settled.of(doc)
@@ -235,9 +276,9 @@ def _cutter(n: int, id_at: str, text_at: str, names: list[str], schema: pa.Schem
                 spans.append([{"start": a, "end": b} for a, b in _runs(covered)])
             if not documents:
                 continue
-            own = [at(x).take(pa.array(documents)) for x in names]
+            kept_columns = [at(x).take(pa.array(documents)) for x in names]
             made = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, schema.field("removed_spans").type)]
-            yield pa.RecordBatch.from_arrays([*own, *made], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*kept_columns, *made], names=schema.names)
 
     return run
 
@@ -256,8 +297,9 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     id, or in the same document further left. Ids are integers. kept_text joins the kept words by one space, or
     with keep_white_space leaves the text's own white space (a text that loses nothing stays as it is).
     A null text counts as empty. A row with a null id has no place in the order: it loses nothing and nothing
-    is removed because of it. Rows with one id are one document and don't remove each other's equal starts.
-    Input columns named like an output are replaced.
+    is removed because of it. Rows with one id are one document and don't remove each other's equal starts, so
+    repeated rows keep the same words. Texts of any length are read whole. An empty table gives an empty result.
+    Input columns named like an output are replaced; other columns stay, however named.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -267,11 +309,15 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     parts = C.partitions_for(df, chars / 6, RANGE_WINDOWS)
     tasks = min(parts, C.partitions_for(df, MOST_TASKS, 1))
     bundles = _prime(parts)
-    counted = slim.mapInArrow(_counter(window, parts), "part int, ids binary, counts binary, items binary, settled boolean")
-    named = counted.repartitionById(tasks, F.pmod(F.col("part"), F.lit(tasks))).sortWithinPartitions("part").mapInArrow(_owner(bundles), "__bundle long, __ids binary, __counts binary, __items binary, __settled boolean")
-    docs = df.withColumn("__bundle", F.coalesce(F.pmod(F.col(f"`{id_col}`").cast("long"), F.lit(bundles)), F.lit(0)).cast("long")).withColumn("__document", F.lit(True))
-    both = named.withColumn("__document", F.lit(False)).unionByName(docs, allowMissingColumns=True)
-    both = both.repartitionById(tasks, F.pmod(F.col("__bundle"), F.lit(tasks)).cast("int")).sortWithinPartitions("__bundle", "__document")
+    packed = "part long, ids binary, counts binary, items binary, settled boolean"
+    counted = slim.mapInArrow(_counter(window, parts, tasks), packed).repartitionById(tasks, F.pmod("part", F.lit(tasks)).cast("int"))
+    ranges = counted if parts == tasks else counted.mapInArrow(_ranges, packed)
+    named = ranges.sortWithinPartitions("part").mapInArrow(_owner(bundles), packed)
+    own = {x: C.free_name(df.columns, x) for x in ("bundle", "document", "ids", "counts", "items", "settled")}
+    named = named.select(F.col("part").alias(own["bundle"]), *[F.col(x).alias(own[x]) for x in ("ids", "counts", "items", "settled")], F.lit(False).alias(own["document"]))
+    docs = df.withColumn(own["bundle"], F.coalesce(F.pmod(F.col(f"`{id_col}`").cast("long"), F.lit(bundles)), F.lit(0)).cast("long")).withColumn(own["document"], F.lit(True))
+    both = named.unionByName(docs, allowMissingColumns=True)
+    both = both.repartitionById(tasks, F.pmod(own["bundle"], F.lit(tasks)).cast("int")).sortWithinPartitions(own["bundle"], own["document"])
     added = [
         C.field("n_words", T.LongType()),
         C.field("n_removed", T.LongType()),
@@ -279,7 +325,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         C.field("removed_spans", T.ArrayType(T.StructType([C.field("start", T.IntegerType()), C.field("end", T.IntegerType())]))),
     ]
     out = T.StructType([*df.schema.fields, *added])
-    return both.mapInArrow(_cutter(window, id_col, text_col, df.columns, to_arrow_schema(out), keep_white_space), out)
+    return both.mapInArrow(_cutter(window, id_col, text_col, df.columns, to_arrow_schema(out), keep_white_space, own), out)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
