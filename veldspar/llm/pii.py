@@ -1,5 +1,5 @@
 """PII by DataFrame functions alone: regular expressions propose spans, checksum validators (Luhn, modulo 97)
-confirm them, and words just before a span adjust its score.
+confirm them, and whole words near a span, on both sides, adjust its score.
 
 Every pattern is possessive or bounded and starts only where a run of its characters starts, so a text of any
 length is read in linear time. A match and the gap before it come out of one scan; positions are the running
@@ -17,7 +17,7 @@ from . import _common as C
 
 CHUNK, CONTEXT_CHARS = 256, 40
 #: A span of the method's own kinds needs this score; base spans stay whatever their score.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 50
 SPAN = "struct<start:bigint,rank:int,end:bigint,kind:string,score:double>"
 
 
@@ -26,22 +26,28 @@ class Kind:
     name: str
     pattern: str
     applies: str  # a cheap necessary condition
-    score: float
+    score: int  # per cent, and what a context word adds
+    more: int
     context: str
     base: bool = True
 
 
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 KINDS = (
-    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.9, "mail|contact|write|reach"),
-    Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}", r"[0-9]\.[0-9]", 0.6, "ip|host|server|address|login"),
-    Kind("card", r"[0-9](?:[ -]?[0-9])++", r"[0-9](?:[ -]?[0-9]){11}", 0.8, "card|visa|credit|debit|pay"),
-    Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]", 0.6, "phone|tel|call|mobile|fax|ring"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", 0.8, "iban|account|bank|transfer", base=False),
-    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.3, "ssn|social security|tax id|national id", base=False),
+    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 90, 10, "e-?mails?|mails?|contacts?|write|reach"),
+    Kind("ip", r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}", r"[0-9]\.[0-9]", 60, 20, "ip|ipv4|hosts?|servers?|address|addresses|logins?"),
+    Kind("card", r"[0-9](?:[ -]?[0-9])++", r"[0-9](?:[ -]?[0-9]){11}", 80, 20, "cards?|visa|mastercard|credit|debit|pay|paid|payment"),
+    Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]", 60, 30, "phones?|tel|telephone|calls?|mobile|fax|ring"),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", 80, 15, "iban|accounts?|bank|transfers?", base=False),
+    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 30, 50, "ssn|social security|tax id|national id", base=False),
 )
 
 
+def near_words(kind: Kind) -> str:
+    """A pattern of the kind's context words, whole ones, in lower-cased text."""
+    return f"(^|[^a-z0-9])({kind.context})([^a-z0-9]|$)"
+
+
 def luhn(digits: Column) -> Column:
     size = F.length(digits)
 
@@ -78,12 +84,17 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _piece(kind: str):
-    def piece(gap: Column, match: Column) -> Column:
-        valid = F.coalesce(_valid(kind, match), F.lit(False))
-        return F.struct(F.length(gap).cast("long").alias("gap"), F.length(match).cast("long").alias("size"), F.right(gap, F.lit(CONTEXT_CHARS)).alias("before"), valid.alias("valid"))
+def _pieces(text: Column, kind: Kind) -> Column:
+    """Of each match the gap before it, its size, whether it is valid and the kind's words are near."""
+    whole = F.lit(f"(?s)\\G(.*?)({kind.pattern})(?=(.{{0,{CONTEXT_CHARS}}}))")
+    gaps, matches, after = (F.regexp_extract_all(text, whole, F.lit(k)) for k in (1, 2, 3))
+
+    def piece(x: Column) -> Column:
+        gap, match = x["0"], x["1"]
+        near = F.lower(F.right(gap, F.lit(CONTEXT_CHARS))).rlike(near_words(kind)) | F.lower(x["2"]).rlike(near_words(kind))
+        return F.struct(F.length(gap).cast("long").alias("gap"), F.length(match).cast("long").alias("size"), near.alias("near"), F.coalesce(_valid(kind.name, match), F.lit(False)).alias("valid"))
 
-    return piece
+    return F.transform(F.arrays_zip(gaps.alias("0"), matches.alias("1"), after.alias("2")), piece)
 
 
 def _of_kind(kind: str):
@@ -101,9 +112,8 @@ def _place(chunks: Column, offsets: Column, kind: Kind, rank: int) -> Column:
     def one(chunk: Column, offset: Column) -> Column:
         def step(state: Column, piece: Column) -> Column:
             start = state["at"] + piece["gap"]
-            near = F.lower(piece["before"]).rlike(kind.context)
-            score = F.when(near, F.least(F.lit(1.0), F.lit(kind.score) + F.lit(0.1 if kind.base or kind.score > 0.5 else 0.5))).otherwise(F.lit(kind.score))
-            span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + piece["size"]).alias("end"), F.lit(kind.name).alias("kind"), score.alias("score"))
+            score = F.when(piece["near"], F.lit(kind.score + kind.more)).otherwise(F.lit(kind.score))
+            span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + piece["size"]).alias("end"), F.lit(kind.name).alias("kind"), (score / 100).alias("score"))
             keep = piece["valid"] if kind.base else piece["valid"] & (score >= LEAST_SCORE)
             return F.struct((start + piece["size"]).alias("at"), F.when(keep, F.array_append(state["out"], span)).otherwise(state["out"]).alias("out"))
 
@@ -114,37 +124,32 @@ def _place(chunks: Column, offsets: Column, kind: Kind, rank: int) -> Column:
 
 def find_pii(df: DataFrame, text_col: str = "text", out_col: str = "pii_spans") -> DataFrame:
     """df with out_col: all spans of personal data, an array of structs (start, rank, end, kind, score) in the
-    order of start and kind; positions are code points, ends are exclusive.
+    order of start and kind; positions are code points, ends are exclusive; score is from 0 to 1. Words count as near
+    within 40 characters after a match, and before it back to the match of its kind before.
 
-    A null or empty text has no spans. Spans of different kinds may overlap. Repeated rows each get their spans.
-    An input column named like the output is replaced.
+    A null or empty text has no spans; an empty table gives an empty result; texts of any length are read whole.
+    Spans of different kinds may overlap; those that start together stand in the order of KINDS. Repeated rows each
+    get their spans. An input column named like the output is replaced; other columns stay, however named.
     """
-    df = C.without(df, [out_col])
-    own = df.columns
-    text = C.text_or_empty(F.col(f"`{text_col}`"))
-    made = df.select("*", text.alias("__text"))
-    pieces, chunks, offsets, spans = {}, {}, {}, {}
-    for k in KINDS:
-        whole = F.lit(f"(?s)\\G(.*?)({k.pattern})")
-        here = F.contains(F.col("__text"), F.lit(k.applies)) if k.applies == "@" else F.col("__text").rlike(k.applies)
-        both = F.zip_with(
-            F.regexp_extract_all("__text", whole, F.lit(1)),
-            F.regexp_extract_all("__text", whole, F.lit(2)),
-            _piece(k.name),
-        )
-        pieces[f"__{k.name}"] = F.when(here, both)
-    made = made.withColumns(pieces)
+    df = C.without(df, [out_col] if out_col.lower() != text_col.lower() else [])
+    own = [c for c in df.columns if c.lower() != out_col.lower()]
+    names = [*own, out_col, text_col]
+    text_at = C.free_name(names, "text")
+    at = {k.name: C.free_name(names, k.name) for k in KINDS}
+    ends = {k.name: C.free_name(names, f"{k.name}_at") for k in KINDS}
+    text = F.col(text_at)
+    made = df.select("*", C.text_or_empty(F.col(f"`{text_col}`")).alias(text_at))
+    here = {k.name: F.contains(text, F.lit(k.applies)) if k.applies == "@" else text.rlike(k.applies) for k in KINDS}
+    made = made.withColumns({at[k.name]: F.when(here[k.name], _pieces(text, k)) for k in KINDS})
+    made = made.withColumns({name: _chunks(F.col(name)) for name in at.values()})
+    offsets = {}
     for k in KINDS:
-        chunks[f"__{k.name}"] = _chunks(F.col(f"__{k.name}"))
-    made = made.withColumns(chunks)
-    for k in KINDS:
-        sizes = F.transform(f"__{k.name}", lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda total, p: total + p["gap"] + p["size"]))
-        offsets[f"__{k.name}_at"] = F.aggregate(sizes, F.array(F.lit(0).cast("long")), lambda ends, s: F.array_append(ends, F.element_at(ends, -1) + s))
+        sizes = F.transform(at[k.name], lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda total, p: total + p["gap"] + p["size"]))
+        offsets[ends[k.name]] = F.aggregate(sizes, F.array(F.lit(0).cast("long")), lambda ends, s: F.array_append(ends, F.element_at(ends, -1) + s))
     made = made.withColumns(offsets)
-    for rank, k in enumerate(KINDS):
-        spans[f"__{k.name}"] = F.coalesce(_place(F.col(f"__{k.name}"), F.col(f"__{k.name}_at"), k, rank), F.array().cast(f"array<{SPAN}>"))
-    made = made.withColumns(spans)
-    return made.withColumn(out_col, F.array_sort(F.concat(*[F.col(f"__{k.name}") for k in KINDS]))).select(*[f"`{c}`" for c in own], out_col)
+    none = F.array().cast(f"array<{SPAN}>")
+    made = made.withColumns({at[k.name]: F.coalesce(_place(F.col(at[k.name]), F.col(ends[k.name]), k, rank), none) for rank, k in enumerate(KINDS)})
+    return made.select(*[F.col(f"`{c}`") for c in own], F.array_sort(F.concat(*[F.col(x) for x in at.values()])).alias(out_col))
 
 
 def joined(spans: Column) -> Column:
@@ -152,30 +157,46 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def scored(spans: Column) -> Column:
+    """kind:start:end:score in per cent, by start and kind, joined by commas."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"), F.round(s["score"] * 100).cast("int").cast("string"))), ",")
+
+
+def _openers(spans: Column) -> Column:
+    """Structs (start, kind, before) of the spans that no earlier one overlaps; before is where the last one ended."""
+    chunks = _chunks(spans)
+    tops = F.transform(chunks, lambda c: F.array_max(F.transform(c, lambda s: s["end"])))
+    offsets = F.aggregate(tops, F.array(F.lit(0).cast("long")), lambda ends, top: F.array_append(ends, F.greatest(F.element_at(ends, -1), top)))
+    zero = F.array().cast("array<struct<start:bigint,kind:string,before:bigint>>")
+
+    def one(chunk: Column, offset: Column) -> Column:
+        def step(state: Column, s: Column) -> Column:
+            opener = F.struct(s["start"].alias("start"), s["kind"].alias("kind"), state["at"].alias("before"))
+            return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.array_append(state["out"], opener).alias("out"))
+
+        return F.aggregate(chunk, F.struct(offset.alias("at"), zero.alias("out")), step, lambda state: state["out"])
+
+    return F.filter(F.flatten(F.zip_with(chunks, F.slice(offsets, F.lit(1), F.size(chunks)), one)), lambda o: o["start"] >= o["before"])
+
+
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with every span of personal data in text_col replaced by its kind in brackets; overlapping spans become
-    one, named by the first. A null text stays null; a text without spans stays as it is."""
+    one, named by the first. A null text stays null; a text without spans stays as it is; repeated rows get equal
+    texts; other columns stay, however named. Texts are cut by chunks of spans, so that very many spans stay cheap."""
     own = df.columns
-    spans_at = C.free_name(own, "spans")
+    spans_at, opened_at = C.free_name(own, "spans"), C.free_name(own, "opened")
     found = find_pii(df, text_col, spans_at)
-    zero = F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>")
-
-    def merge(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
-        plain = F.array_append(done, F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-        wider = F.array_append(F.slice(done, F.lit(1), F.size(done) - 1), F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind")))
-        return F.when((F.size(done) > 0) & (F.get(done, F.size(done) - 1)["end"] > s["start"]), wider).otherwise(plain)
-
-    merged = found.withColumn(spans_at, F.when(F.size(spans_at) > 0, F.aggregate(spans_at, zero, merge)))
-    text, spans = F.col(f"`{text_col}`"), F.col(spans_at)
+    opened = found.withColumn(opened_at, F.when(F.size(spans_at) > 0, _chunks(_openers(F.col(spans_at)))))
+    text = F.col(f"`{text_col}`")
 
-    def piece(s: Column, k: Column) -> Column:
-        before = F.when(k == 0, F.lit(0).cast("long")).otherwise(F.get(spans, k - 1)["end"])
-        return F.concat(text.substr((before + 1).cast("int"), (s["start"] - before).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+    def clean(chunk: Column) -> Column:
+        base = F.get(chunk, F.lit(0))["before"]
+        body = text.substr((base + 1).cast("int"), (F.element_at(chunk, -1)["start"] - base).cast("int"))
+        return F.array_join(F.transform(chunk, lambda s: F.concat(body.substr((s["before"] - base + 1).cast("int"), (s["start"] - s["before"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))), "")
 
-    tail = text.substr((F.element_at(spans, -1)["end"] + 1).cast("int"), F.length(text))
-    clean = F.when(spans.isNull(), text).otherwise(F.concat(F.array_join(F.transform(spans, piece), ""), tail))
-    return merged.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in own])
+    tail = text.substr((F.array_max(F.transform(spans_at, lambda s: s["end"])) + 1).cast("int"), F.length(text))
+    new = F.when(F.col(opened_at).isNull(), text).otherwise(F.concat(F.array_join(F.transform(opened_at, clean), ""), tail))
+    return opened.select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in own])
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +204,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans, base = F.col("pii_spans"), [k for k in KINDS if k.base]
     counts = [F.size(F.filter(spans, _of_kind(k.name))).cast("long").alias(f"n_{k.name}") for k in base]
     of_base = F.filter(spans, lambda s: s["rank"] < len(base))
-    return docs.select("doc_id", *counts, F.sha2(joined(of_base), 256).alias("base_sha256"), joined(spans).alias("spans"))
+    return docs.select("doc_id", *counts, F.sha2(joined(of_base), 256).alias("base_sha256"), joined(spans).alias("spans"), scored(spans).alias("scores"))
 
 
 def _sql() -> str:
@@ -193,24 +214,26 @@ def _sql() -> str:
         "card": (r"[0-9](?:[ -]?[0-9])+", "length(d) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda k: CASE WHEN k % 2 = 1 THEN d[length(d) - k + 1]::INT ELSE (2 * d[length(d) - k + 1]::INT) - CASE WHEN d[length(d) - k + 1]::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0"),
         "phone": (r"\+[0-9][ ().0-9-]+[0-9]", "length(d) BETWEEN 9 AND 15"),
         "iban": (r"\b[A-Z]{2}[0-9]{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})\b", "length(c) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, list_transform(string_split(c[5:] || c[:4], ''), lambda x: strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', x) - 1)), lambda r, v: CASE WHEN v > 9 THEN (r * 100 + v) % 97 ELSE (r * 10 + v) % 97 END) = 1"),
-        "ssn": (r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "regexp_matches(lower(g[-40:]), 'ssn|social security|tax id|national id')"),
+        "ssn": (r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "score >= 50"),
     }
     parts = []
     for rank, (kind, (pattern, valid)) in enumerate(of.items()):
-        parts.append(f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, s, s + length(m) AS e FROM (
-  SELECT doc_id, ms[i] AS m, gs[i] AS g, regexp_replace(ms[i], '[^0-9]', '', 'g') AS d, replace(ms[i], ' ', '') AS c,
+        near = f"regexp_matches(lower(right(gs[i], {CONTEXT_CHARS})), '{near_words(KINDS[rank])}') OR regexp_matches(lower(substring(t, (s + length(m) + 1)::BIGINT, {CONTEXT_CHARS})), '{near_words(KINDS[rank])}')"
+        parts.append(f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, s, s + length(m) AS e, score FROM (
+  SELECT *, {KINDS[rank].score} + CASE WHEN {near} THEN {KINDS[rank].more} ELSE 0 END AS score FROM (SELECT doc_id, t, ms, gs, i, ms[i] AS m, regexp_replace(ms[i], '[^0-9]', '', 'g') AS d, replace(ms[i], ' ', '') AS c,
     coalesce(list_sum(list_transform(gs[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s
-  FROM (SELECT doc_id, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS ms, regexp_split_to_array(t, '{pattern}') AS gs FROM d))
+  FROM (SELECT doc_id, t, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM (SELECT doc_id, t, regexp_extract_all(t, '{pattern}') AS ms, regexp_split_to_array(t, '{pattern}') AS gs FROM d)))
 ) WHERE {valid}""")
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), spans AS (
 {' UNION ALL '.join(parts)}
 ), per AS (
   SELECT doc_id, count(*) FILTER (rank = 0) AS n_email, count(*) FILTER (rank = 1) AS n_ip, count(*) FILTER (rank = 2) AS n_card, count(*) FILTER (rank = 3) AS n_phone,
-    string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, rank) FILTER (rank < 4) AS base, string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, rank) AS spans
+    string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, rank) FILTER (rank < 4) AS base, string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, rank) AS spans,
+    string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT || ':' || score, ',' ORDER BY s, rank) AS scores
   FROM spans GROUP BY doc_id
 )
 SELECT d.doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIGINT AS n_ip, coalesce(n_card, 0)::BIGINT AS n_card, coalesce(n_phone, 0)::BIGINT AS n_phone,
-  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
 FROM d LEFT JOIN per USING (doc_id)"""
 
 
