@@ -1,7 +1,8 @@
 """Quality rules: cross-document line frequency. Normalised lines are hashed, distinct documents are counted per
 host and line, lines above the limits go, and documents that lose most of their words are rejected.
 
-Copies of one text count once, so that a text that is copied often isn't taken for boilerplate.
+Distinct documents are distinct texts: copies of one text are one document here. Counted by ids, a text that is
+copied often would make boilerplate of all its own lines, and the one copy that should stay would be rejected too.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from . import _common as C
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 50, 50, 3
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
-#: A line is frequent if this many documents of a host have it, and this share of the host's documents.
-LINE_DOCS, LINE_SHARE = 20, 0.2
+#: A line is frequent if this many documents of a host have it, and more than this share of the host's documents; the
+#: share makes the rule behave alike in a host of a thousand documents and in one of a thousand million.
+LINE_DOCS, LINE_SHARE = 20, 0.05
 #: A document is depleted if less than this percentage of its words is left.
 LEFT_PERCENT = 30
 LINE_OUTPUTS = ("kept_text", "removed_lines")
@@ -120,7 +122,9 @@ def quality_rules(
 
     A null or empty text has no words, so it fails. Rows with a null host form one host. Repeated rows are one
     text to the line counts and each gets its row. base_failed: fewer than 50 words, or more than half of the
-    words repeat. kept is false if base_failed, or if less than left_percent of the words is left.
+    words repeat. kept is false if base_failed, or if less than left_percent of the words is left. A line is frequent
+    if at least line_docs texts and more than line_share of the host's texts hold it. Texts of any length are read
+    whole; ids of any type pass through; other columns play no part; an empty table gives an empty result.
     """
     features = C.checkpointed(line_features(df, id_col, text_col, host_col).withColumn("row", F.monotonically_increasing_id()))
     out = _judged(features, line_docs, line_share, left_percent)
@@ -152,7 +156,8 @@ def without_frequent_lines(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, left_percent: int = LEFT_PERCENT
 ) -> DataFrame:
     """The rows of df that quality_rules() keeps, with kept_text (the text without the lines above the limits) and
-    removed_lines. Input columns named like an output are replaced.
+    removed_lines. Input columns named like an output are replaced; other columns stay, however named. Null ids,
+    hosts and texts, long texts and repeated rows are treated as by quality_rules().
 
     The verdict and the lines follow from host and text alone, so rows find them by these and not by their ids.
     """
