@@ -4,7 +4,7 @@ boundaries that minimise padding; token-budget batches form inside each bucket.
 The histogram has one bin for each distinct length, so the boundaries are optimal. What reaches the driver are
 16 bytes a distinct length, and texts of T tokens in all have fewer than sqrt(2 T) + 1 of them, 1.4 million in 1e12.
 Documents are numbered inside (bucket, chunk) and shifted by the chunks' counts, so that no bucket,
-however large, meets in one task.
+however large, meets in one task; rows are dealt to chunks by their number, so repeats of one row spread too.
 """
 
 from __future__ import annotations
@@ -65,8 +65,12 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, totals: np.ndarr
     return [int(top[k]) for k in reversed(ends)]
 
 
+def _length(column: Column) -> Column:
+    return F.greatest(F.coalesce(column.cast("long"), F.lit(0)), F.lit(0))
+
+
 def length_boundaries(df: DataFrame, length_col: str, buckets: int = BUCKETS) -> list[int]:
-    lengths = df.select(F.coalesce(F.col(length_col).cast("long"), F.lit(0)).alias("n"))
+    lengths = df.select(_length(F.col(f"`{length_col}`")).alias("n"))
     bins = lengths.groupBy("n").agg(F.count("*").alias("docs")).toArrow()
     top, docs = (bins.column(k).to_numpy() for k in range(2))
     order = np.argsort(top)
@@ -79,21 +83,29 @@ def pack(df: DataFrame, id_col: str = "doc_id", length_col: str = "n_tokens", bu
     batch (from 0 inside the bucket), slot (from 0 inside the batch) and padding.
 
     A batch of a bucket holds floor(token_budget / bucket_length) documents, one at least: a document longer
-    than the budget is a batch of its own and isn't cut. A null length counts as 0. Repeated rows each get a
-    slot; ties go by length, then id. An empty table gives an empty result.
+    than the budget is a batch of its own and isn't cut. A null or negative length counts as 0, a null id is packed
+    like any other. Repeated rows each get a slot; ties go by length, then id. Other columns play no part. An empty
+    table gives an empty result.
     """
-    slim = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(length_col).cast("long"), F.lit(0)).alias("n"))
-    ends = length_boundaries(slim.withColumnRenamed("n", "__n"), "__n", buckets) or [0]
+    return _packed(C.checkpointed(_numbered(df, id_col, F.col(f"`{length_col}`"))), id_col, length_col, buckets, token_budget)
+
+
+def _numbered(df: DataFrame, id_col: str, length: Column) -> DataFrame:
+    return df.select(F.col(f"`{id_col}`").alias("id"), _length(length).alias("n"), F.monotonically_increasing_id().alias("row"))
+
+
+def _packed(slim: DataFrame, id_col: str, length_col: str, buckets: int, token_budget: int) -> DataFrame:
+    ends = length_boundaries(slim, "n", buckets) or [0]
     bucket = F.lit(len(ends) - 1)
     for k in range(len(ends) - 2, -1, -1):
         bucket = F.when(F.col("n") <= ends[k], F.lit(k)).otherwise(bucket)
     length = F.element_at(F.lit(ends).cast("array<bigint>"), F.col("bucket") + 1)
-    chunks = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = slim.select("id", "n", bucket.cast("int").alias("bucket"), F.pmod(F.xxhash64("id", "n"), F.lit(chunks)).cast("int").alias("chunk"))
+    chunks = 4 * C.partitions_for(slim, slim.count(), 1_000_000)
+    placed = slim.select("id", "n", "row", bucket.cast("int").alias("bucket"), F.pmod(F.xxhash64("row"), F.lit(chunks)).cast("int").alias("chunk"))
     counts = placed.groupBy("bucket", "chunk").agg(F.count("*").alias("docs"))
     before = Window.partitionBy("bucket").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("bucket", "chunk", F.coalesce(F.sum("docs").over(before), F.lit(0)).alias("offset"))
-    own = placed.withColumn("rank", F.row_number().over(Window.partitionBy("bucket", "chunk").orderBy("n", "id")))
+    own = placed.withColumn("rank", F.row_number().over(Window.partitionBy("bucket", "chunk").orderBy("n", "id", "row")))
     numbered = own.join(offsets, ["bucket", "chunk"]).withColumn("at", F.col("offset") + F.col("rank") - 1).withColumn("bucket_length", length)
     room = F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.greatest(F.col("bucket_length"), F.lit(1)))).cast("long")
     return numbered.withColumn("room", room).select(
@@ -113,9 +125,8 @@ def word_count(column: Column) -> Column:
 
 
 def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, token_budget: int = TOKEN_BUDGET) -> DataFrame:
-    """pack() by the number of words of each whole text."""
-    lengths = C.checkpointed(df.select(F.col(id_col), word_count(F.col(text_col)).alias("n_tokens")))
-    return pack(lengths, id_col, "n_tokens", buckets, token_budget)
+    """pack() by the number of words of each whole text, however long; a null or empty text has none."""
+    return _packed(C.checkpointed(_numbered(df, id_col, word_count(F.col(f"`{text_col}`")))), id_col, "n_tokens", buckets, token_budget)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
