@@ -3,7 +3,7 @@
 Every prefix of a piece has one encoding that merges would give, and it is fixed by its last token: for each
 prefix, the last token is the one token that ends there, whose own start is a prefix's end, and that may stand
 next to that prefix's last token. Storing last tokens makes appends exact (only new prefixes are worked out) and
-lets an edit re-encode from just before it. Two tokens may stand side by side if no merge of less rank crosses
+lets an edit re-encode from it to where the old last tokens return. Two tokens may stand side by side if no merge of less rank crosses
 their border while each is built, which is read off the order of merges inside both.
 """
 
@@ -118,10 +118,21 @@ class Prefixes:
                     last[end] = token
 
     def edit(self, start: int, end: int, new: bytes) -> None:
-        """Puts `new` in place of bytes start to end; prefixes before the edit are kept."""
-        tail = self.data[end:]
+        """Puts `new` in place of bytes start to end. Prefixes before the edit are kept; those after it are worked out
+        until as many in a row as the longest token has bytes end in the tokens that they ended in before: what comes
+        later looks no further back, so it is as it was."""
+        tail, known = self.data[end:], self.last[end + 1 :]
         self.data, self.last = self.data[:start], self.last[: start + 1]
-        self.append(new + tail)
+        self.append(new)
+        step, done = self.vocabulary.longest, 0
+        while done < len(tail):
+            self.append(tail[done : done + step])
+            same = self.last[-min(step, len(tail) - done) :] == known[done : done + step]
+            done += step
+            if same and done < len(tail):
+                self.data += tail[done:]
+                self.last += known[done:]
+                break
 
     def tokens(self) -> list[int]:
         out, end = [], len(self.data)
@@ -203,8 +214,8 @@ def encode(df: DataFrame, text_col: str = "text", path: str | None = None, patte
     decoded_sha256 of text_col.
 
     Each match of the pattern is encoded by itself, without special tokens. A null or empty text has no tokens.
-    Texts of any length take time in proportion. Input columns named like an output are replaced. path None
-    means the public vocabulary of 50,256 ranks, found where the task runs.
+    Texts of any length take time in proportion. Repeated rows get equal ids; an empty table gives an empty result.
+    Input columns named like an output are replaced; other columns stay, however named. path None means the public vocabulary of 50,256 ranks, found where the task runs.
     """
     df = C.without(df, [x for x in OUTPUTS if x != text_col])
     names = keep if keep is not None else df.columns
