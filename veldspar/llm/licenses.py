@@ -4,6 +4,8 @@ hits are aggregated by offset diagonal, neighbouring diagonals merge, and spans
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,23 +21,38 @@ _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: The wording by which public licenses ask to be named, and their first conditions.
+#: The wording by which public licenses ask to be named, short licenses whole, and first conditions of
+#: longer ones. Whole texts of those are a parameter: `corpus` takes any list of (label, text).
 TEMPLATES = (
     ("apache", "Licensed under the Apache License, Version 2.0"),
     ("apache", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("apache", "distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
     ("mit", "Released under the MIT License"),
+    ("mit", "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd-2-clause", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED"),
+    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
+    ("boost", "Boost Software License - Version 1.0 - August 17th, 2003. Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("gpl-2", "as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"),
+    ("gpl-3", "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
     ("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
     ("agpl", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License"),
+    ("artistic", "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. Preamble. This license establishes the terms under which a given free software Package may be copied, modified, distributed, and/or redistributed"),
+    ("cc0", "has waived all copyright and related or neighboring rights"),
+    ("cc0", "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("wtfpl", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE"),
 )
+#: Template k-grams that are broadcast; more are joined by a shuffle.
+BROADCAST_GRAMS = 1_000_000
 
 
 def words_of(text: Column) -> Column:
@@ -44,8 +61,14 @@ def words_of(text: Column) -> Column:
 
 
 def grams_of(words: Column, k: int) -> Column:
+    """Of every k words in a row their hash and what they say; null for fewer words."""
     starts = F.sequence(F.lit(0), F.size(words) - k)
-    return F.when(F.size(words) >= k, F.transform(starts, lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)])))
+
+    def gram(i: Column) -> Column:
+        own = [F.get(words, i + j) for j in range(k)]
+        return F.struct(F.xxhash64(*own).alias("gram"), F.concat_ws(" ", *own).alias("said"))
+
+    return F.when(F.size(words) >= k, F.transform(starts, gram))
 
 
 def _phrases_at(words: Column) -> Column:
@@ -64,21 +87,25 @@ def _phrases_at(words: Column) -> Column:
     return F.filter(places, lambda p: p["label"].isNotNull())
 
 
-def templates(spark: SparkSession, k: int = K_GRAM) -> DataFrame:
-    """(gram, template, label, place, grams): the k-grams of the fixed templates, a few hundred rows."""
-    rows = [(t, label, text) for t, (label, text) in enumerate(TEMPLATES)]
-    made = spark.createDataFrame(rows, "template int, label string, text string").withColumn("words", words_of(F.col("text"))).withColumn("all", grams_of(F.col("words"), k))
-    return made.select("template", "label", F.size("all").alias("grams"), F.posexplode("all").alias("place", "gram"))
+def templates(spark: SparkSession, corpus: Sequence[tuple[str, str]] = TEMPLATES, k: int = K_GRAM) -> DataFrame:
+    """(template, label, grams, place, gram, said): the k-grams of each text of the corpus."""
+    rows = [(t, label, text) for t, (label, text) in enumerate(corpus)]
+    made = spark.createDataFrame(rows, "template int, label string, text string").withColumn("all", grams_of(words_of(F.col("text")), k))
+    return made.select("template", "label", F.size("all").alias("grams"), F.posexplode("all").alias("place", "of")).select("template", "label", "grams", "place", "of.*")
 
 
-def template_spans(df: DataFrame, key_cols: list[str], words_col: str, k: int = K_GRAM, least_cover: float = LEAST_COVER, drift: int = DRIFT) -> DataFrame:
+def template_spans(df: DataFrame, key_cols: list[str], words_col: str, corpus: Sequence[tuple[str, str]] = TEMPLATES, k: int = K_GRAM, least_cover: float = LEAST_COVER, drift: int = DRIFT) -> DataFrame:
     """key_cols, template, label, start, end (words, end exclusive) and cover of every verified span.
 
-    df has one array of words a row; rows of equal keys must have equal words. Hits of a template in a row
-    whose diagonals (word position less template position) lie within `drift` of the next are one span.
+    df has one array of words a row; rows of equal keys must have equal words. Hits are joined by the hashes of
+    k-grams and hold only where the words are the same. Hits of a template in a row whose diagonals (word position
+    less template position) lie within `drift` of the next are one span.
     """
-    grams = df.select(*key_cols, F.posexplode(grams_of(F.col(words_col), k)).alias("at", "gram"))
-    hits = grams.join(F.broadcast(templates(df.sparkSession, k)), "gram").select(*key_cols, "template", "label", "grams", "at", "place", (F.col("at") - F.col("place")).alias("diagonal"))
+    known = templates(df.sparkSession, corpus, k)
+    if sum(len(text.split()) for _, text in corpus) <= BROADCAST_GRAMS:
+        known = F.broadcast(known)
+    grams = df.select(*key_cols, F.posexplode(grams_of(F.col(words_col), k)).alias("at", "of")).select(*key_cols, "at", F.col("of.gram").alias("gram"), F.col("of.said").alias("said"))
+    hits = grams.join(known, ["gram", "said"]).select(*key_cols, "template", "label", "grams", "at", "place", (F.col("at") - F.col("place")).alias("diagonal"))
     votes = hits.groupBy(*key_cols, "template", "label", "grams", "diagonal").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.collect_set("place").alias("places"))
     by = Window.partitionBy(*key_cols, "template").orderBy("diagonal")
     # neighbours merge only where their hits also lie near each other in the text
@@ -90,22 +117,26 @@ def template_spans(df: DataFrame, key_cols: list[str], words_col: str, k: int =
     return spans.withColumn("cover", cover).where((cover >= least_cover) & long_enough).select(*key_cols, "template", "label", "start", "end", "cover")
 
 
-def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K_GRAM) -> DataFrame:
+def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", corpus: Sequence[tuple[str, str]] = TEMPLATES, k: int = K_GRAM) -> DataFrame:
     """One row per input row: id_col, n_words, n_base (places of the phrases), first_word, last_word (their least
     and greatest start, else null), base_labels, labels (the templates' too), score and spans
-    (array of structs template, label, start, end, cover).
+    (array of structs start, end, template, label, cover).
 
-    score is the best cover of a template, 0.5 at least where a phrase stands, else 0. A null or empty text has
-    no words and no labels. Rows with the same id and text get the same result.
+    score is the best cover of a template, 0.5 at least where a phrase stands, else 0. A null or empty text has no words and no labels; a null id is scanned like
+    any other; texts of any length are read whole; an empty table gives an empty result; other columns play no part.
+    Rows find their spans by a 256-bit digest of id and text, so rows with the same id and text, and only those, share
+    them. Spans that start together stand in the order of end and template.
     """
-    text = C.text_or_empty(F.col(text_col))
-    keyed = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("key"), text.alias("t")).select("id", "key", "t", words_of(F.col("t")).alias("words"))
+    text = C.text_or_empty(F.col(f"`{text_col}`"))
+    name = F.coalesce(F.hex(F.col(f"`{id_col}`").cast("string")), F.lit("-"))
+    keyed = df.select(F.col(f"`{id_col}`").alias("id"), F.unhex(F.sha2(F.concat(name, F.lit(":"), text), 256)).alias("key"), text.alias("t")).select("id", "key", "t", words_of(F.col("t")).alias("words"))
     low = F.lower("t")
     may = (F.contains(low, F.lit("license")) | F.contains(low, F.lit("cc"))) & (F.size("words") > 0)
     base = keyed.select("id", "key", F.size("words").cast("long").alias("n_words"), F.when(may, _phrases_at(F.col("words"))).alias("found"))
-    spans = template_spans(keyed, ["key"], "words", k)
+    spans = template_spans(keyed, ["key"], "words", corpus, k)
     per = spans.groupBy("key").agg(F.max("cover").alias("best"), F.collect_set("label").alias("more"), F.sort_array(F.collect_list(F.struct("start", "end", "template", "label", "cover"))).alias("spans"))
-    out = base.join(per, "key", "left")
+    # the second key makes Spark deal both sides anew, so that it can split a row that is repeated very often
+    out = base.withColumn("deal", F.xxhash64("key")).join(per.withColumn("deal", F.xxhash64("key")), ["deal", "key"], "left")
     none = F.array().cast("array<string>")
     own = F.coalesce(F.array_distinct(F.transform("found", lambda p: p["label"])), none)
     count = F.coalesce(F.size("found"), F.lit(0))
