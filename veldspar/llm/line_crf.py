@@ -1,14 +1,15 @@
 """Quality classifier: a linear-chain conditional random field labels every line good or bad, from features of the
 line and its neighbours; its forward-backward marginals, weighted by length, are the document's quality.
 
-Training labels are those of documents, given to each of their lines (a junk document may hold a good line; the
-chain and the weights by length absorb that). The fit uses a bounded sample of labelled rows, TRAIN_DOCS; it runs
-on the driver over line features alone. Scoring reads every line of every text where it lies, without a shuffle.
+Training labels are those of documents. A first chain takes them for each line; lines that it finds to be clearly of
+the other kind change their label, unless that would leave a document no line of its own label; the chain that counts
+is then fitted to these lines, so that it has seen good and bad lines beside each other. The fit uses a bounded sample
+of labelled rows, TRAIN_DOCS and DOC_CHAINS; it runs on the driver over line features alone. Scoring reads every line
+of every text where it lies, without a shuffle.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -19,9 +20,12 @@ from pyspark.sql import functions as F
 
 from . import _common as C
 
-#: At most so many labelled documents fit the model, chosen by a hash of their ids; lines of one training chain.
-TRAIN_DOCS, CHAIN_LINES = 4000, 64
-STEPS, RATE, DECAY = 300, 0.08, 2e-3
+#: At most so many labelled rows fit the model, chosen by a hash of their ids; lines of one training chain, and chains
+#: of one row, evenly spread over it: at most 4,000 * 8 * 64 lines of 52 bytes reach the driver.
+TRAIN_DOCS, CHAIN_LINES, DOC_CHAINS = 4000, 64, 8
+#: A training line changes its label if the first chain gives its document's label less than this.
+DOUBT = 0.05
+FIRST_STEPS, STEPS, RATE, DECAY = 80, 300, 0.08, 2e-3
 THRESHOLD = 0.7
 HELD_OUT_FOLD, FOLDS = 2, 4
 _UPPER, _DIGIT, _SYMBOL, _MARK, _STOP = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#*$%&<>", b"!|", b".,;:?"
@@ -102,17 +106,17 @@ def _forward_backward(unary: np.ndarray, sizes: np.ndarray, moves: np.ndarray) -
     return both[:, 1] / both.sum(1), counts
 
 
-def fit(x: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> Chain:
-    """Maximum likelihood with L2 decay by Adam over all chains at once; labels are one for each chain."""
+def fit(x: np.ndarray, sizes: np.ndarray, labels: np.ndarray, steps: int = STEPS) -> Chain:
+    """Maximum likelihood with L2 decay by Adam over all chains at once; labels are one for each line."""
     mean, scale = x.mean(0), x.std(0)
     mean[scale < 1e-9], scale[scale < 1e-9] = 0, 1
     z = (x - mean) / scale
-    y = np.repeat(labels, sizes).astype(float)
-    seen = np.zeros((2, 2))
-    for label in (0, 1):
-        seen[label, label] = (sizes[labels == label] - 1).sum()
+    y, seen = labels.astype(float), np.zeros((2, 2))
+    inside = np.ones(max(len(y) - 1, 0), bool)
+    inside[(np.cumsum(sizes) - 1)[:-1]] = False
+    np.add.at(seen, (labels[:-1][inside], labels[1:][inside]), 1)
     theta, m, v = np.zeros(x.shape[1] + 4), np.zeros(x.shape[1] + 4), np.zeros(x.shape[1] + 4)
-    for step in range(1, STEPS + 1):
+    for step in range(1, steps + 1):
         p, counts = _forward_backward(z @ theta[:-4], sizes, np.exp(theta[-4:].reshape(2, 2)))
         grad = np.concatenate((z.T @ (p - y), (counts - seen).ravel())) / len(y) + DECAY * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
@@ -120,10 +124,27 @@ def fit(x: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> Chain:
     return Chain(theta[:-4], theta[-4:].reshape(2, 2), mean, scale)
 
 
+def line_labels(first: Chain, x: np.ndarray, documents: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Labels of lines from those of their documents: a line that the unary weights of the first chain doubt takes the
+    other label, unless its document would keep no line of its own. documents names each line's document."""
+    good = 1 / (1 + np.exp(-np.clip(first.unary(x), -60, 60)))
+    doubted = np.where(labels == 1, good, 1 - good) < DOUBT
+    left = np.bincount(documents, ~doubted)
+    return np.where(doubted & (left[documents] > 0), 1 - labels, labels)
+
+
+def training_chains(own: np.ndarray) -> list[np.ndarray]:
+    """Chains of CHAIN_LINES lines; of a document with more than DOC_CHAINS, so many evenly spread ones."""
+    starts = np.arange(0, len(own), CHAIN_LINES)
+    if len(starts) > DOC_CHAINS:
+        starts = starts[np.linspace(0, len(starts) - 1, DOC_CHAINS).astype(int)]
+    return [own[a : a + CHAIN_LINES] for a in starts]
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        packed = [document_lines(t.as_py() or "")[0].astype(np.float32).tobytes() for t in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), batch.column(1).cast(pa.int32())], names=["lines", "label"])
+        packed = [np.concatenate([np.empty((0, N_LINE)), *training_chains(document_lines(t.as_py() or "")[0])]).astype(np.float32).tobytes() for t in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), batch.column(1).cast(pa.int32()), batch.column(2)], names=["lines", "label", "place"])
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -131,22 +152,27 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = TRAIN_DOCS) -> Chain | None:
-    """Fits the chain to at most `most` labelled documents outside the held-out fold; None where they don't hold
-    both labels."""
-    chosen = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~is_held_out(F.col(id_col)))
-    chosen = chosen.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label")).orderBy(F.xxhash64("__id"), "__id").limit(most)
+    """Fits the chain to at most `most` labelled rows outside the held-out fold; None where they don't hold both
+    labels. Ids whose labels differ are left out, repeated labels count once, null texts and ids not at all."""
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~is_held_out(F.col(id_col)))
+    known = known.groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).cast("int").alias("label"), F.max(label_col).cast("int").alias("other")).where("label = other")
+    chosen = known.select("__id", "label").orderBy(F.xxhash64("__id"), "__id").limit(most)
     # at most `most` rows: a bound that doesn't grow with the input
-    rows = documents.join(F.broadcast(chosen), documents[id_col] == chosen["__id"]).select(F.col(text_col).cast("string").alias("t"), "label").mapInArrow(_features, "lines binary, label int").collect()
-    chains, ys = [], []
-    for r in sorted(rows, key=lambda r: zlib.crc32(r["lines"])):
+    texts = documents.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("t")).where("t is not null")
+    met = texts.join(F.broadcast(chosen), "__id").select("t", "label", F.xxhash64("__id").alias("place")).mapInArrow(_features, "lines binary, label int, place long")
+    rows = met.where(F.length("lines") > 0).orderBy("place", "lines").limit(most).collect()  # ids may repeat
+    chains, ys, owners = [], [], []
+    for k, r in enumerate(rows):
         own = np.frombuffer(r["lines"], np.float32).reshape(-1, N_LINE).astype(float)
-        for a in range(0, len(own), CHAIN_LINES):
-            chains.append(own[a : a + CHAIN_LINES])
-            ys.append(r["label"])
-    if len(set(ys)) < 2:
+        for chain in (own[a : a + CHAIN_LINES] for a in range(0, len(own), CHAIN_LINES)):
+            chains.append(chain)
+            ys.append(np.full(len(chain), r["label"]))
+            owners.append(np.full(len(chain), k))
+    if len({r["label"] for r in rows}) < 2:
         return None
-    sizes = np.array([len(c) for c in chains])
-    return fit(_stacked(chains, sizes), sizes, np.array(ys))
+    sizes, y, owner = np.array([len(c) for c in chains]), np.concatenate(ys), np.concatenate(owners)
+    x = _stacked(chains, sizes)
+    return fit(x, sizes, line_labels(fit(x, sizes, y, FIRST_STEPS), x, owner, y))
 
 
 def _stacked(chains: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
@@ -179,7 +205,8 @@ def score_quality(documents: DataFrame, chain: Chain | None, id_col: str = "doc_
     """One row per input row: id_col, held_out, score, predicted (1 if score >= threshold) and n_lines.
 
     A null or empty text has no line and scores 0. Without a chain (no labels of both kinds) other texts score
-    0.5. A null id is never held out. Repeated rows get equal scores.
+    0.5. A null id is never held out. Repeated rows and texts of the same lines get equal scores; every line of a text
+    of any length counts; other columns play no part; an empty table gives an empty result.
     """
     kind = documents.schema[id_col].dataType.simpleString()
     slim = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
