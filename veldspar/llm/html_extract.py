@@ -3,13 +3,15 @@ tag-class paths per host, and pages are extracted again by their host's winning
 
 A path is the tags and classes from the root to a container, with digits made alike, so that pages of one
 template share it. A page in which no winning path holds nearly all of what its own best container holds is
-extracted by that container.
+extracted by that container: the smallest one with all of the page's text beyond links and junk, so that parts that
+lie beside each other stay together.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -17,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from . import _common as C
 
@@ -24,20 +27,22 @@ from . import _common as C
 PAGE_VOTES, HOST_PATHS, LEAST_VOTE = 3, 3, 0.1
 #: Share of its own best container's score that a winning path must hold in a page.
 FAIR_SHARE = 0.9
-#: Hosts whose winning paths are broadcast; beyond, pages are joined to them by host and salt.
-BROADCAST_HOSTS, SALTS = 50_000, 64
+#: Characters of winning paths that are broadcast; beyond, pages are joined to them by host and salt.
+BROADCAST_CHARS, SALTS = 16_000_000, 64
 OUTPUTS = ("text", "n_chars")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template textarea svg title iframe xmp noembed noframes math".split())
+_RAW = frozenset("script style noscript template textarea svg title iframe xmp noembed noframes annotation annotation-xml".split())
 _GONE = _RAW | frozenset("head nav header footer aside form button select option datalist object canvas dialog menu audio video map".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img math semantics mi mo mn ms mtext mrow mstyle msup msub msubsup mfrac msqrt mroot mover munder munderover mfenced mpadded".split())
 _PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dd dt figcaption summary caption".split())
 _TRANSPARENT = frozenset("ul ol dl table thead tbody tfoot tr li dt dd p h1 h2 h3 h4 h5 h6 figure picture".split()) | _INLINE
 _CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: A start tag closes an open element of these, up to a border.
 _SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}), "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"})}
-_JUNK = frozenset("ad ads advert advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login sidebar aside widget widgets related recommended recommendations share sharing social menu nav navbar navigation breadcrumb breadcrumbs footer header masthead toolbar pagination pager skip copyright disclaimer".split())
+_JUNK = frozenset("ad ads advert advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login sidebar aside widget widgets recommended recommendations share sharing social menu nav navbar navigation breadcrumb breadcrumbs footer header masthead toolbar pagination pager skip copyright disclaimer".split())
+#: "related" in the name of a list of links; a section of an article may be called related-work.
+_RELATED = re.compile(r"\brelated(?:[-_ ]?(?:posts?|articles?|links?|content|stor(?:y|ies)|items?|news|reading|products?|topics?|pages?|list|box|widget))?(?![-_\w])", re.I)
 _REPLIES = frozenset("comment comments disqus reply replies respond discussion".split())
 _GOOD = frozenset("article content main post story entry body text page".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
@@ -50,37 +55,57 @@ _DIGITS = re.compile(r"\d+")
 
 @dataclass
 class Page:
-    """Elements in page order, and blocks of text with the element that holds each."""
+    """Elements in page order, parents first, and blocks of text with the element that holds each."""
 
     tags: list[str] = field(default_factory=list)
-    paths: list[str] = field(default_factory=list)
+    steps: list[str] = field(default_factory=list)
+    codes: list[int] = field(default_factory=list)  # a hash of the path, of this process
     parents: list[int] = field(default_factory=list)
     gone: list[bool] = field(default_factory=list)
     blocks: list[tuple[int, str, int]] = field(default_factory=list)  # element, text, characters in links
 
+    def path(self, at: int) -> str:
+        steps = []
+        while at >= 0:
+            steps.append(self.steps[at])
+            at = self.parents[at]
+        return ">".join(reversed(steps))
+
     def scores(self) -> dict[int, float]:
-        """Text beyond links that each container holds: in full if directly, and a tenth less for each container
-        between. Lists, tables and their rows aren't containers."""
-        out: dict[int, float] = {}
+        """Text beyond links inside each container, more for articles. Lists, tables and their rows aren't containers,
+        and neither is what only wraps a container that holds as much."""
+        worth, most = [0.0] * len(self.tags), [0.0] * len(self.tags)
         for at, text, linked in self.blocks:
-            worth = len(text) - 2 * linked
-            if worth <= 0:
-                continue
             if self.tags[at] in _PARAGRAPH and self.parents[at] >= 0:
                 at = self.parents[at]
-            share = 1.0
-            while at >= 0 and share > 0.05:
-                if self.tags[at] not in _TRANSPARENT:
-                    out[at] = out.get(at, 0.0) + worth * share * (1.3 if self.tags[at] in ("article", "main") else 1.0)
-                    share *= 0.9
-                at = self.parents[at]
+            worth[at] += max(0, len(text) - 2 * linked)
+        out: dict[int, float] = {}
+        for at in range(len(self.tags) - 1, -1, -1):
+            score = worth[at] * (1.3 if self.tags[at] in ("article", "main") else 1.0)
+            if score > most[at] and self.tags[at] not in _TRANSPARENT:
+                out[at] = most[at] = score
+            if (up := self.parents[at]) >= 0:
+                worth[up] += worth[at]
+                most[up] = max(most[up], most[at])
         return out
 
     def inside(self, roots: set[int]) -> list[str]:
+        """The blocks under the roots, and the heading of the page if it stands before them and they have none."""
         under = [False] * len(self.tags)
         for k, parent in enumerate(self.parents):
             under[k] = k in roots or (parent >= 0 and under[parent])
-        return [text for at, text, _ in self.blocks if at >= 0 and under[at]]
+        own = [k for k, (at, _, _) in enumerate(self.blocks) if under[at]]
+        heads = [k for k, (at, _, _) in enumerate(self.blocks) if self.tags[at] == "h1"]
+        if own and not any(under[self.blocks[k][0]] for k in heads):
+            own = [k for k in heads if k < own[0]][-1:] + own
+        return [self.blocks[k][1] for k in own]
+
+
+def path_code(path: str) -> int:
+    code = 0
+    for step in path.split(">"):
+        code = hash((code, step))
+    return code
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -96,10 +121,11 @@ def _is_junk(tag: str, attributes: dict[str, str]) -> bool:
         return True
     if "style" in attributes and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes["style"], re.I):
         return True
-    names = {x.lower() for x in _NAME.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}")}
+    own = f"{attributes.get('class', '')} {attributes.get('id', '')}"
+    names = {x.lower() for x in _NAME.findall(own)}
     if names & _REPLIES or any(x.startswith("comment") for x in names):
         return True
-    junk = names & _JUNK or any(_JUNK_NAME.search(x) for x in names)
+    junk = names & _JUNK or _RELATED.search(own) or any(_JUNK_NAME.search(x) for x in names)
     return bool(junk) and not names & _GOOD and tag not in ("article", "main")
 
 
@@ -109,6 +135,7 @@ def parse(source: str) -> Page:
     page, stack, size = Page(), [], len(source)
     pieces: list[str] = []
     state = {"owner": -1, "linked": 0}
+    opened: Counter[str] = Counter()
     links = 0
 
     def close_block() -> None:
@@ -133,10 +160,11 @@ def parse(source: str) -> Page:
             if page.tags[k] not in _INLINE:
                 close_block()
             links -= page.tags[k] == "a"
+            opened[page.tags[k]] -= 1
         del stack[depth:]
 
     def open_depth(wanted: set[str], borders: set[str] | frozenset[str]) -> int:
-        for depth in range(len(stack) - 1, -1, -1):
+        for depth in range(len(stack) - 1, -1, -1) if any(opened[t] for t in wanted) else ():
             if page.tags[stack[depth]] in wanted:
                 return depth
             if page.tags[stack[depth]] in borders:
@@ -147,13 +175,17 @@ def parse(source: str) -> Page:
         nonlocal links
         parent = stack[-1] if stack else -1
         classes = ".".join(sorted({_DIGITS.sub("N", x.lower()) for x in attributes.get("class", "").split()}))
-        step = f"{tag}.{classes}" if classes else tag
+        step = (f"{tag}.{classes}" if classes else tag).replace(">", "_")
         page.tags.append(tag)
-        page.paths.append(f"{page.paths[parent]}>{step}" if parent >= 0 else step)
+        page.steps.append(step)
+        page.codes.append(hash((page.codes[parent] if parent >= 0 else 0, step)))
         page.parents.append(parent)
-        page.gone.append((parent >= 0 and page.gone[parent]) or _is_junk(tag, attributes))
+        # an article's own header holds its headline
+        headline = tag == "header" and any(page.tags[k] == "article" for k in stack)
+        page.gone.append((parent >= 0 and page.gone[parent]) or (not headline and _is_junk(tag, attributes)))
         stack.append(len(page.tags) - 1)
         links += tag == "a"
+        opened[tag] += 1
 
     push("html", {})
     at = 0
@@ -229,7 +261,7 @@ def parse(source: str) -> Page:
 
 
 def best_containers(page: Page, most: int = PAGE_VOTES) -> list[tuple[int, float]]:
-    return sorted(page.scores().items(), key=lambda x: (-x[1], x[0]))[:most]
+    return sorted(page.scores().items(), key=lambda x: (-x[1], -x[0]))[:most]
 
 
 def extract(source: str | None, paths: list[str] | None = None) -> str:
@@ -238,10 +270,11 @@ def extract(source: str | None, paths: list[str] | None = None) -> str:
     scores = page.scores()
     if not scores:
         return "\n\n".join(text for _, text, _ in page.blocks)
-    top = min(scores, key=lambda k: (-scores[k], k))
+    top = min(scores, key=lambda k: (-scores[k], -k))
     held, best = 0.0, {top}
     for path in paths or []:
-        roots = {k for k, p in enumerate(page.paths) if p == path and not page.gone[k]}
+        code = path_code(path)
+        roots = {k for k, c in enumerate(page.codes) if c == code and not page.gone[k] and page.path(k) == path}
         share = sum(scores.get(k, 0.0) for k in roots)
         if roots and share > held and share >= FAIR_SHARE * scores[top]:
             held, best = share, roots
@@ -257,7 +290,7 @@ def _voter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = sum(s for _, s in found)
             for k, score in found:
                 hosts.append(host.as_py())
-                paths.append(page.paths[k])
+                paths.append(page.path(k))
                 votes.append(score / total)
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(votes, pa.float64())], names=["host", "path", "vote"])
 
@@ -282,9 +315,12 @@ def host_paths(df: DataFrame, url_col: str = "url", html_col: str = "html") -> D
     order in which they are summed doesn't matter."""
     slim = df.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
     votes = slim.mapInArrow(_voter, "host string, path string, vote double").groupBy("host", "path").agg(F.round(F.sum("vote"), 6).alias("votes"))
-    ranked = votes.groupBy("host").agg(F.max("votes").alias("top"), F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("order"), "path"))).alias("all"))
-    winners = F.filter(F.slice("all", 1, HOST_PATHS), lambda x: -x["order"] >= LEAST_VOTE * F.col("top"))
-    return ranked.select("host", F.transform(winners, lambda x: x["path"]).alias("paths"))
+    # a rank below a limit is cut off in every partition before the hosts' paths meet
+    by = Window.partitionBy("host").orderBy(F.desc("votes"), "path")
+    ranked = votes.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= HOST_PATHS)
+    best = ranked.groupBy("host").agg(F.max("votes").alias("top"), F.array_sort(F.collect_list(F.struct("rank", "votes", "path"))).alias("all"))
+    winners = F.filter("all", lambda x: x["votes"] >= LEAST_VOTE * F.col("top"))
+    return best.select("host", F.transform(winners, lambda x: x["path"]).alias("paths"))
 
 
 def extract_pages(df: DataFrame, url_col: str = "url", html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
@@ -293,15 +329,18 @@ def extract_pages(df: DataFrame, url_col: str = "url", html_col: str = "html", k
 
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden elements and reader
     comments go; character references are decoded and white space inside a block is one space. A null or empty
-    page gives an empty text; pages without a host form one host; repeated rows get equal texts. Input columns
-    named like an output are replaced.
+    page gives an empty text; pages without a host (null urls too) form one host; repeated rows get equal texts; pages
+    of any length and depth are read whole; an empty table gives an empty result. Of containers with equal scores the
+    inner one counts, of paths with equal votes the first by name. Input columns named like an output are replaced;
+    other columns stay, however named.
     """
     df = C.without(df, [x for x in OUTPUTS if x not in (url_col, html_col)])
     names = [n for n in (keep if keep is not None else df.columns) if n not in OUTPUTS]
     host, paths, salt = (C.free_name(df.columns, x) for x in ("host", "paths", "salt"))
     winners = C.checkpointed(host_paths(df, url_col, html_col)).select(F.col("host").alias(host), F.col("paths").alias(paths))
     hosted = df.select(*dict.fromkeys([*names, html_col])).withColumn(host, host_of(F.col(url_col))) if url_col in names else df.withColumn(host, host_of(F.col(url_col)))
-    if winners.count() <= BROADCAST_HOSTS:
+    chars = winners.agg(F.sum(F.length(host) + F.length(F.array_join(paths, ">")))).first()[0] or 0
+    if chars <= BROADCAST_CHARS:
         met = hosted.join(F.broadcast(winners), host, "left")
     else:
         salted = winners.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
