@@ -1,5 +1,7 @@
 import itertools
 import random
+import re
+import string
 
 import numpy as np
 import pytest
@@ -77,7 +79,7 @@ def test_pipeline_stages(spark):
         counts.append(docs.count())
         if name != "packing":
             assert docs.columns == columns
-    assert counts[0] >= counts[1] == counts[2] == counts[3] == counts[4] > 0
+    assert counts[0] >= counts[1] and counts[1] == counts[2] == counts[3] == counts[4] > 0
     assert corpus_pipeline.run(spark, sf).count() == counts[-1]
 
 
@@ -104,3 +106,67 @@ def test_pipeline_takes_odd_rows(spark):
         docs = spark.createDataFrame(stage(spark, docs, "").collect(), docs.schema)
     got = {r["doc_id"]: r for r in docs.collect()}
     assert set(got) == {1, None} and got[1]["text"].endswith("[EMAIL]") and got[1]["n_chars"] == len(got[1]["text"])
+
+
+def test_pack_spreads_repeats_and_takes_odd_lengths(spark):
+    rows = [(1, 20, "x")] * 400 + [(2, -5, "x"), (3, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id int, n_tokens int, row string").repartition(3)
+    got = K.pack(df, buckets=2, token_budget=200).collect()
+    assert len({(r["bucket"], r["batch"], r["slot"]) for r in got}) == len(rows)
+    assert sorted(r["n_tokens"] for r in got)[:3] == [0, 0, 20]
+    long = spark.createDataFrame([("a", "w " * 300_000), ("b", None)], "doc_id string, text string")
+    assert {r["doc_id"]: (r["n_tokens"], r["slot"]) for r in K.pack_documents(long).collect()} == {"a": (300_000, 0), "b": (0, 0)}
+
+
+def test_pipeline_by_brute_force(spark):
+    """All stages but packing against plain Python, over odd rows: repeats, an id that is kept and rejected, copies."""
+    from test_dedup import brute_links
+    from test_text import BASE, brute_rules, passes
+
+    rng = random.Random(12)
+    own = lambda n: [f"{rng.choice(string.ascii_lowercase)}{rng.randint(0, 9999)}x" for _ in range(n)]
+    passage = own(60)
+    rows = []
+    for k in range(40):
+        words = own(90)
+        if k % 5 == 0:
+            words[10:10] = passage
+        if k % 7 == 0:
+            words[3:3] = [f"mail me{k}@host{k}.org"]
+        rows.append((k, " ".join(words)))
+    rows += [(50, rows[3][1]), (51, rows[4][1] + " end"), (52, "too short"), (6, "also too short"), (60, rows[8][1]), (8, rows[8][1]), (None, rows[9][1]), (None, rows[9][1]), (53, None), (54, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, __row int").repartition(3)
+    got, columns = docs, docs.columns
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        got = spark.createDataFrame(stage(spark, got, "").collect(), docs.schema)
+        assert got.columns == columns
+
+    stay = [(i, t) for i, t in rows if not brute_rules(t)[-1]]
+    ids = dict(enumerate(t for i, t in stay))
+    named = {k: i for k, (i, _) in enumerate(stay)}
+    comp = brute_links([(k, t) for k, t in ids.items() if named[k] is not None])
+    first = {}
+    for k, (_, c) in comp.items():
+        first[c] = min(first.get(c, (named[k], k)), (named[k], k))
+    stay = [(i, t) for k, (i, t) in enumerate(stay) if i is None or first[comp[k][1]] == (i, k)]
+    seen, cut = set(), []
+    for i, t in sorted((x for x in stay if x[0] is not None), key=lambda x: x[0]):
+        w = t.split(" ")
+        wins = [tuple(w[p : p + 20]) for p in range(len(w) - 19)]
+        gone = {q for p, x in enumerate(wins) if x in seen for q in range(p, p + 20)}
+        seen |= set(wins)
+        cut.append((i, " ".join(x for q, x in enumerate(w) if q not in gone)))
+    cut += [x for x in stay if x[0] is None]
+
+    def clean(t):
+        spans = sorted((m.start(), m.end(), k) for k, p in BASE.items() for m in re.finditer(p, t) if passes(k, m[0]))
+        out, at = "", 0
+        for s, e, k in spans:
+            if s >= at:
+                out += t[at:s] + f"[{k.upper()}]"
+            at = max(at, e)
+        return out + t[at:]
+
+    want = sorted((-1 if i is None else i, clean(t), len(clean(t))) for i, t in cut)
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"], r["n_chars"]) for r in got.collect()) == want
+    assert len(want) == 42 and sum("[EMAIL]" in t for _, t, _ in want) == 6

@@ -47,13 +47,35 @@ def texts():
 def test_pii_by_brute_force(spark):
     rows = list(enumerate(texts()))
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id int, text string, __email int")
-    for r in P.find_pii(df.drop("__email")).collect():
+    assert P.find_pii(df).columns == [*df.columns, "pii_spans"]
+    for r in P.find_pii(df).collect():
+        assert r["__email"] == 1
         got = [f"{s['kind']}:{s['start']}:{s['end']}" for s in r["pii_spans"] if s["rank"] < 4]
         assert got == brute_pii(r["text"]), r["text"]
-    kinds = {r["doc_id"]: [s["kind"] for s in r["pii_spans"] if s["rank"] >= 4] for r in P.find_pii(df.drop("__email")).collect()}
+    kinds = {r["doc_id"]: [s["kind"] for s in r["pii_spans"] if s["rank"] >= 4] for r in P.find_pii(df).collect()}
     assert kinds[7] == ["iban", "iban"] and kinds[8] == ["ssn"]
 
 
+def test_pii_context_is_whole_words_on_both_sides(spark):
+    texts = ["ssn 123-45-6789", "123-45-6789 (SSN)", "lessness 123-45-6789", "123-45-6789", "call +1 (499) 555-6503", "+1 (499) 555-6503 is my phone", "recalled +1 (499) 555-6503"]
+    df = spark.createDataFrame(list(enumerate(texts)), "__text int, text string")
+    got = {r["__text"]: [(s["kind"], round(s["score"], 2)) for s in r["pii_spans"]] for r in P.find_pii(df).collect()}
+    assert [got[k] for k in range(7)] == [[("ssn", 0.8)], [("ssn", 0.8)], [], [], [("phone", 0.9)], [("phone", 0.9)], [("phone", 0.6)]]
+
+
+def test_redaction_by_brute_force(spark):
+    rows = list(enumerate(texts()))
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id int, text string, __opened int")
+    spans = {r["doc_id"]: r["pii_spans"] for r in P.find_pii(df).collect()}
+    for r in P.redact(df).collect():
+        text, out, at = dict(rows)[r["doc_id"]], "", 0
+        for s in spans[r["doc_id"]]:
+            if s["start"] >= at:
+                out += text[at : s["start"]] + f"[{s['kind'].upper()}]"
+            at = max(at, s["end"])
+        assert r["text"] == (text if text is None else out + text[at:])
+
+
 def test_pii_long_texts_and_redaction(spark):
     long = "x" * 50_000 + " " + "1" * 60_000 + " " + " ".join(f"u{k}@h{k}.org" for k in range(2000))
     df = spark.createDataFrame([(1, long), (2, "call +1 (499) 555-6503 or a@b.co"), (3, None), (4, "none"), (5, "4111 1111 1111 1111")], "doc_id int, text string")
@@ -97,6 +119,20 @@ def test_bpe_appends_and_edits():
         assert p.tokens() == B.Prefixes(v, a[:at] + b"xyz" + a[at + 1 :] + b).tokens()
 
 
+def test_bpe_edits_stop_where_old_tokens_return():
+    v = vocabulary()
+    rng = random.Random(7)
+    for new in (b"", b"q", b"zzthe and"):
+        data = "".join(rng.choice("abcdeinorst") for _ in range(20_000)).encode()
+        p, read = B.Prefixes(v, data), []
+        p.append = lambda more, p=p, read=read: (read.append(len(more)), B.Prefixes.append(p, more))
+        p.edit(500, 503, new)
+        assert sum(read) < 5000 and p.data == data[:500] + new + data[503:]
+        assert p.last == B.Prefixes(v, p.data).last
+        p.edit(len(p.data) - 1, len(p.data), b"x")
+        assert p.last == B.Prefixes(v, p.data).last
+
+
 def test_bpe_frames(spark):
     df = spark.createDataFrame([(1, "hello world", 5), (2, "", 5), (3, None, 5)], "doc_id int, text string, n_tokens int")
     out = B.encode(df)
@@ -140,10 +176,22 @@ def test_frequent_lines_deplete(spark):
     assert all(got[100 + i]["kept"] for i in range(60)) and all(got[200 + i]["kept"] for i in range(50))
 
 
+BSD = next(text for label, text in L.TEMPLATES if label == "bsd")
+
+
+def test_licenses_of_another_corpus(spark, monkeypatch):
+    corpus = [("own", "one two three four five six"), ("own", "one two"), ("other", "one two three four nine nine nine")]
+    df = spark.createDataFrame([("a", "x one two three four five six y"), ("a", "one two three four nine nine nine"), (None, "one two three")], "doc_id string, text string")
+    want = sorted([("a", "own"), ("a", "other"), ("", "")])
+    for limit in (L.BROADCAST_GRAMS, 0):
+        monkeypatch.setattr(L, "BROADCAST_GRAMS", limit)
+        assert sorted((r["doc_id"] or "", r["labels"]) for r in L.scan_licenses(df, corpus=corpus).collect()) == want
+
+
 def license_rows():
     apache = L.TEMPLATES[1][1]
     changed = apache.replace("may not use", "must never use")
-    return [(1, "code\n" + apache), (2, "x " + changed + " y"), (3, "MIT  License, CC-BY and the apache\nlicense"), (4, None), (5, ""), (6, "licensed under the gnu General public License"), (7, "nothing of the kind"), (8, "é" * 100_000), (9, L.TEMPLATES[5][1] + " z"), (9, L.TEMPLATES[5][1] + " z"), (None, "mit license")]
+    return [(1, "code\n" + apache), (2, "x " + changed + " y"), (3, "MIT  License, CC-BY and the apache\nlicense"), (4, None), (5, ""), (6, "licensed under the gnu General public License"), (7, "nothing of the kind"), (8, "é" * 100_000), (9, BSD + " z"), (9, BSD + " z"), (None, "mit license")]
 
 
 def test_licenses(spark):
@@ -177,6 +225,22 @@ def test_crf_marginals_by_enumeration():
     assert np.allclose(got, np.concatenate([brute_chain(unary[a:b], chain.moves) for a, b in ((0, 3), (3, 4), (4, 9))]))
 
 
+def test_crf_learns_from_mixed_chains(spark):
+    x = np.array([[1.0], [1.0], [-1.0], [-1.0], [-1.0], [1.0]])
+    first = Q.Chain(np.array([9.0]), np.zeros((2, 2)), np.zeros(1), np.ones(1))
+    got = Q.line_labels(first, x, np.array([0, 0, 0, 1, 1, 2]), np.array([1, 1, 1, 0, 0, 0]))
+    assert got.tolist() == [1, 1, 0, 0, 0, 0]  # a doubted line turns; a document's only line doesn't
+    assert [len(c) for c in Q.training_chains(np.zeros((64 * 20 + 1, Q.N_LINE)))] == [64] * 7 + [1]
+    good, bad = "Words of a text, as they should be, stand here.", "### $$$ BUY BUY BUY !!!"
+    rows = [(k, "\n".join([good if k % 2 else bad] * 3), k % 2, 0) for k in range(60)] + [(0, bad, 0, 0), (1, None, 1, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int, label int")
+    labels = df.select("doc_id", "quality").unionByName(spark.createDataFrame([(2, 1), (3, 7), (None, 1)], "doc_id long, quality int"))
+    chain = Q.train(df, labels)
+    got = {(r["doc_id"], r["score"] > 0.5) for r in Q.score_quality(df.where("text is not null"), chain).collect()}
+    assert got == {(k, bool(k % 2)) for k in range(60)}
+    assert Q.score_quality(df.where("doc_id > 99"), chain).collect() == [] and Q.train(df.where("doc_id > 99"), labels) is None
+
+
 def test_crf_held_out(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
@@ -220,7 +284,7 @@ def test_html_article_in_two_parts(spark):
 def test_html_beyond_the_broadcast_bound(spark, monkeypatch):
     df = spark.createDataFrame([(k, f"http://h{k % 3}.x/{k}", PAGE % k) for k in range(9)], "page_id int, url string, html string")
     whole = sorted(map(tuple, H.extract_pages(df).collect()))
-    monkeypatch.setattr(H, "BROADCAST_HOSTS", 0)
+    monkeypatch.setattr(H, "BROADCAST_CHARS", 0)
     assert sorted(map(tuple, H.extract_pages(df).collect())) == whole
 
 
@@ -230,3 +294,46 @@ def test_html_hostile():
     assert H.extract("<table><tr><td>a<td>b<tr><td>c</table>") == "a\n\nb\n\nc"
     assert H.extract("<div><div class=lead><p>%s</div><div class=rest><p>%s</div></div><div><p>tiny</div>" % ("w " * 60, "v " * 200)).startswith("w w")
     assert H.extract("<div><p>%s<ul><li>%s</ul></div>" % ("w " * 60, "v " * 200)).startswith("w w")
+
+
+def test_html_short_parts_stay(spark):
+    part = lambda word, n: f"<div class={word}><p>{f'{word} ' * n}</div>"
+    page = lambda *parts: f"<body><div class=menu>m</div><div class=content>{''.join(parts)}</div>"
+    text = lambda *parts: "\n\n".join(" ".join([w] * n) for w, n in parts)
+    pages = [page(part("text", 200), part("more", 15))] * 80 + [page(part("text", 100), part("more", 100))]
+    df = spark.createDataFrame([(k, "http://h.x/", p, "c", "d") for k, p in enumerate(pages)], "page_id int, url string, html string, __paths string, __salt string")
+    got = {r["page_id"]: r for r in H.extract_pages(df).collect()}
+    assert got[0]["text"] == text(("text", 200), ("more", 15)) and got[80]["text"] == text(("text", 100), ("more", 100))
+    assert (got[80]["__paths"], got[80]["__salt"]) == ("c", "d")
+    assert H.extract(pages[0]) == got[0]["text"] and H.extract(pages[80]) == got[80]["text"]
+
+
+def test_html_of_generated_pages(spark):
+    """Pages put together from known blocks and junk, in several templates: the text is exactly the blocks."""
+    rng = random.Random(21)
+    say = lambda n: " ".join(rng.choice(["river", "stone", "under", "évening", "light", "a", "of"]) for _ in range(n))
+    junk = [lambda: f"<nav><a href=/>{say(3)}</a></nav>", lambda: f"<div class='cookie-notice'>{say(30)}</div>", lambda: f"<aside><p>{say(40)}</p></aside>", lambda: f"<script>var x = '<p>{say(9)}</p>';</script>", lambda: f"<div class=related-posts><ul><li>{say(9)}</ul></div>", lambda: f"<form><p>{say(8)}<input></form>", lambda: f"<section id=comments><p>{say(60)}</section>", lambda: f"<!-- {say(5)} -->"]
+    def block(kind, text):
+        shown = text.replace("é", "&eacute;") if rng.random() < 0.5 else text
+        at = shown.find(" ")
+        return f"<{kind}>{shown[: at + 1]} \n<b>{shown[at + 1 :]}</b></{kind}>" if at > 0 else f"<{kind}>{shown}</{kind}>"
+    shells = ["<body>%s<article>%s</article>%s<footer>f</footer>", "<body><div id=wrap>%s<div class=post-3>%s</div></div>%s", "<body>%s<main><div><div>%s</div></div></main>%s", "<body><div class=top>x</div>%s<table><tr><td>%s</td></tr></table>%s"]
+    rows, want = [], {}
+    for k in range(200):
+        blocks = [(rng.choice(["p", "h2", "li", "blockquote"]), say(rng.randint(1, 40))) for _ in range(rng.randint(1, 9))]
+        inner = "".join(block(*b) + (rng.choice(junk)() if rng.random() < 0.4 else "") for b in blocks)
+        shell = shells[k % 3]
+        rows.append((k, f"https://u:p@H{k % 3}.example:80/{k}", shell % ("".join(rng.choice(junk)() for _ in range(2)), inner, rng.choice(junk)())))
+        want[k] = "\n\n".join(t for _, t in blocks)
+    got = {r["page_id"]: r["text"] for r in H.extract_pages(spark.createDataFrame(rows, "page_id int, url string, html string").repartition(3)).collect()}
+    assert got == want
+
+
+def test_html_keeps_what_belongs_to_the_article():
+    long = "w " * 60
+    assert H.extract(f"<body><header>site</header><article><header><h1>Head</h1></header><p>{long}</article>").startswith("Head\n\nw w")
+    assert H.extract(f"<body><h1>Head</h1><article><p>{long}</article><h1>after</h1>").startswith("Head\n\nw w")
+    assert H.extract("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds</article>") == "so x=2 holds"
+    assert H.extract(f"<article><p>{long}<section class=related-work><p>Others did it.</section><div class='related'>r</div></article>").endswith("Others did it.")
+    deep = H.extract("<div>" * 20_000 + "deep")
+    assert deep == "deep" and H.extract("<div class=a>" * 300 + "x" + "</div>" * 300 + "y", ["html>div.a"]) == "x\n\ny"
