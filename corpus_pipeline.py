@@ -18,30 +18,36 @@ def _recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go, and so do frequent lines of the others."""
+    """Documents that the quality rules reject go, and so do frequent lines of the others. A null or empty text is
+    rejected; a null id or source is treated like any other value (null sources are one host); each row is judged by
+    its own text, so repeated rows go or stay together. Further columns stay as they are; no rows give no rows."""
     cut = quality_rules.without_frequent_lines(docs).drop(TEXT, "removed_lines").withColumnRenamed("kept_text", TEXT)
     return _recounted(cut, docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates stays; rows without an id stay."""
-    gone = minhash_join.jaccard_join(docs).where("not kept").select(F.col(ID).alias("__gone")).distinct()
-    return docs.join(gone, docs[ID] == gone["__gone"], "left_anti")
+    """One row, that of the smallest id, of each group of near duplicates stays; of rows that share id and text one.
+    Rows without an id and null or empty texts stay. Rows that share an id only go or stay by their own text."""
+    return minhash_join.without_near_duplicates(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words under windows that stand earlier go; the text's own white space stays."""
+    """Words under windows that stand earlier go; the text's own white space stays. Every row stays, a null text as an
+    empty one; a row without an id loses nothing and takes nothing from others; rows that share an id are one
+    document."""
     cut = substring_dedup.substring_dedup(docs, keep_white_space=True).drop(TEXT).withColumnRenamed("kept_text", TEXT)
     return _recounted(cut, docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of personal data become their kind in brackets."""
+    """Spans of personal data become their kind in brackets, overlapping ones one bracket. Every row stays; null and
+    empty texts stay as they are, repeated rows get equal texts."""
     return _recounted(pii.redact(docs), docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every document: bucket, batch and slot."""
+    """The place of every row: bucket, batch and slot. A null or empty text has a length of 0, a text longer than the
+    budget a batch of its own; repeated rows and rows without an id each get a slot; ties go by length, then id."""
     return packing.pack_documents(docs)
 
 
