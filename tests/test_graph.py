@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from veldspar.operators import graph as G
 from veldspar.plans import sparql
@@ -94,3 +95,19 @@ def test_sparql_compat_traps(data):
 def test_syntax_errors(text):
     with pytest.raises(sparql.SparqlSyntaxError):
         sparql.parse(text)
+
+
+def test_long_chains_of_classes(spark):
+    triples = [(f"c{k:03}", "rdfs:subClassOf", f"c{k + 1:03}", k) for k in range(100)] + [("x", "rdf:type", "c000", 999)]
+    g = G.from_triples(spark.createDataFrame(triples, "s string, p string, o string, seq int"))
+    assert {r["id"]: r["ancestor"] for r in G.nearest_ancestors(g, F.col("label") == "c100").collect()}["c000"] == "c100"
+    assert G.class_chain(g, "x").count() == 101
+    assert {r["id"]: r["depth"] for r in G.class_tree(g).where("part = 'tree'").collect()} == {f"c{k:03}": 100 - k for k in range(101)}
+    icons = {r["id"]: r["icon"] for r in G.class_icons(g, {"c050": "fifty"}, "none").collect()}
+    assert icons["c000"] == icons["c050"] == "fifty" and icons["c051"] == "none"
+    row = G.inspected(g, "c001").first()
+    assert (row["in_degree"], row["out_degree"], row["degree"]) == (1, 1, 2)
+    plain = G.Graph(g.nodes, g.edges)
+    assert sorted(map(tuple, G.degrees(g).collect())) == sorted(map(tuple, G.degrees(plain).collect()))
+    store = spark.createDataFrame([("b", "x"), ("a", "y"), ("a", "z")], "ontology string, axiom string")
+    assert sorted(r["axiom"] for r in G.first_ontology(store).collect()) == ["y", "z"]

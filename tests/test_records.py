@@ -139,3 +139,30 @@ def test_number_comparisons_reach_the_scan(spark, tmp_path):
         got = [r["k"] for r in filter_records(df, Group((Condition("v", operator, 2.0),))).collect()]
         assert sorted(got, key=str) == sorted(ids, key=str), operator
         assert filter_records(df, Group((Group((Condition("v", operator, 2.0),)), Condition("k", "=", 99)), any_of=True)).count() == len(ids)
+
+
+def test_deep_records(spark):
+    """Nothing is cut off by depth, and a sample met in two types takes one place."""
+    import json
+
+    deep = {"a": 1}
+    for k in range(20):
+        deep = {f"k{k}": deep, "s": f"x{k} }}{{"}
+    df = spark.createDataFrame([(1, json.dumps(deep)), (2, '{"s": [[[1]]]}'), (3, None)], "id int, j string").select("id", F.try_parse_json("j").alias("v"))
+    found = {r["path"]: r for r in P.profile(df, "v").collect()}
+    path = ".".join(f"k{k}" for k in reversed(range(20))) + ".a"
+    assert found[path]["depth"] == 20 and found[path]["samples"] == ["1"] and found["s"]["type"] == "mixed"
+    tree = R.json_tree(df, "id", "v").collect()
+    assert max(r["depth"] for r in tree if r["id"] == 1) == 21 and {r["path"] for r in tree if r["id"] == 2} == {"$", "$.s", "$.s[0]", "$.s[0][0]", "$.s[0][0][0]"}
+    two = spark.createDataFrame([(k, json.dumps({"a": x})) for k, x in enumerate(["1", 1, "2", 2, "3", 3, "4", "5", "6"])], "id int, j string").select(F.parse_json("j").alias("v"))
+    assert P.profile(two, "v").first()["samples"] == ["1", "2", "3", "4", "5"]
+
+
+def test_nested_search_and_columns(spark):
+    df = spark.createDataFrame([("r1", ("Deep",), {"k": "mapped"}, ["listed"], [(7, "In list")], 42), ("r2", None, None, None, None, 1)], "id string, s struct<t:string>, m map<string,string>, l array<string>, ls array<struct<n:int,t:string>>, n int")
+    for text, want in (("deep", ["r1"]), ("MAPPED", ["r1"]), ("listed", ["r1"]), ("in list", ["r1"]), ("42", ["r1"]), ("r2", ["r2"]), ("none", [])):
+        assert [r["id"] for r in search_records(df, text, "id").collect()] == want, text
+    shown = R.configured(df, "id", "T", ["s.t", "n"], ("id", "size"))
+    assert shown.columns == ["_id", "size", "s.t", "n"] and [r["s.t"] for r in shown.collect()] == ["Deep", "-"]
+    with pytest.raises(R.RecordError):
+        R.configured(df, "id", "T", list("abcde"))

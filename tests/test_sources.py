@@ -24,7 +24,7 @@ def test_jsonl_failures(spark, tmp_path, text):
 def test_json_roots(spark, tmp_path):
     assert R.read_records(spark, put(tmp_path, "a.json", '[{"a":1},{"a":2}]')).count() == 2
     assert R.read_records(spark, put(tmp_path, "b.json", '{"a":1}')).count() == 1
-    for bad in ("[]", "3", "[1]", "{"):
+    for bad in ("[]", "3", "[1]", "{", "", '{"a":1}\n{"a":2}', '[{"a":1}] x', '{"a":1},{"a":2}', '[{"a":1}][{"a":2}]'):
         with pytest.raises(R.ImportFailure):
             R.read_records(spark, put(tmp_path, "c.json", bad))
 
@@ -34,10 +34,44 @@ def test_csv(spark, tmp_path):
     assert tuple(df.first()) == ("Alice, A.", 'said "hello"', "42")
     cells = R.inferred_cells(df)
     assert cells.selectExpr("variant_get(count, '$', 'int')").first()[0] == 42
-    with pytest.raises(Exception, match="(?i)expected 2|malformed|column"):
-        R.read_records(spark, put(tmp_path, "b.csv", "name,count\nAlice,1,unexpected\n")).collect()
+    for ragged in ("name,count\nAlice,1,unexpected\n", "name,count\nAlice,1\nBob\n"):
+        with pytest.raises(R.ImportFailure, match="expected 2"):
+            R.read_records(spark, put(tmp_path, "b.csv", ragged))
+    for empty in ("a,,b\n1,2,3\n", "a,b\n", ""):
+        with pytest.raises(R.ImportFailure):
+            R.read_records(spark, put(tmp_path, "c.csv", empty))
+    assert R.read_records(spark, put(tmp_path, "d.csv", "id,_created,_c1\n1,2,3\n")).columns == ["id", "_created", "_c1"]
+
+
+@pytest.mark.parametrize("kind", ["json", "jsonl", "csv", "parquet", "orc"])
+def test_round_trips(spark, tmp_path, kind):
+    df = spark.range(100).selectExpr("id", "concat('t ', id, ', \"x\"\n') as note").repartition(3)
+    path = str(tmp_path / f"r.{kind}")
+    W.write_records(df, path, kind, "id", "T")
+    got = R.read_records(spark, path)
+    assert sorted((int(r["id"]), r["note"].strip()) for r in got.collect()) == [(k, f't {k}, "x"') for k in range(100)]
+
+
+def test_json_files_are_arrays(spark, tmp_path):
+    import json
+
+    path = tmp_path / "a.json"
+    W.write_records(spark.range(5).repartition(1), str(path), "json", "id", "T")
+    whole = [json.loads(f.read_text()) for f in path.glob("part-*")]
+    assert sorted(x["id"] for f in whole for x in f) == list(range(5))
     with pytest.raises(R.ImportFailure):
-        R.read_records(spark, put(tmp_path, "c.csv", "a,,b\n1,2,3\n")).collect()
+        W.write_records(spark.range(0), str(tmp_path / "e.json"), "json", "id", "T")
+        R.read_records(spark, str(tmp_path / "e.json"))
+
+
+def test_jdbc(spark):
+    url = "jdbc:derby:memory:veldspar;create=true"
+    try:
+        spark.range(50).selectExpr("id", "id * 2 as twice").write.format("jdbc").option("url", url).option("dbtable", "t").save()
+    except Exception as e:
+        pytest.skip(f"no JDBC driver here: {str(e)[:80]}")
+    got = R.read_jdbc(spark, url, "t", by="id", bounds=(0, 50), partitions=4)
+    assert got.count() == 50 and got.rdd.getNumPartitions() == 4 and got.agg({"twice": "sum"}).first()[0] == 2450
 
 
 def test_formats():

@@ -97,3 +97,19 @@ def test_streams(spark, tmp_path):
     lat = ST.run_to_memory(ST.latencies(stream), "latencies", "complete").first()
     assert lat["p50"] == pytest.approx(3.0, abs=0.3)
     assert ST.run_to_memory(ST.slow(stream, 5.5), "slow").count() == 5
+    described = stream.withColumns({"what": F.lit("q"), "failed": F.col("seconds") > 5.85})
+    found = ST.run_to_memory(ST.slow(described, 5.5, text_col="what", failed_col="failed"), "failures")
+    assert [r["what"] for r in ST.latest(found, keep=3).collect()] == ["[FAILED] q", "q", "q"]
+    q = ST.start(ST.slow(stream, 5.5), "renewed", seconds=1)
+    q.processAllAvailable()
+    q.stop()
+    assert spark.table("renewed").count() == 5
+
+
+def test_search_of_scripts_with_marks_and_of_all_fields(spark):
+    df = spark.createDataFrame([(1, "यह हिन्दी है", None, 5), (2, None, "other_text", 6), (3, None, None, 7)], "id int, title string, body string, n int")
+    assert S.query_tokens("हिन्दी, A_bc!") == ["हिन्दी", "bc"]
+    assert [r["id"] for r in S.score(df, "id", ["title"], "हिन्दी").collect()] == [1]
+    texts = {r["id"]: r["search_text"] for r in S.search_text(df, ["title", "n2"]).collect()}
+    assert texts == {1: "यह हिन्दी है", 2: "other_text", 3: ""}
+    assert {r["id"]: r["search_text"] for r in S.search_text(df, ["n"]).collect()}[2] == "6"

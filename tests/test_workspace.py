@@ -39,6 +39,9 @@ def test_bounds_and_panels(spark):
     assert p.kind(k) == "bar" and {r["value"] for r in p.results(k).collect()} == {100.0}
     p.remove(k)
     assert p.queries == [] and len(W.PRESETS) == 5
+    assert W.initial_facet("edgeKind").values == ("subClassOf", "instanceOf", "relationship", "property") and W.initial_facet("metricThreshold").values == ("degree", ">", 0.0)
+    with pytest.raises(ValueError):
+        W.initial_facet("colour")
     fields = spark.createDataFrame([("a.b", "b", "string"), ("o", "o", "object")], "path string, name string, type string")
     assert [r["path"] for r in W.pick_fields(fields, "A.").collect()] == ["a.b"]
     assert W.node_links({"a": "http://x", "b": "c"}) == ({"b": "c"}, {"a": "http://x"})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -191,3 +193,22 @@ def short_number(x: Column) -> Column:
         .when(F.abs(x) >= 1e3, F.format_string("%.1fK", x / 1e3))
         .otherwise(F.format_string("%.2f", x))
     )
+
+
+def at_depth(k: int) -> Callable[[Column], Column]:
+    """Of a struct (path, v) the same with its depth."""
+    return lambda x: F.struct(x["path"].alias("path"), F.lit(k).alias("depth"), x["v"].alias("v"))
+
+
+def nesting(df: DataFrame, variant_col: str, opening: str, closing: str) -> int:
+    """How deep brackets of the given kinds nest in the JSON of a column, over all rows; one scan."""
+    bare = F.regexp_replace(F.to_json(F.struct(F.col(variant_col).alias("v"))), r'"(?:[^"\\\\]|\\\\.)*+"', "")
+    marks = F.split(F.regexp_replace(bare, f"[^{re.escape(opening + closing)}]", ""), "")
+
+    def step(state: Column, c: Column) -> Column:
+        now = state["now"] + F.when(F.contains(F.lit(opening), c) & (c != ""), 1).when(F.contains(F.lit(closing), c) & (c != ""), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
+
+    deep = F.aggregate(marks, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step, lambda s: s["most"])
+    # the struct around the column is one level of its own
+    return (df.where(F.col(variant_col).isNotNull()).agg(F.max(deep)).first()[0] or 1) - ("{" in opening)

@@ -1,13 +1,12 @@
 """Property graphs: building, degrees, neighbourhoods, class hierarchies, facets, events.
 
 A graph is two tables: nodes (id, label, role, ontology_class, source, metadata map) and edges (id, src, dst, label,
-property, kind). Loops over hops and levels are joins of frontiers; each level's rows are checkpointed to the shared
-folder, so that plans stay short and a lost executor costs one level.
+property, kind). Loops over hops are joins of frontiers, those over class levels go twice as far each time and end
+where nothing new is found; what a round finds is written to the shared folder, so that plans stay short and a lost executor costs one level.
 """
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veldspar.functions import terms as R
+from veldspar.shared import written
 
-MAX_LEVELS = 64
 DATE_KEYS = ("occurredOnDate", "occurredAtTime", "startDate", "endDate")
 #: The root classes, and the edge labels that say nothing of an event.
 ROOT_CLASSES = (
@@ -28,15 +27,11 @@ NOISE_LABELS = ("type", "rdf:type", "a", "hasParticipant", "participant", "label
 
 @dataclass(frozen=True)
 class Graph:
+    """`ids`, where given, are the ids of all nodes, among them both ends of every edge: cheaper than the nodes."""
+
     nodes: DataFrame
     edges: DataFrame
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veldspar-graph-"))
-    return df.checkpoint()
+    ids: DataFrame | None = None
 
 
 # -- building
@@ -55,7 +50,8 @@ def from_triples(triples: DataFrame) -> Graph:
         F.when(~F.col("is_type"), F.col("p")).alias("property"),
         F.when(F.col("is_type"), "instanceOf").when(F.col("is_sub"), "subClassOf").otherwise("relationship").alias("kind"),
     )
-    return Graph(_nodes(t), edges)
+    ids = t.select(F.explode(F.array("s", F.when(~F.col("is_literal"), F.col("o")))).alias("id")).where("id is not null").distinct()
+    return Graph(_nodes(t), edges, ids)
 
 
 def from_records(records: DataFrame, id_col: str, from_col: str, to_col: str, edge_col: str | None, index_name: str) -> Graph:
@@ -148,10 +144,8 @@ def _no_properties(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def drop_thing(graph: Graph) -> Graph:
     """Without owl:Thing and its edges."""
-    thing = (F.col("id") == "owl:Thing") | F.col("id").endswith("#Thing")
-    gone = graph.nodes.where(thing).select(F.col("id").alias("gone"))
-    edges = graph.edges.join(F.broadcast(gone), F.col("src") == F.col("gone"), "left_anti").join(F.broadcast(gone), F.col("dst") == F.col("gone"), "left_anti")
-    return Graph(graph.nodes.where(~thing), edges)
+    thing = lambda c: (F.col(c) == "owl:Thing") | F.col(c).endswith("#Thing")
+    return Graph(graph.nodes.where(~thing("id")), graph.edges.where(~thing("src") & ~thing("dst")))
 
 
 def dataset(graph: Graph) -> DataFrame:
@@ -168,12 +162,14 @@ def dataset(graph: Graph) -> DataFrame:
 
 def degrees(graph: Graph) -> DataFrame:
     """(id, in_degree, out_degree, degree); edges count whose ends both exist, a loop counts twice."""
-    ids = graph.nodes.select("id")
-    sound = graph.edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    ids, sound = graph.ids, graph.edges
+    if ids is None:
+        ids = graph.nodes.select("id")
+        sound = sound.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     ends = sound.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e")).select("e.*")
-    counts = ends.groupBy("id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
-    zero = F.lit(0).cast("bigint")
-    return ids.join(counts, "id", "left").select("id", F.coalesce("in_degree", zero).alias("in_degree"), F.coalesce("out_degree", zero).alias("out_degree"), (F.coalesce("in_degree", zero) + F.coalesce("out_degree", zero)).alias("degree"))
+    all_ends = ends.unionByName(ids.select("id", F.lit(0).alias("o"), F.lit(0).alias("i")))
+    counts = all_ends.groupBy("id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
+    return counts.select("id", "in_degree", "out_degree", (F.col("in_degree") + F.col("out_degree")).alias("degree"))
 
 
 def edge_counts(graph: Graph) -> DataFrame:
@@ -220,7 +216,7 @@ def neighbourhood(graph: Graph, start: str, hops: int = 1, labels: list[str] | N
     for _ in range(hops):
         frontier = both.join(frontier.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
         if hops > 2:
-            frontier = _kept(frontier)
+            frontier = written(frontier)
         seen = seen.unionByName(frontier)
     return seen
 
@@ -252,16 +248,18 @@ def class_ids(graph: Graph) -> DataFrame:
 
 def closure(graph: Graph) -> DataFrame:
     """(sub, sup, depth): every class above each class, at its least depth; cycles end."""
-    step = parents(graph)
-    level = _kept(step.select("sub", "sup", F.lit(1).alias("depth")))
-    done = level
-    for depth in range(2, MAX_LEVELS):
-        above = level.join(step.select(F.col("sub").alias("sup"), F.col("sup").alias("next")), "sup").select("sub", F.col("next").alias("sup")).distinct()
-        level = _kept(above.join(done, ["sub", "sup"], "left_anti").withColumn("depth", F.lit(depth)))
-        if level.isEmpty():
-            break
-        done = done.unionByName(level)
-    return done
+    return _reach(parents(graph))
+
+
+def _reach(step: DataFrame) -> DataFrame:
+    """(sub, sup, depth) of all ways along steps (sub, sup): each round joins the ways so far to each other, so a chain
+    of any length takes rounds as its logarithm."""
+    now, was = written(step.select("sub", "sup", F.lit(1).alias("depth")).distinct()), None
+    while (size := now.agg(F.count("*"), F.sum("depth")).first()) != was:
+        more = now.select(F.col("sub").alias("sup"), F.col("sup").alias("far"), F.col("depth").alias("more"))
+        longer = now.join(more, "sup").select("sub", F.col("far").alias("sup"), (F.col("depth") + F.col("more")).alias("depth"))
+        now, was = written(now.unionByName(longer).groupBy("sub", "sup").agg(F.min("depth").alias("depth"))), size
+    return now
 
 
 def super_classes(graph: Graph, class_id: str) -> DataFrame:
@@ -283,22 +281,21 @@ def nearest_ancestors(graph: Graph, matches: Column) -> DataFrame:
 
 def class_roots(graph: Graph, roots: tuple[str, ...] = ROOT_CLASSES) -> DataFrame:
     """(id, ancestor): classes by their nearest root class; instances by the first of their types that has one."""
-    own = _kept(nearest_ancestors(graph, F.col("label").isin(*roots)))
+    own = written(nearest_ancestors(graph, F.col("label").isin(*roots)))
     through = node_types(graph).join(own.withColumnRenamed("id", "type"), "type").groupBy("id").agg(F.min_by("ancestor", "type").alias("through"))
     return own.join(through, "id", "full").select("id", F.coalesce("through", "ancestor").alias("ancestor"))
 
 
 def class_chain(graph: Graph, instance: str) -> DataFrame:
     """(depth, id): the instance's first type, then the first parent of each; stops where a class comes back."""
-    first_parent = _kept(parents(graph).join(graph.nodes.select(F.col("id").alias("sup")), "sup", "left_semi").groupBy("sub").agg(F.min("sup").alias("sup")))
-    now = node_types(graph).where(F.col("id") == instance).agg(F.min("type").alias("id")).where("id is not null").select(F.lit(0).alias("depth"), "id")
-    chain = now = _kept(now)
-    for depth in range(1, MAX_LEVELS):
-        now = _kept(now.join(first_parent, now.id == first_parent.sub).select(F.lit(depth).alias("depth"), F.col("sup").alias("id")).join(chain.select("id"), "id", "left_anti"))
-        if now.isEmpty():
-            break
-        chain = chain.unionByName(now.select("depth", "id"))
-    return chain.select("depth", "id")
+    first_parent = written(parents(graph).join(graph.nodes.select(F.col("id").alias("sup")), "sup", "left_semi").groupBy("sub").agg(F.min("sup").alias("sup")))
+    start = node_types(graph).where(F.col("id") == instance).agg(F.min("type").alias("id")).where("id is not null")
+    chain, jump, far, size = written(start.select(F.lit(0).alias("depth"), "id")), first_parent, 1, 0
+    while (now := chain.count()) != size:  # a jump goes twice as far in every round; a class that comes back is no new one
+        more = chain.join(jump, chain["id"] == jump["sub"]).select((F.col("depth") + far).alias("depth"), F.col("sup").alias("id"))
+        chain, size = written(chain.unionByName(more).groupBy("id").agg(F.min("depth").alias("depth")).select("depth", "id")), now
+        jump, far = written(jump.join(jump.select(F.col("sub").alias("sup"), F.col("sup").alias("next")), "sup").select("sub", F.col("next").alias("sup"))), 2 * far
+    return chain
 
 
 def leaf_types(graph: Graph) -> DataFrame:
@@ -314,19 +311,18 @@ def class_tree(graph: Graph) -> DataFrame:
     a hierarchy that no root reaches, orphan for classes outside it."""
     ids = class_ids(graph)
     p = parents(graph).join(ids.withColumnRenamed("id", "sub"), "sub", "left_semi").join(ids.withColumnRenamed("id", "sup"), "sup", "left_semi")
-    p = _kept(p.join(graph.nodes.select(F.col("id").alias("sup"), F.col("label").alias("sup_label")), "sup"))
+    p = written(p.join(graph.nodes.select(F.col("id").alias("sup"), F.col("label").alias("sup_label")), "sup"))
     members = p.select(F.explode(F.array("sub", "sup")).alias("id")).distinct()
     tops = members.join(p.select(F.col("sub").alias("id")).distinct(), "id", "left_anti").join(graph.nodes.select("id", "label"), "id")
     skipped = tops.where("label = 'Thing'").select("id")
     promoted = p.join(skipped.withColumnRenamed("id", "sup"), "sup", "left_semi").select(F.col("sub").alias("id"))
-    level = _kept(tops.where("label <> 'Thing'").select("id").unionByName(promoted).distinct().select("id", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth")))
-    done = level
-    for depth in range(1, MAX_LEVELS):
-        nxt = level.select(F.col("id").alias("sup")).join(p, "sup").groupBy(F.col("sub").alias("id")).agg(F.min_by("sup", F.struct("sup_label", "sup")).alias("parent"))
-        level = _kept(nxt.join(done.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
-        if level.isEmpty():
-            break
-        done = done.unionByName(level)
+    roots = written(tops.where("label <> 'Thing'").select("id").unionByName(promoted).distinct())
+    below = _reach(p.select("sub", "sup")).join(roots.select(F.col("id").alias("sup")), "sup", "left_semi").groupBy(F.col("sub").alias("id")).agg(F.min("depth").alias("depth"))
+    below = below.join(roots, "id", "left_anti")
+    depths = written(roots.select("id", F.lit(0).alias("depth")).unionByName(below))
+    above = p.join(depths.select(F.col("id").alias("sup"), F.col("depth").alias("at")), "sup").join(below.select(F.col("id").alias("sub"), "depth"), "sub").where("at = depth - 1")
+    hung = above.groupBy(F.col("sub").alias("id")).agg(F.min_by("sup", F.struct("sup_label", "sup")).alias("parent"))
+    done = depths.join(hung, "id", "left").select("id", "parent", "depth")
     tree = done.withColumn("part", F.lit("tree"))
     rest = members.join(done.select("id"), "id", "left_anti").join(skipped, "id", "left_anti")
     flat = lambda df, part: df.select("id", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.lit(part).alias("part"))
@@ -344,6 +340,28 @@ def individual_types(graph: Graph) -> DataFrame:
 # -- search, facets, visibility
 
 
+def class_icons(graph: Graph, icons: dict[str, str], default: str) -> DataFrame:
+    """(id, icon): of each class its own icon, else that of its nearest ancestor that has one, else the default."""
+    known = graph.nodes.sparkSession.createDataFrame(list(icons.items()), "ancestor string, icon string")
+    near = nearest_ancestors(graph, F.col("label").isin(*icons)).join(F.broadcast(known), "ancestor")
+    return class_ids(graph).join(near.select("id", "icon"), "id", "left").select("id", F.coalesce("icon", F.lit(default)).alias("icon"))
+
+
+def first_ontology(axioms: DataFrame) -> DataFrame:
+    """Of a store of ontologies, rows (ontology, ...), those of the first by name; none where the store is empty."""
+    first = axioms.agg(F.min("ontology").alias("ontology"))
+    return axioms.join(F.broadcast(first), "ontology", "left_semi")
+
+
+def inspected(graph: Graph, node: str) -> DataFrame:
+    """One row of a node: id, in_degree, out_degree, degree, and its metadata apart from and with links."""
+    own = graph.nodes.where(F.col("id") == node).select("id", "metadata")
+    near = incident(graph, node).agg(F.count_if(F.col("direction") == "in").alias("in_degree"), F.count_if(F.col("direction") == "out").alias("out_degree"))
+    link = lambda k, v: v.startswith("http://") | v.startswith("https://")
+    both = own.crossJoin(F.broadcast(near))  # one row each
+    return both.select("id", "in_degree", "out_degree", (F.col("in_degree") + F.col("out_degree")).alias("degree"), F.map_filter("metadata", lambda k, v: ~link(k, v)).alias("fields"), F.map_filter("metadata", link).alias("links"))
+
+
 def matching_nodes(graph: Graph, text: str) -> DataFrame:
     low = F.lit(text.strip().lower())
     hit = F.contains(F.lower("label"), low) | F.exists(F.map_values("metadata"), lambda v: F.contains(F.lower(v), low))
@@ -410,7 +428,7 @@ def visible_edges(graph: Graph, labels: list[str] | None = None, show_classes: b
         types = graph.nodes.where("role = 'type'")
         edges = edges.join(types.select(F.col("id").alias("src")), "src", "left_anti").join(types.select(F.col("id").alias("dst")), "dst", "left_anti")
     if on_backbone and hops is None and not text.strip():
-        edges = inside(edges, _kept(backbone(graph)))
+        edges = inside(edges, written(backbone(graph)))
     if selected is not None and hops is not None:
         edges = inside(edges, neighbourhood(graph, selected, hops, labels).distinct())
     if text.strip():
@@ -469,7 +487,7 @@ def related_events(graph: Graph, node: str) -> DataFrame:
 def related_nodes(graph: Graph, node: str, root: str) -> DataFrame:
     """(id, role): the node's neighbours of a root class, each once."""
     near = incident(graph, node).select(F.col("other").alias("id"), F.col("label").alias("role"), "direction", F.col("id").alias("edge"))
-    own = _kept(nearest_ancestors(graph, F.col("label").isin(*ROOT_CLASSES)))
+    own = written(nearest_ancestors(graph, F.col("label").isin(*ROOT_CLASSES)))
     labels = graph.nodes.select(F.col("id").alias("type"), F.col("label").alias("type_label"))
     types = node_types(graph).join(own.withColumnRenamed("id", "type"), "type", "left").join(labels, "type", "left")
     through = types.where((F.col("ancestor") == root) | F.coalesce("type_label", R.local_name(F.col("type"))).contains(root)).select("id")

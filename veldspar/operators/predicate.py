@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import types as T
 
 from veldspar.functions import values as V
 
@@ -117,8 +118,25 @@ def search_records(df: DataFrame, text: str, id_col: str, ids_only: bool = False
     hit = F.contains(F.lower(df[id_col].cast("string")), low)
     if not ids_only:
         for f in df.schema.fields:
-            kind = V.kind_of(f.dataType)
-            if f.name != id_col and kind in ("string", "number"):
-                shown = df[f"`{f.name}`"] if kind == "string" else V.number_text(df[f"`{f.name}`"])
-                hit = hit | F.coalesce(F.contains(F.lower(shown), low), F.lit(False))
+            if f.name != id_col:
+                hit = hit | _holds(df[f"`{f.name}`"], f.dataType, low)
     return df.where(hit)
+
+
+def _holds(column: Column, kind: T.DataType, low: Column, in_list: bool = False) -> Column:
+    """Whether a leaf of a column holds the text: texts and numbers, in structs and maps too; in a list texts and what
+    its structs hold, but no numbers."""
+    hit = F.lit(False)
+    if isinstance(kind, T.StructType):
+        for f in kind.fields:
+            hit = hit | _holds(column[f.name], f.dataType, low)
+    elif isinstance(kind, T.MapType):
+        hit = F.exists(F.map_values(column), lambda x: _holds(x, kind.valueType, low))
+    elif isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.StructType, T.MapType)):
+            hit = F.exists(column, lambda x: _holds(x, kind.elementType, low, True))
+    elif V.kind_of(kind) == "string":
+        hit = F.contains(F.lower(column), low)
+    elif V.kind_of(kind) == "number" and not in_list:
+        hit = F.contains(F.lower(V.number_text(column)), low)
+    return F.coalesce(hit, F.lit(False))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from veldspar.functions import values as V
+from veldspar.shared import written
 
 MAX_SAMPLES = 5
 
@@ -18,34 +20,41 @@ def inferred_type(v: Column) -> Column:
     return F.when((kind == "array") & vector, "vector").otherwise(kind)
 
 
-def leaves(df: DataFrame, variant_col: str, depth: int = 4) -> DataFrame:
-    """(path, depth, type, sample) for every field of every row's object, nested objects by dotted paths.
+def leaves(df: DataFrame, variant_col: str) -> DataFrame:
+    """(path, depth, type, sample) for every field of every row's object, nested objects by dotted paths, however deep.
 
-    The levels of nesting are flattened inside a row, one explode a level, and need no shuffle."""
-    level = df.select(F.lit("").alias("path"), F.col(variant_col).alias("v"))
-    out = None
-    for k in range(depth):
-        level = level.where(V.variant_type(F.col("v")) == "object").select("path", F.explode(F.try_variant_get("v", "$", "map<string,variant>")).alias("key", "v"))
-        level = level.select(F.when(F.col("path") == "", F.col("key")).otherwise(F.concat("path", F.lit("."), "key")).alias("path"), "v")
-        scalar = V.variant_type(F.col("v")).isin("string", "number", "boolean", "unknown")
-        shown = level.select("path", F.lit(k).alias("depth"), inferred_type(F.col("v")).alias("type"), F.when(scalar, F.coalesce(V.display(F.col("v")), F.lit("null"))).alias("sample"))
-        out = shown if out is None else out.unionByName(shown)
-    return out
+    The levels of nesting are flattened inside a row, all in one scan and without a shuffle."""
+    level, levels = df.select(F.array(F.struct(F.lit("").alias("path"), F.col(variant_col).alias("v"))).alias("at")), []
 
+    def inner(x: Column) -> Column:
+        keys = F.map_entries(F.try_variant_get(x["v"], "$", "map<string,variant>"))
+        named = lambda e: F.struct(F.when(x["path"] == "", e["key"]).otherwise(F.concat(x["path"], F.lit("."), e["key"])).alias("path"), e["value"].alias("v"))
+        return F.when(V.variant_type(x["v"]) == "object", F.transform(keys, named)).otherwise(F.array().cast("array<struct<path:string,v:variant>>"))
 
-def profile(df: DataFrame, variant_col: str, max_samples: int = MAX_SAMPLES, depth: int = 4) -> DataFrame:
+    for k in range(V.nesting(df, variant_col, "{", "}")):
+        level = level.withColumn(f"at{k}", F.flatten(F.transform(f"at{k - 1}" if k else "at", inner)))
+        levels.append(F.transform(f"at{k}", V.at_depth(k)))
+    if not levels:
+        return df.limit(0).select(F.lit("").alias("path"), F.lit(0).alias("depth"), F.lit("").alias("type"), F.lit("").alias("sample"))
+    out = level.select(F.explode(F.concat(*levels)).alias("x")).select("x.*")
+    scalar = V.variant_type(F.col("v")).isin("string", "number", "boolean", "unknown")
+    return out.select("path", "depth", inferred_type(F.col("v")).alias("type"), F.when(scalar, F.coalesce(V.display(F.col("v")), F.lit("null"))).alias("sample"))
+
+
+def profile(df: DataFrame, variant_col: str, max_samples: int = MAX_SAMPLES) -> DataFrame:
     """(path, name, depth, type, samples): the merged type of each path and its least distinct samples.
 
     One type keeps its name; several are mixed. The order of rows decides nothing: an object met with scalars
     is mixed whichever came first.
     """
-    each = leaves(df, variant_col, depth).groupBy("path", "depth", "type", "sample").agg(F.count("*").alias("n"))
-    from pyspark.sql.window import Window
-
-    ranked = each.withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy(F.col("sample").asc_nulls_last())))
-    types = F.collect_set("type")
-    return ranked.groupBy("path", "depth").agg(types.alias("types"), F.array_sort(F.collect_set(F.when((F.col("k") <= max_samples), F.col("sample")))).alias("samples")).select(
-        "path", F.substring_index("path", ".", -1).alias("name"), "depth", F.when(F.size("types") > 1, "mixed").otherwise(F.get("types", F.lit(0))).alias("type"), "samples"
+    each = written(leaves(df, variant_col).distinct())
+    types = each.groupBy("path", "depth").agg(F.collect_set("type").alias("types"))
+    # a rank below a limit is cut off in every partition before the samples of a path meet
+    by = Window.partitionBy("path", "depth").orderBy("sample")
+    first = each.where("sample is not null").select("path", "depth", "sample").distinct().withColumn("k", F.row_number().over(by)).where(F.col("k") <= max_samples)
+    samples = first.groupBy("path", "depth").agg(F.array_sort(F.collect_list("sample")).alias("samples"))
+    return types.join(samples, ["path", "depth"], "left").select(
+        "path", F.substring_index("path", ".", -1).alias("name"), "depth", F.when(F.size("types") > 1, "mixed").otherwise(F.get("types", F.lit(0))).alias("type"), F.coalesce("samples", F.array().cast("array<string>")).alias("samples")
     )
 
 

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from veldspar.functions import values as V
 
 
+#: Fields by path that a list of records shows at most.
+PATH_COLUMNS = 4
+
+
 class RecordError(ValueError):
     """A record that can't be used as it is."""
 
@@ -56,22 +60,37 @@ def preview(df: DataFrame) -> Column:
     return F.concat(F.lit("{ "), F.concat_ws(", ", *parts), F.lit(" }"))
 
 
-def json_tree(df: DataFrame, id_col: str, variant_col: str, depth: int = 8) -> DataFrame:
-    """(id, path, depth, display) of every node of a JSON tree, keys in order, down to a depth."""
-    level = df.select(F.col(id_col), F.lit("$").alias("path"), F.lit(0).alias("depth"), F.col(variant_col).alias("v"))
-    out = None
-    for k in range(depth + 1):
-        shown = level.select(id_col, "path", "depth", V.display(F.col("v")).alias("display"), V.variant_type(F.col("v")).alias("type"))
-        out = shown if out is None else out.unionByName(shown)
-        if k == depth:
-            break
-        inner = level.where(V.variant_type(F.col("v")).isin("array", "object"))
-        keys = F.try_variant_get("v", "$", "map<string,variant>")
-        items = F.try_variant_get("v", "$", "array<variant>")
-        named = inner.where(V.variant_type(F.col("v")) == "object").select(id_col, "path", "depth", F.explode(keys).alias("key", "v")).select(id_col, F.concat("path", F.lit("."), "key").alias("path"), (F.col("depth") + 1).alias("depth"), "v")
-        listed = inner.where(V.variant_type(F.col("v")) == "array").select(id_col, "path", "depth", F.posexplode(items).alias("at", "v")).select(id_col, F.concat("path", F.lit("["), F.col("at").cast("string"), F.lit("]")).alias("path"), (F.col("depth") + 1).alias("depth"), "v")
-        level = named.unionByName(listed)
-    return out
+def json_tree(df: DataFrame, id_col: str, variant_col: str) -> DataFrame:
+    """(id, path, depth, display, type) of every node of a JSON tree, keys in order, however deep. A row's tree is
+    flattened inside the row, all in one scan."""
+    root = F.struct(F.lit("$").alias("path"), F.col(variant_col).alias("v"))
+    level, levels = df.select(F.col(id_col), F.array(root).alias("at0")), []
+    none = F.array().cast("array<struct<path:string,v:variant>>")
+
+    def inner(x: Column) -> Column:
+        kind = V.variant_type(x["v"])
+        keys = F.map_entries(F.try_variant_get(x["v"], "$", "map<string,variant>"))
+        named = F.transform(keys, lambda e: F.struct(F.concat(x["path"], F.lit("."), e["key"]).alias("path"), e["value"].alias("v")))
+        items = F.try_variant_get(x["v"], "$", "array<variant>")
+        listed = F.transform(items, lambda v, k: F.struct(F.concat(x["path"], F.lit("["), k.cast("string"), F.lit("]")).alias("path"), v.alias("v")))
+        return F.when(kind == "object", named).when(kind == "array", listed).otherwise(none)
+
+    for k in range(V.nesting(df, variant_col, "{[", "}]") + 1):
+        if k:
+            level = level.withColumn(f"at{k}", F.flatten(F.transform(f"at{k - 1}", inner)))
+        levels.append(F.transform(f"at{k}", V.at_depth(k)))
+    out = level.select(id_col, F.explode(F.concat(*levels)).alias("x")).select(id_col, "x.*")
+    return out.select(id_col, "path", "depth", V.display(F.col("v")).alias("display"), V.variant_type(F.col("v")).alias("type"))
+
+
+def configured(df: DataFrame, id_col: str, type_name: str, paths: list[str], shows: tuple[str, ...] = ("id", "preview", "size")) -> DataFrame:
+    """The columns of a list of records: id, preview and size as chosen, and up to four fields by path."""
+    if len(paths) > PATH_COLUMNS:
+        raise RecordError(f"at most {PATH_COLUMNS} fields")
+    fixed = {"id": F.col("_id"), "preview": preview(df).alias("preview"), "size": byte_size(F.col("_json_bytes")).alias("size")}
+    sized = with_sizes(df, id_col, type_name)
+    found = [F.coalesce(V.text_of(V.resolve(df, p)), F.lit("-")).alias(p) for p in paths]
+    return sized.select(*[fixed[x] for x in shows], *found)
 
 
 def hexdump(column: Column) -> Column:

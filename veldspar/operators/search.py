@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,9 +22,18 @@ def tokens(text: Column) -> Column:
 
 
 def query_tokens(query: str) -> list[str]:
-    import re
+    """As tokens() cuts texts: the same runs of letters, marks and digits."""
+    kept = "".join(c if unicodedata.category(c)[0] in "LMN" else " " for c in query.lower())
+    return [t for t in kept.split(" ") if len(t) >= 2]
+
 
-    return [t for t in re.split(r"[\W_]+", query.lower()) if len(t) >= 2]
+def search_text(df: DataFrame, fields: list[str]) -> DataFrame:
+    """df with search_text: the configured fields, or in a row where none of them has a value all of its text fields."""
+    shown = lambda names: F.concat_ws("\n", *[df[f"`{n}`"].cast("string") for n in names])
+    texts = [f.name for f in df.schema.fields if f.dataType.typeName() == "string" and f.name != "search_text"]
+    own = [n for n in fields if n in df.columns]
+    has = F.coalesce(*[df[f"`{n}`"].cast("string") for n in own]).isNotNull() if own else F.lit(False)
+    return df.select(*[df[f"`{c}`"] for c in df.columns if c != "search_text"], F.when(has, shown(own) if own else F.lit("")).otherwise(shown(texts)).alias("search_text"))
 
 
 def postings(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
@@ -90,10 +101,10 @@ def facets(results: DataFrame, fields: list[str], most: int = 50) -> DataFrame:
     rows."""
     long = results.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), results[f].cast("string").alias("value")) for f in fields])).alias("x")).select("x.*").where("value is not null")
     counts = long.groupBy("field", "value").agg(F.count("*").alias("count"))
-    by = Window.partitionBy("field")
     total = results.agg(F.count("*").alias("total"))
-    sized = counts.withColumn("values", F.count("*").over(by)).crossJoin(F.broadcast(total))
-    return sized.where((F.col("values") > 1) & (F.col("values") <= most) & (F.col("values") / F.col("total") < 0.5)).select("field", "value", "count")
+    # a row for each field
+    shown = counts.groupBy("field").agg(F.count("*").alias("values")).crossJoin(F.broadcast(total)).where((F.col("values") > 1) & (F.col("values") <= most) & (F.col("values") / F.col("total") < 0.5))
+    return counts.join(F.broadcast(shown.select("field")), "field", "left_semi").select("field", "value", "count")
 
 
 def facet_filter(df: DataFrame, chosen: dict[str, list[str]]) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from veldspar.shared import written
+
 
 class VectorError(ValueError):
     """Vectors that can't be compared."""
@@ -55,8 +57,13 @@ def problems(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def colors(df: DataFrame, id_col: str, value_col: str, palette: int = 12) -> DataFrame:
     """A colour for each distinct value, by its place among the sorted values."""
-    values = df.select(value_col).distinct().withColumn("color", ((F.row_number().over(Window.orderBy(value_col)) - 1) % palette).cast("int"))
-    return df.join(values, value_col).select(id_col, value_col, "color")
+    values = df.select(value_col).distinct().where(F.col(value_col).isNotNull()).orderBy(value_col).withColumn("__n", F.monotonically_increasing_id())
+    values = written(values)  # sorted by ranges: a number tells the range, and the place in it
+    part, at = F.shiftright("__n", 33), F.col("__n").bitwiseAND((1 << 33) - 1)
+    sizes = values.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a range
+    placed = values.withColumn("part", part).join(F.broadcast(before), "part").select(value_col, ((F.col("before") + at) % palette).cast("int").alias("color"))
+    return df.join(placed, value_col).select(id_col, value_col, "color")
 
 
 def pca(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:

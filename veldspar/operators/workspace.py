@@ -72,15 +72,26 @@ class Preset:
     facet: Facet
 
 
+#: The roles and sources of nodes, the kinds of edges, and the filters that are offered ready-made.
+NODE_ROLES, NODE_SOURCES = ("type", "instance", "property", "literal"), ("ontology", "graphIndex", "persistable", "derived")
+EDGE_KINDS = ("subClassOf", "instanceOf", "relationship", "property")
 PRESETS = (
-    Preset("instances", Facet("nodeRole", ("instance",))),
-    Preset("classes", Facet("nodeRole", ("type",))),
-    Preset("no hierarchy", Facet("edgeKind", ("subClassOf",), exclude=True)),
-    Preset("relationships", Facet("edgeKind", ("relationship",))),
-    Preset("hubs", Facet("metricThreshold", ("degree", ">=", 5.0))),
+    Preset("Types Only", Facet("nodeRole", ("type",))),
+    Preset("Instances Only", Facet("nodeRole", ("instance",))),
+    Preset("Hide Literals", Facet("nodeRole", ("literal",), exclude=True)),
+    Preset("Ontology Only", Facet("nodeSource", ("ontology",))),
+    Preset("Graph Data Only", Facet("nodeSource", ("graphIndex",))),
 )
 
 
+def initial_facet(kind: str) -> Facet:
+    """What a new filter of a kind starts with: everything where its values are known, else nothing chosen."""
+    known = {"nodeRole": NODE_ROLES, "nodeSource": NODE_SOURCES, "edgeKind": EDGE_KINDS, "nodeType": (), "edgeLabel": (), "metricThreshold": ("degree", ">", 0.0), "metadataContains": (None, "")}
+    if kind not in known:
+        raise ValueError(f"unknown kind of filter: {kind}")
+    return Facet(kind, known[kind])
+
+
 def pick_fields(profile: DataFrame, text: str = "") -> DataFrame:
     """Fields that are no objects and whose path or name holds the text."""
     low = F.lit(text.strip().lower())

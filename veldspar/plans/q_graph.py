@@ -11,6 +11,7 @@ from veldspar.functions import terms as R
 from veldspar.operators import graph as G
 from veldspar.plans.catalog import query
 from veldspar.plans.q_records import read
+from veldspar.shared import written
 
 #: Triples by table: (order, table, subject, predicate, object).
 _PARTS = (
@@ -44,7 +45,8 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph(spark: SparkSession, sf_dir: str) -> G.Graph:
-    return G.from_triples(triples(spark, sf_dir))
+    """Its triples are written once: a query reads them several times, and each time would plan and scan all tables."""
+    return G.from_triples(written(triples(spark, sf_dir)))
 
 
 def _local(x: str) -> str:

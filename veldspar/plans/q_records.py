@@ -103,7 +103,7 @@ def json_display(spark, sf_dir):
 
 @query("SELECT event_id, '$' AS path, 0 AS depth, '{1 fields}' AS display, 'object' AS type FROM events UNION ALL SELECT event_id, '$.k', 1, (props->>'$.k')::BIGINT::VARCHAR, 'number' FROM events")
 def json_tree(spark, sf_dir):
-    return R.json_tree(dynamic_events(spark, sf_dir), "event_id", "props", 3)
+    return R.json_tree(dynamic_events(spark, sf_dir), "event_id", "props")
 
 
 @query("SELECT event_id, json_valid(props) AS ok, false AS text_ok FROM events")

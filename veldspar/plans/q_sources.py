@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veldspar import shared
 from veldspar.plans.catalog import query
 from veldspar.plans.q_records import read
 from veldspar.sources import readers, writers
@@ -15,10 +13,7 @@ from veldspar.sources import readers, writers
 
 def folder(spark: SparkSession, extension: str) -> str:
     """A new path in the folder that the session names for checkpoints, with an extension."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veldspar-io-"))
-    return f"{sc.getCheckpointDir()}/io-{uuid.uuid4().hex}.{extension}"
+    return shared.new_path(spark, f"io-*.{extension}")
 
 
 def _nation(spark, sf_dir) -> DataFrame:
@@ -35,8 +30,7 @@ def src_jsonl(spark, sf_dir):
 @query("SELECT n_nationkey, n_name FROM nation")
 def src_json(spark, sf_dir):
     path = folder(spark, "json")
-    one = _nation(spark, sf_dir).agg(F.to_json(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name")))).alias("value"))
-    one.write.text(path)
+    writers.write_records(_nation(spark, sf_dir).repartition(3), path, "json", "n_nationkey", "Nation")
     return readers.read_records(spark, path).select("n_nationkey", "n_name")
 
 
@@ -66,8 +60,23 @@ def snk_jsonl(spark, sf_dir):
 
 @query(f"SELECT '[' || string_agg({_JSON}, ',' ORDER BY n_nationkey::VARCHAR) || ']' AS value FROM nation")
 def snk_json(spark, sf_dir):
-    lines = writers.json_lines(_nation(spark, sf_dir), "n_nationkey", "Nation")
-    return lines.agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_id", "value"))), lambda x: x["value"]), ","), F.lit("]")).alias("value"))
+    """The file that one task writes, its lines joined."""
+    path = folder(spark, "json")
+    nation = _nation(spark, sf_dir).repartition(1).sortWithinPartitions(F.col("n_nationkey").cast("string"))
+    writers.write_records(nation, path, "json", "n_nationkey", "Nation")
+    return spark.read.text(path, wholetext=True).select(F.translate("value", "\n", "").alias("value"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def src_orc(spark, sf_dir):
+    path = folder(spark, "orc")
+    writers.write_records(_nation(spark, sf_dir), path, "orc", "n_nationkey", "Nation")
+    return readers.read_records(spark, path).select("n_nationkey", "n_name")
+
+
+@query("SELECT n_nationkey::VARCHAR AS _id, n_name FROM nation")
+def src_ids(spark, sf_dir):
+    return readers.with_ids(_nation(spark, sf_dir), "n_nationkey").select("_id", "n_name")
 
 
 @query("SELECT n_nationkey::VARCHAR AS _id, n_nationkey || ',Nation,\"' || n_name || ', \"\"' || n_regionkey || '\"\"\",' || n_nationkey AS value FROM nation")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veldspar.functions.values import NUMBER
 
@@ -33,14 +34,16 @@ def _needs_rows(df: DataFrame, path: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """A file whose root is an array of objects, or one object; other roots and an empty array fail."""
-    text = spark.read.text(path, wholetext=True)
-    root = F.try_parse_json("value")
-    kind = F.schema_of_variant(root)
-    bad = text.where(root.isNull() | ~(kind.startswith("ARRAY") | kind.startswith("OBJECT")))
-    if not bad.isEmpty():
+    """Files whose root is an array of objects, or one object; other roots, text after the root and no objects at all
+    fail. A file is one value, so each is parsed whole; large data come as JSON lines."""
+    text = spark.read.text(path, wholetext=True).where(F.trim(F.translate("value", "\t\r\n", "   ")) != "")
+    # inside brackets whatever follows the root makes the text invalid or a longer list
+    roots = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), "value", F.lit("]"))), "$", "array<variant>")
+    rooted = text.select(roots.alias("roots")).select((F.size("roots") == 1).alias("one"), F.get("roots", F.lit(0)).alias("root"))
+    kind = F.schema_of_variant("root")
+    if not rooted.where(~F.coalesce(F.col("one") & (kind.startswith("ARRAY") | kind.startswith("OBJECT")), F.lit(False))).isEmpty():
         raise ImportFailure(f"{path}: the root is no array of objects and no object")
-    items = text.where(kind.startswith("ARRAY")).select(F.explode(F.try_variant_get(root, "$", "array<variant>")).alias("v"))
+    items = rooted.where(kind.startswith("ARRAY")).select(F.explode(F.try_variant_get("root", "$", "array<variant>")).alias("v"))
     if not items.where(~F.schema_of_variant("v").startswith("OBJECT")).isEmpty():
         raise ImportFailure(f"{path}: an item of the array is no object")
     df = spark.read.option("multiLine", True).option("mode", "FAILFAST").json(path)
@@ -63,20 +66,38 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.from_json("value", schema.replace("OBJECT<", "STRUCT<")).alias("r")).select("r.*")
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Text columns by the header; quotes by RFC 4180, unquoted blanks trimmed; a row of another width fails."""
-    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True)
-    reader = reader.option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).option("mode", "FAILFAST")
-    df = reader.csv(path)
-    if not df.columns or any(not c.strip() or c.startswith("_c") for c in df.columns):
+def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Text columns by the header; quotes by RFC 4180, unquoted blanks trimmed; a row of another width fails, before
+    any row is used. Without multi_line no cell holds a line end, and large files are read in pieces."""
+    reader = spark.read.option("quote", '"').option("escape", '"').option("multiLine", multi_line)
+    reader = reader.option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
+    head = reader.csv(path).first()
+    if head is None or any(x is None or not x.strip() for x in head):
         raise ImportFailure(f"{path}: the header has an empty name")
-    widths = len(df.columns)
-    try:
-        return _needs_rows(df, path)
-    except ImportFailure:
-        raise
-    except Exception as e:
-        raise ImportFailure(f"{path}: a row isn't as wide as the header, expected {widths}") from e
+    names = reader.option("header", True).csv(path).columns
+    broken = free_name(names, "broken")
+    typed = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    checked = reader.option("header", True).schema(T.StructType([*typed.fields, T.StructField(broken, T.StringType())])).option("columnNameOfCorruptRecord", broken).csv(path)
+    bad = checked.where(F.col(broken).isNotNull()).first()
+    if bad is not None:
+        raise ImportFailure(f"{path}: a row isn't as wide as the header, expected {len(names)}: {str(bad[-1])[:60]}")
+    return _needs_rows(reader.option("header", True).schema(typed).option("mode", "FAILFAST").csv(path), path)
+
+
+def free_name(taken: list[str], stem: str) -> str:
+    name = f"__{stem}"
+    while name.lower() in {x.lower() for x in taken}:
+        name = f"_{name}"
+    return name
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, by: str | None = None, bounds: tuple[int, int] | None = None, partitions: int = 1, **options: str) -> DataFrame:
+    """A table of a database that has a JDBC driver, SQLite too; with `by`, a whole-number column and its bounds, in so
+    many parallel reads."""
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options)
+    if by is not None and bounds is not None:
+        reader = reader.option("partitionColumn", by).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", partitions)
+    return reader.load()
 
 
 def cell(text: Column) -> Column:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,9 +59,12 @@ def csv_lines(df: DataFrame, id_col: str, type_name: str) -> tuple[str, DataFram
 
 
 def write_records(df: DataFrame, path: str, format_name: str, id_col: str, type_name: str) -> None:
-    """Writes in parallel to a folder: json and jsonl as one object a line, csv with a header in each file."""
-    if format_name in ("json", "jsonl"):
+    """Writes in parallel to a folder: jsonl as one object a line, json as one array a file, csv with a header in each
+    file. Rows without any make a file without a record, which no reader takes for records."""
+    if format_name == "jsonl":
         json_lines(df, id_col, type_name).select("value").write.text(path)
+    elif format_name == "json":
+        json_lines(df, id_col, type_name).select("value").mapInArrow(_as_array, "value string").write.text(path)
     elif format_name == "csv":
         k = _keyed(df, id_col, type_name)
         names = [c for c in csv_columns(df) if c not in ("_id", "_type")]
@@ -70,6 +75,22 @@ def write_records(df: DataFrame, path: str, format_name: str, id_col: str, type_
         raise ExportFailure(f"unknown format: {format_name}")
 
 
+def _as_array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of objects with the brackets and commas that make an array of a task's file."""
+    held = None
+    for batch in batches:
+        lines = batch.column(0).to_pylist()
+        if not lines:
+            continue
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([*(f"{x}," for x in held)], pa.string())], names=["value"])
+        else:
+            yield pa.RecordBatch.from_arrays([pa.array(["["])], names=["value"])
+        held = lines
+    if held is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([*(f"{x}," for x in held[:-1]), held[-1], "]"], pa.string())], names=["value"])
+
+
 def selected(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     return df.join(ids.select(id_col).distinct(), id_col, "left_semi")
 

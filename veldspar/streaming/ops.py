@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+#: Slow operations that are shown, and the seconds after which a table is renewed.
+SLOW_KEPT, REFRESH_SECONDS = 100, 5
 
 
 def rates(stream: DataFrame, ts_col: str = "ts", window: str = "60 seconds", slide: str = "5 seconds", late: str = "2 minutes") -> DataFrame:
@@ -20,8 +24,22 @@ def latencies(stream: DataFrame, ts_col: str = "ts", seconds_col: str = "seconds
     return counted.select(F.col("w.start").alias("start"), at(0.5).alias("p50"), at(0.99).alias("p99"))
 
 
-def slow(stream: DataFrame, threshold: float, seconds_col: str = "seconds") -> DataFrame:
-    return stream.where(F.col(seconds_col) >= threshold)
+def slow(stream: DataFrame, threshold: float, seconds_col: str = "seconds", text_col: str | None = None, failed_col: str | None = None) -> DataFrame:
+    """Operations at or above a threshold; the description of a failed one says so."""
+    found = stream.where(F.col(seconds_col) >= threshold)
+    if text_col and failed_col:
+        found = found.withColumn(text_col, F.when(F.col(failed_col), F.concat(F.lit("[FAILED] "), F.col(text_col))).otherwise(F.col(text_col)))
+    return found
+
+
+def latest(found: DataFrame, ts_col: str = "ts", keep: int = SLOW_KEPT) -> DataFrame:
+    """Of the rows that a stream of slow operations has written, so many, the newest first."""
+    return found.orderBy(F.col(ts_col).desc()).limit(keep)
+
+
+def start(df: DataFrame, name: str, mode: str = "append", seconds: int = REFRESH_SECONDS) -> StreamingQuery:
+    """Runs a stream into a table in memory, renewed every so many seconds."""
+    return df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(processingTime=f"{seconds} seconds").start()
 
 
 def run_to_memory(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
