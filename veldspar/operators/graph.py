@@ -309,11 +309,12 @@ def class_tree(graph: Graph) -> DataFrame:
     """(id, parent, depth, part): part tree for classes under the roots (Thing is skipped and its subclasses become
     roots; a class of several parents hangs under the one that is reached first, by label), cycle for classes of
     a hierarchy that no root reaches, orphan for classes outside it."""
-    ids = class_ids(graph)
-    p = parents(graph).join(ids.withColumnRenamed("id", "sub"), "sub", "left_semi").join(ids.withColumnRenamed("id", "sup"), "sup", "left_semi")
-    p = written(p.join(graph.nodes.select(F.col("id").alias("sup"), F.col("label").alias("sup_label")), "sup"))
+    classes = written(class_ids(graph).join(graph.nodes.select("id", "label"), "id"))
+    ids = classes.select("id")
+    p = parents(graph).join(ids.withColumnRenamed("id", "sub"), "sub", "left_semi")
+    p = written(p.join(classes.select(F.col("id").alias("sup"), F.col("label").alias("sup_label")), "sup"))
     members = p.select(F.explode(F.array("sub", "sup")).alias("id")).distinct()
-    tops = members.join(p.select(F.col("sub").alias("id")).distinct(), "id", "left_anti").join(graph.nodes.select("id", "label"), "id")
+    tops = members.join(p.select(F.col("sub").alias("id")).distinct(), "id", "left_anti").join(classes, "id")
     skipped = tops.where("label = 'Thing'").select("id")
     promoted = p.join(skipped.withColumnRenamed("id", "sup"), "sup", "left_semi").select(F.col("sub").alias("id"))
     roots = written(tops.where("label <> 'Thing'").select("id").unionByName(promoted).distinct())
