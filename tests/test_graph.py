@@ -111,3 +111,15 @@ def test_long_chains_of_classes(spark):
     assert sorted(map(tuple, G.degrees(g).collect())) == sorted(map(tuple, G.degrees(plain).collect()))
     store = spark.createDataFrame([("b", "x"), ("a", "y"), ("a", "z")], "ontology string, axiom string")
     assert sorted(r["axiom"] for r in G.first_ontology(store).collect()) == ["y", "z"]
+
+
+def test_optionals_that_share_an_unbound_variable(spark, capsys):
+    """Rows meet by the variable where it is bound: no nested loop over what binds it."""
+    rows = [("a", "ex:p", "1"), ("b", "ex:p", "2"), ("c", "ex:p", "3"), ("a", "ex:q", "x"), ("b", "ex:q", "y"), ("t", "ex:r", "x"), ("u", "ex:r", "x"), ("v", "ex:r", "z")]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "s string, p string, o string, seq int")
+    run = lambda text: sorted(tuple(x or "-" for x in r) for r in sparql.select(df, text, "w3c").collect())
+    both = "SELECT ?s ?x ?t WHERE { ?s ex:p ?o OPTIONAL { ?s ex:q ?x } OPTIONAL { ?t ex:r ?x } }"
+    want = [("a", "x", "t"), ("a", "x", "u"), ("b", "y", "-")] + [("c", x, t) for x, t in (("x", "t"), ("x", "u"), ("z", "v"))]
+    assert run("PREFIX ex: <ex:> " + both) == sorted(want)
+    minus = "PREFIX ex: <ex:> SELECT ?s WHERE { ?s ex:p ?o OPTIONAL { ?s ex:q ?x } MINUS { ?t ex:r ?x } }"
+    assert run(minus) == [("b",), ("c",)]

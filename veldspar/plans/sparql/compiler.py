@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from veldspar.functions import values as V
 from veldspar.plans.sparql.syntax import RDF_TYPE, Query, parse
+from veldspar.shared import written
 
 PREFIXES = {
     "rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#",
@@ -166,20 +167,36 @@ class _Compiler:
             bound |= own
         return rows, bound
 
-    def compatible(self, left: DataFrame, right: DataFrame, lb: set[str], rb: set[str], how: str) -> tuple[DataFrame, list[str]]:
-        """Left and right (renamed) joined where shared variables agree or are unbound."""
-        shared = [c for c in left.columns if c in right.columns]
-        renamed = right.select(*[F.col(c).alias(f"__r_{c}") for c in right.columns])
-        condition = F.lit(True)
-        for c in shared:
-            same = F.col(c) == F.col(f"__r_{c}")
-            condition = condition & (same if c in lb and c in rb else F.col(c).isNull() | F.col(f"__r_{c}").isNull() | same)
-        return (left.join(renamed, condition, how) if shared else left.join(renamed, F.lit(True), how)), shared
+    def agreeing(self, left: DataFrame, right: DataFrame, sure: list[str], unsure: list[str], apart: bool) -> DataFrame:
+        """Pairs of left and right (columns __r_<name>) rows whose shared variables agree or are unbound. `sure` ones are
+        bound on both sides. Where there are none, rows are split by whether the first unsure one is bound, so that those
+        that bind it meet by its value and not by a nested loop; only unbound rows meet all others, unless `apart`:
+        then some variable must be bound on both sides."""
+        if sure or not unsure:
+            return left.join(right, _agree(sure, unsure))
+        v, rest = unsure[0], unsure[1:]
+        mine, theirs = F.col(v).isNotNull(), F.col(f"__r_{v}").isNotNull()
+        out = self.agreeing(left.where(mine), right.where(theirs), [v], rest, False)
+        if apart and not rest:
+            return out
+        out = out.unionByName(self.agreeing(left.where(mine), right.where(~theirs), [], rest, apart))
+        return out.unionByName(self.agreeing(left.where(~mine), right, [], rest, apart))
 
     def merged(self, left: DataFrame, right: DataFrame, lb: set[str], rb: set[str], how: str) -> DataFrame:
-        both, shared = self.compatible(left, right, lb, rb, how)
+        shared = [c for c in left.columns if c in right.columns]
+        sure = [c for c in shared if c in lb and c in rb]
+        unsure = [c for c in shared if c not in sure]
+        renamed = right.select(*[F.col(c).alias(f"__r_{c}") for c in right.columns])
         out = [F.coalesce(c, f"__r_{c}").alias(c) if c in shared else F.col(c) for c in left.columns]
-        return both.select(*out, *[F.col(f"__r_{c}").alias(c) for c in right.columns if c not in shared])
+        out += [F.col(f"__r_{c}").alias(c) for c in right.columns if c not in shared]
+        if how == "inner":
+            return self.agreeing(left, renamed, sure, unsure, False).select(*out)
+        if sure or not unsure:
+            return left.join(renamed, _agree(sure, unsure), "left").select(*out)
+        numbered = written(left.withColumn("__row", F.monotonically_increasing_id()))
+        met = self.agreeing(numbered, renamed, sure, unsure, False)
+        alone = numbered.join(met.select("__row").distinct(), "__row", "left_anti")
+        return met.select(*out).unionByName(alone.select(*left.columns), allowMissingColumns=True)
 
     def pattern(self, p: tuple) -> tuple[DataFrame, set[str]]:
         kind = p[0]
@@ -214,16 +231,11 @@ class _Compiler:
             return left, lb
         slim = right.select(*[F.col(c).alias(f"__r_{c}") for c in shared]).distinct()
         sure = [c for c in shared if c in lb and c in rb]
-        condition = F.lit(True)
-        for c in shared:
-            same = F.col(c) == F.col(f"__r_{c}")
-            condition = condition & (same if c in sure else F.col(c).isNull() | F.col(f"__r_{c}").isNull() | same)
-        if not sure:
-            some = F.lit(False)
-            for c in shared:
-                some = some | (F.col(c).isNotNull() & F.col(f"__r_{c}").isNotNull())
-            condition = condition & some
-        return left.join(slim, condition, "left_anti"), lb
+        if sure:
+            return left.join(slim, _agree(sure, [c for c in shared if c not in sure]), "left_anti"), lb
+        numbered = written(left.withColumn("__row", F.monotonically_increasing_id()))
+        met = self.agreeing(numbered, slim, [], shared, True).select("__row").distinct()
+        return numbered.join(met, "__row", "left_anti").drop("__row"), lb
 
     # -- expressions
 
@@ -386,6 +398,16 @@ class _Compiler:
         return rows.select(*[F.coalesce(unquoted(F.col(n)), F.lit("")).alias(n) if n in variables else F.lit("").alias(n) for n in names])
 
 
+def _agree(sure: list[str], unsure: list[str]) -> Column:
+    """Equal where bound on both sides for sure; equal or unbound on one side else."""
+    condition = F.lit(True)
+    for c in sure:
+        condition = condition & (F.col(c) == F.col(f"__r_{c}"))
+    for c in unsure:
+        condition = condition & (F.col(c).isNull() | F.col(f"__r_{c}").isNull() | (F.col(c) == F.col(f"__r_{c}")))
+    return condition
+
+
 def _filters_last(p: tuple) -> tuple:
     """A group's filters see all of its group."""
     filters, inner = [], p
