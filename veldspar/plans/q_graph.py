@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veldspar.functions import terms as R
 from veldspar.operators import graph as G
+from veldspar.operators import workspace as WS
 from veldspar.plans.catalog import query
 from veldspar.plans.q_records import read
 from veldspar.shared import written
@@ -323,3 +324,19 @@ def graph_event_summary(spark, sf_dir):
 @query(BASE + "SELECT src AS s, coalesce(property, label) AS p, dst AS o FROM e UNION ALL SELECT id, key, '\"' || value || '\"' FROM m UNION ALL SELECT id, 'rdfs:label', '\"' || label || '\"' FROM n")
 def sparql_dataset(spark, sf_dir):
     return G.dataset(graph(spark, sf_dir))
+
+
+@query(BASE + "SELECT e.id FROM e JOIN n a ON a.id = e.src JOIN n b ON b.id = e.dst WHERE a.role = 'type' OR b.role = 'type'")
+def graph_preset(spark, sf_dir):
+    g = graph(spark, sf_dir)
+    return G.visible_edges(g, facets=[WS.PRESETS[0].facet]).select("id")
+
+
+@query(BASE + "SELECT id, CASE WHEN id IN ('tp:Customer', 'tp:Supplier', 'tp:Party') THEN 'party' WHEN id = 'tp:OrderEvent' OR id = 'tp:Event' THEN 'event' ELSE 'none' END AS icon FROM n WHERE role = 'type'")
+def graph_class_icons(spark, sf_dir):
+    return G.class_icons(graph(spark, sf_dir), {"Party": "party", "Event": "event"}, "none")
+
+
+@query(BASE + f"SELECT id, i AS in_degree, o AS out_degree, i + o AS degree, (SELECT count(*) FROM m WHERE m.id = dg.id) AS fields FROM dg WHERE id = '{CUSTOMER}'")
+def graph_inspect(spark, sf_dir):
+    return G.inspected(graph(spark, sf_dir), CUSTOMER).select("id", "in_degree", "out_degree", "degree", F.size("fields").cast("bigint").alias("fields"))

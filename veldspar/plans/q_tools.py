@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veldspar.operators import geo as G
 from veldspar.operators import opsmetrics as O
+from veldspar.operators import profile as P
+from veldspar.operators import records as R
 from veldspar.operators import search as S
 from veldspar.operators import vector as X
 from veldspar.operators import versions as W
+from veldspar.operators import workspace as WS
 from veldspar.plans.catalog import query
 from veldspar.plans.q_records import read
+from veldspar.streaming import ops as ST
 
 QUERY = "the inging than"
 TOK = "list_filter(string_split_regex(lower({0}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda t: length(t) >= 2)"
@@ -261,3 +268,41 @@ def idx_leaderboard(spark, sf_dir):
 def idx_bitmap(spark, sf_dir):
     bits = read(spark, sf_dir, "events").groupBy("event_type", F.expr("bitmap_bucket_number(user_id)").alias("bucket")).agg(F.expr("bitmap_count(bitmap_construct_agg(bitmap_bit_position(user_id)))").alias("n"))
     return bits.groupBy("event_type").agg(F.sum("n").alias("users"))
+
+
+# -- streams, presets, bounds
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream: what is there now, in one run."""
+    schema = read(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("SELECT event_id, CASE WHEN value >= 50 THEN '[FAILED] ' ELSE '' END || event_type AS event_type FROM events WHERE value >= 40")
+def stream_slow(spark, sf_dir):
+    marked = _event_stream(spark, sf_dir).withColumn("failed", F.col("value") >= 50)
+    found = ST.slow(marked, 40, "value", "event_type", "failed").select("event_id", "event_type")
+    return ST.run_to_memory(found, f"slow_{uuid.uuid4().hex}")
+
+
+@query("SELECT strftime(time_bucket(INTERVAL 1 hour, ts), '%Y-%m-%d %H') AS start, count(*) AS operations FROM events GROUP BY 1")
+def stream_rates(spark, sf_dir):
+    rates = ST.rates(_event_stream(spark, sf_dir), window="1 hour", slide="1 hour")
+    return ST.run_to_memory(rates.select(F.date_format("start", "yyyy-MM-dd HH").alias("start"), "operations"), f"rates_{uuid.uuid4().hex}", "complete")
+
+
+@query("SELECT s[floor(len(s) * 0.025)::BIGINT + 1] AS low_c_acctbal, s[len(s) - floor(len(s) * 0.025)::BIGINT] AS high_c_acctbal FROM (SELECT list_sort(list(c_acctbal)) AS s FROM customer)")
+def robust_bounds(spark, sf_dir):
+    return WS.robust_bounds(read(spark, sf_dir, "customer"), ["c_acctbal"])
+
+
+@query("SELECT 'n_nationkey' AS path, 'number' AS type UNION ALL SELECT 'n_regionkey', 'number'")
+def profile_pick(spark, sf_dir):
+    nation = read(spark, sf_dir, "nation")
+    return WS.pick_fields(P.profile(nation.select(R.variant_row(nation).alias("v")), "v"), "KEY").select("path", "type")
+
+
+@query("SELECT unnest(['benchmark', 'conversations', 'customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier']) AS name")
+def source_tables(spark, sf_dir):
+    return spark.createDataFrame([(e.name,) for e in WS.load_entities(spark, sf_dir)], "name string")
