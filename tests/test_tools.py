@@ -26,6 +26,20 @@ def test_bm25_by_formula(spark):
     assert S.score(df, "id", ["title", "body"], "a !").collect() == []
 
 
+def test_index_scores_as_the_scans_do(spark, tmp_path):
+    docs = [(1, "Spark spark language", "a b1"), (2, "rust language", None), (3, "", "spark"), (4, None, None), (5, "language of spark", "rust rust"), (6, "the spark spark", "the")]
+    df = spark.createDataFrame(docs, "id int, title string, body string")
+    S.write_index(df, "id", ["title", "body"], str(tmp_path / "index"))
+    index = S.open_index(spark, str(tmp_path / "index"), ["title", "body"])
+    rows = lambda df: sorted(tuple(round(x, 9) for x in r) for r in df.select("id", "score", "score_title", "score_body").collect())
+    for query, mode in (("Spark spark x", "any"), ("language spark", "all"), ("rust lang", "phrase"), ("rust rust", "any"), ("rust rust", "all"), ("of spark", "phrase"), ("a !", "any"), ("absent", "all")):
+        assert rows(S.score_index(index, query, mode, df)) == rows(S.score(df, "id", ["title", "body"], query, mode)), query
+    with pytest.raises(ValueError, match="documents"):
+        S.score_index(index, "spark", "phrase")
+    empty = S.write_index(df.where("id > 9"), "id", ["title", "body"])
+    assert S.score_index(empty, "spark").collect() == []
+
+
 def test_ranges_and_highlights(spark):
     df = spark.createDataFrame([(1, "Café cafe CAFÉ"), (2, None)], "id int, t string")
     ranges = S.match_ranges(df, "id", "t", "cafe af")

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import unicodedata
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from veldspar.shared import new_path
+
 K1, B = 1.2, 0.75
 LIMIT = 100
 BETWEEN = r"[^\p{L}\p{M}\p{N}]+"
@@ -92,6 +95,59 @@ def _equals(word: str):
     return lambda t: t == word
 
 
+@dataclass(frozen=True)
+class Index:
+    """postings (field, term, id, tf, length of the field) in files sorted by term, so that a query reads the row groups
+    of its own terms; means (field, rows, mean): all rows, and the mean length of the field over them."""
+
+    postings: DataFrame
+    means: DataFrame
+    fields: tuple[str, ...]
+
+
+def write_index(df: DataFrame, id_col: str, fields: list[str], path: str | None = None) -> Index:
+    """The index of df, kept in `path` or in the shared folder. Ids are unique. Texts are cut once; ranges of (term, id)
+    split a term that very many rows hold."""
+    path = path or new_path(df.sparkSession, "index-*")
+    long = df.select(F.col(id_col).alias("id"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(df[f]).alias("terms")) for f in fields])).alias("x"))
+    each = long.select("id", "x.field", F.size("x.terms").alias("length"), F.explode("x.terms").alias("term"))
+    counted = each.groupBy("field", "term", "id").agg(F.count("*").alias("tf"), F.max("length").alias("length"))
+    counted.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{path}/postings")
+    rows = df.count()
+    written = df.sparkSession.read.parquet(f"{path}/postings")
+    written.groupBy("field").agg(F.lit(rows).alias("rows"), (F.sum("tf") / rows).alias("mean")).write.parquet(f"{path}/means")
+    return open_index(df.sparkSession, path, fields)
+
+
+def open_index(spark: SparkSession, path: str, fields: list[str]) -> Index:
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/means"), tuple(fields))
+
+
+def score_index(index: Index, query: str, mode: str = "any", docs: DataFrame | None = None, id_col: str = "id") -> DataFrame:
+    """(id, score, a score for each field) as score() gives them, from the postings of the query's terms alone. The mode
+    phrase reads the texts of `docs` too."""
+    words = query_tokens(query)
+    distinct = list(dict.fromkeys(words))
+    hits = index.postings.where(F.col("term").isin(distinct))
+    frequencies = hits.groupBy("field", "term").agg(F.count("*").alias("df"))  # a row for each field and term of the query
+    met = hits.join(F.broadcast(frequencies), ["field", "term"]).join(F.broadcast(index.means), "field")
+    times = F.lit(0)
+    for w in distinct:
+        times = F.when(F.col("term") == w, words.count(w)).otherwise(times)
+    idf = F.log((F.col("rows") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    value = times * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    own = [F.sum(F.when(F.col("field") == f, value).otherwise(0.0)).alias(f"score_{f}") for f in index.fields]
+    found = met.groupBy("id").agg(*own, F.size(F.collect_set("term")).alias("terms"))
+    if mode == "all":
+        found = found.where(F.col("terms") == len(distinct))
+    elif mode == "phrase":
+        if docs is None:
+            raise ValueError("the mode phrase needs the documents")
+        holds = [F.contains(F.lower(F.coalesce(docs[f], F.lit(""))), F.lit(query.lower())) for f in index.fields]
+        found = found.join(docs.where(F.array_contains(F.array(*holds), True)).select(F.col(id_col).alias("id")), "id", "left_semi")
+    return found.select("id", sum((F.col(f"score_{f}") for f in index.fields), F.lit(0.0)).alias("score"), *[f"score_{f}" for f in index.fields])
+
+
 def top(df: DataFrame, id_col: str, limit: int = LIMIT) -> DataFrame:
     return df.orderBy(F.col("score").desc(), F.col(id_col).asc()).limit(limit)
 

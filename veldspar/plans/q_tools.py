@@ -78,6 +78,32 @@ def bm25_postings(spark, sf_dir):
     return S.postings(_docs(spark, sf_dir), "doc_id", ["text", "source"])
 
 
+def _indexed(spark, sf_dir, query_text, mode="any"):
+    docs = _docs(spark, sf_dir)
+    index = S.write_index(docs, "doc_id", ["text", "source"])
+    return _top(S.score_index(index, query_text, mode, docs, "doc_id").withColumnRenamed("id", "doc_id"))
+
+
+@query(_bm25_sql(QUERY, "any", "SELECT doc_id, round(score, 6) AS score FROM best"))
+def bm25_index_any(spark, sf_dir):
+    return _indexed(spark, sf_dir, QUERY).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(_bm25_sql(QUERY, "all", "SELECT doc_id, round(score, 6) AS score FROM best"))
+def bm25_index_all(spark, sf_dir):
+    return _indexed(spark, sf_dir, QUERY, "all").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(_bm25_sql("of the", "phrase", "SELECT doc_id, round(score, 6) AS score FROM best"))
+def bm25_index_phrase(spark, sf_dir):
+    return _indexed(spark, sf_dir, "of the", "phrase").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(_bm25_sql("the src3 the", "any", "SELECT doc_id, round(score_text, 6) AS score_text, round(score_source, 6) AS score_source FROM best"))
+def bm25_index_fields(spark, sf_dir):
+    return _indexed(spark, sf_dir, "the src3 the").select("doc_id", F.round("score_text", 6).alias("score_text"), F.round("score_source", 6).alias("score_source"))
+
+
 @query(f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct FROM (SELECT doc_id, {TOK.format('text')} AS t FROM documents)")
 def text_tokens(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", S.tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"))
