@@ -335,5 +335,9 @@ def test_html_keeps_what_belongs_to_the_article():
     assert H.extract(f"<body><h1>Head</h1><article><p>{long}</article><h1>after</h1>").startswith("Head\n\nw w")
     assert H.extract("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds</article>") == "so x=2 holds"
     assert H.extract(f"<article><p>{long}<section class=related-work><p>Others did it.</section><div class='related'>r</div></article>").endswith("Others did it.")
+    for name in ("page-footer", "mainMenu", "article-sidebar", "post_share", "related-content", "text-ad", "story-notice", "comments", "comment-list"):
+        assert H.extract(f"<body><div><p>{long}</p><div class='{name}'><p>{'junk ' * 90}</div></div>") == long.strip(), name
+    for name in ("has-sidebar", "layout no-sidebar", "page-with-left-sidebar", "menu-open", "post comments-open", "has-comments", "article-header", "content widget", "navy"):
+        assert H.extract(f"<body><div class='{name}'><p>{long}</div>") == long.strip(), name
     deep = H.extract("<div>" * 20_000 + "deep")
     assert deep == "deep" and H.extract("<div class=a>" * 300 + "x" + "</div>" * 300 + "y", ["html>div.a"]) == "x\n\ny"

@@ -45,6 +45,10 @@ _JUNK = frozenset("ad ads advert advertisement advertising adsense sponsor spons
 _RELATED = re.compile(r"\brelated(?:[-_ ]?(?:posts?|articles?|links?|content|stor(?:y|ies)|items?|news|reading|products?|topics?|pages?|list|box|widget))?(?![-_\w])", re.I)
 _REPLIES = frozenset("comment comments disqus reply replies respond discussion".split())
 _GOOD = frozenset("article content main post story entry body text page".split())
+#: Headers of an article hold its headline.
+_HEADS = frozenset("header masthead".split())
+#: Words before and after such a name with which a class tells how the page is laid out: has-sidebar, comments-open.
+_FLAGS, _STATES = frozenset("has with no without show hide".split()), frozenset("open opened closed enabled disabled on off visible active".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^"'<>]|"[^"<]*"|'[^'<]*')*+)>""")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
@@ -122,11 +126,28 @@ def _is_junk(tag: str, attributes: dict[str, str]) -> bool:
     if "style" in attributes and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes["style"], re.I):
         return True
     own = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    names = {x.lower() for x in _NAME.findall(own)}
-    if names & _REPLIES or any(x.startswith("comment") for x in names):
+    words = [[x.lower() for x in _NAME.findall(token)] for token in own.split()]
+    if any(_names(x, _is_reply) for x in words):
         return True
-    junk = names & _JUNK or _RELATED.search(own) or any(_JUNK_NAME.search(x) for x in names)
-    return bool(junk) and not names & _GOOD and tag not in ("article", "main")
+    if tag in ("article", "main"):
+        return False
+    junk = [_names(x, _is_junk_word) and ((_is_junk_word(x[-1]) and x[-1] not in _HEADS) or _GOOD.isdisjoint(x)) for x in words]
+    # main-menu is a menu and page-footer a footer, but an element of several names is what its good one says
+    return bool(_RELATED.search(own)) or (any(junk) and all(bad or _GOOD.isdisjoint(x) for bad, x in zip(junk, words, strict=True)))
+
+
+def _is_reply(word: str) -> bool:
+    return word in _REPLIES or word.startswith("comment")
+
+
+def _is_junk_word(word: str) -> bool:
+    return word in _JUNK or bool(_JUNK_NAME.search(word))
+
+
+def _names(words: list[str], is_one: Callable[[str], bool]) -> bool:
+    """Whether a class or id names such a thing, and not only that the page has one or what state it is in."""
+    at = next((k for k, x in enumerate(words) if is_one(x)), None)
+    return at is not None and _FLAGS.isdisjoint(words[:at]) and not (words[-1] in _STATES and at < len(words) - 1)
 
 
 def parse(source: str) -> Page:
