@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from veldspar.functions import values as V
 from veldspar.operators import geo as G
 from veldspar.operators import opsmetrics as O
 from veldspar.operators import search as S
@@ -80,6 +81,15 @@ def test_geo(spark):
     assert G.bounds(points.where("id = 'tokyo'")).first()["span_lat"] == 0.01
 
 
+def test_rounded_numbers_read_as_printf_writes_them(spark):
+    metres = [17.0 * k for k in range(1, 3001)] + [0.5, 1.5, 2.5, 999.5, 1150.0, 1250.0, 2350.0, 1e12 + 50, 1e19]
+    df = spark.createDataFrame([(x,) for x in metres], "x double")
+    shown = df.select("x", G.distance_text(F.col("x")).alias("d"), V.fixed(F.col("x") / 1000, 2).alias("two"), V.fixed(-F.col("x") / 1024, 1).alias("below")).collect()
+    assert [r["d"] for r in shown] == ["%.0f m" % r["x"] if r["x"] < 1000 else "%.1f km" % (r["x"] / 1000) for r in shown]
+    assert [r["two"] for r in shown] == ["%.2f" % (r["x"] / 1000) for r in shown]
+    assert [r["below"] for r in shown] == ["%.1f" % (-r["x"] / 1024) for r in shown]
+
+
 def test_versions(spark):
     df = spark.createDataFrame([(1, 1, {"a": "x", "b": "y"}), (1, 2, {"a": "z", "c": "y"}), (2, 1, None)], "k int, v int, s map<string,string>")
     got = {(r["v"], r["field"]): r["change"] for r in W.history(df, "k", "v", "s").collect()}

@@ -185,13 +185,27 @@ def display(v: Column) -> Column:
     )
 
 
+def fixed(x: Column, digits: int, unit: str = "") -> Column:
+    """A double with so many decimals as C's printf rounds it, by its exact value and halves to even; Java's rounds the
+    shortest decimal that reads as the double, and halves up."""
+    scale = 10**digits
+    p = x * scale
+    c = x * 134_217_729  # 2**27 + 1 halves the bits, so that high * scale is exact
+    high = c - (c - x)
+    rest = (high * scale - p) + (x - high) * scale  # x * scale without rounding is p + rest
+    half = (F.abs(p - F.rint(p)) == 0.5) & (rest != 0)
+    whole = F.when(half, F.when(rest > 0, F.ceil(p)).otherwise(F.floor(p)).cast("double")).otherwise(F.rint(p))
+    return F.format_string(f"%.{digits}f{unit}", F.when(F.abs(p) < 2**51, whole / scale).otherwise(x))
+
+
 def short_number(x: Column) -> Column:
     """Chart labels: whole numbers below a million, M, K, else two decimals."""
+    x = x.cast("double")
     return (
-        F.when((x == F.round(x)) & (F.abs(x) < 1e6), F.format_string("%.0f", x))
-        .when(F.abs(x) >= 1e6, F.format_string("%.1fM", x / 1e6))
-        .when(F.abs(x) >= 1e3, F.format_string("%.1fK", x / 1e3))
-        .otherwise(F.format_string("%.2f", x))
+        F.when((x == F.round(x)) & (F.abs(x) < 1e6), fixed(x, 0))
+        .when(F.abs(x) >= 1e6, fixed(x / 1e6, 1, "M"))
+        .when(F.abs(x) >= 1e3, fixed(x / 1e3, 1, "K"))
+        .otherwise(fixed(x, 2))
     )
 
 

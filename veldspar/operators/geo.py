@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veldspar.functions import values as V
+
 EARTH_M = 6_371_008.8
 
 
@@ -39,4 +41,4 @@ def bounds(df: DataFrame, padding: float = 1.2, least: float = 0.01) -> DataFram
 
 
 def distance_text(metres: Column) -> Column:
-    return F.when(metres < 1000, F.format_string("%.0f m", metres)).otherwise(F.format_string("%.1f km", metres / 1000))
+    return F.when(metres < 1000, V.fixed(metres, 0, " m")).otherwise(V.fixed(metres / 1000, 1, " km"))

@@ -99,7 +99,7 @@ def hexdump(column: Column) -> Column:
 
 
 def byte_size(n: Column) -> Column:
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, F.format_string("%.1f KB", n / 1024)).otherwise(F.format_string("%.1f MB", n / (1024 * 1024)))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, V.fixed(n / 1024, 1, " KB")).otherwise(V.fixed(n / (1024 * 1024), 1, " MB"))
 
 
 def is_json_object(text: Column) -> Column:
