@@ -130,6 +130,15 @@ def test_streams(spark, tmp_path):
     assert spark.table("renewed").count() == 5
 
 
+def test_slow_operations_stay_off_the_driver(spark, tmp_path):
+    spark.createDataFrame([(datetime(2024, 1, 1, 0, 0, i), i / 10) for i in range(60)], "ts timestamp, seconds double").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, seconds double").parquet(str(tmp_path / "in"))
+    found = ST.run_to_files(ST.slow(stream, 5.5))
+    assert "FileScan parquet" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["seconds"] for r in found.collect()) == [5.5, 5.6, 5.7, 5.8, 5.9]
+    assert ST.run_to_files(ST.slow(stream, 99)).collect() == []
+
+
 def test_search_of_scripts_with_marks_and_of_all_fields(spark):
     df = spark.createDataFrame([(1, "यह हिन्दी है", None, 5), (2, None, "other_text", 6), (3, None, None, 7)], "id int, title string, body string, n int")
     assert S.query_tokens("हिन्दी, A_bc!") == ["हिन्दी", "bc"]

@@ -309,7 +309,7 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_slow(spark, sf_dir):
     marked = _event_stream(spark, sf_dir).withColumn("failed", F.col("value") >= 50)
     found = ST.slow(marked, 40, "value", "event_type", "failed").select("event_id", "event_type")
-    return ST.run_to_memory(found, f"slow_{uuid.uuid4().hex}")
+    return ST.run_to_files(found)
 
 
 @query("SELECT strftime(time_bucket(INTERVAL 1 hour, ts), '%Y-%m-%d %H') AS start, count(*) AS operations FROM events GROUP BY 1")

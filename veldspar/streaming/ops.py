@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from veldspar.shared import new_path
+
 #: Slow operations that are shown, and the seconds after which a table is renewed.
 SLOW_KEPT, REFRESH_SECONDS = 100, 5
 
@@ -43,7 +45,16 @@ def start(df: DataFrame, name: str, mode: str = "append", seconds: int = REFRESH
 
 
 def run_to_memory(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there now and gives its result table."""
+    """Runs a stream over what is there now and gives its result table, which the driver holds: for few rows."""
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return df.sparkSession.table(name)
+
+
+def run_to_files(df: DataFrame) -> DataFrame:
+    """Runs a stream that only appends over what is there now and gives its result as a table of the shared folder:
+    rows stay off the driver, however many there are."""
+    path = new_path(df.sparkSession, "stream-*")
+    q = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(path)
