@@ -123,3 +123,51 @@ def test_optionals_that_share_an_unbound_variable(spark, capsys):
     assert run("PREFIX ex: <ex:> " + both) == sorted(want)
     minus = "PREFIX ex: <ex:> SELECT ?s WHERE { ?s ex:p ?o OPTIONAL { ?s ex:q ?x } MINUS { ?t ex:r ?x } }"
     assert run(minus) == [("b",), ("c",)]
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+HUB = [(f"o{k}", "rdf:type", "ex:OrderEvent", k) for k in range(40)] + [("o1", "rdf:type", "ex:Event", 50), ("ex:OrderEvent", "rdfs:subClassOf", "ex:Event", 51), ("x", "p", "o2", 52), ("y", "rdf:type", "ex:Other", 53)]
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_events_of_a_hub(spark, monkeypatch, few):
+    """The rows of one class aren't sorted by it in one task, whether few or many ids meet them."""
+    monkeypatch.setattr(G, "BROADCAST_IDS", few)
+    g = G.from_triples(spark.createDataFrame(HUB, "s string, p string, o string, seq int"))
+    found = G.events(g)
+    assert "SortMergeJoin [type" not in planned(found) or "__part" in planned(found)
+    assert sorted(r["id"] for r in found.collect()) == sorted(f"o{k}" for k in range(40))
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_leaf_types_of_a_hub(spark, monkeypatch, few):
+    monkeypatch.setattr(G, "BROADCAST_IDS", few)
+    g = G.from_triples(spark.createDataFrame(HUB, "s string, p string, o string, seq int"))
+    want = sorted([(f"o{k}", "ex:OrderEvent") for k in range(40)] + [("y", "ex:Other")])
+    for graph in (g, G.Graph(g.nodes, g.edges)):
+        found = G.leaf_types(graph)
+        assert "SortMergeJoin [type" not in planned(found) or "__part" in planned(found)
+        assert sorted((r["id"], r["type"]) for r in found.collect()) == want
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_neighbours_of_a_hub(spark, monkeypatch, few):
+    monkeypatch.setattr(G, "BROADCAST_IDS", few)
+    g = G.from_triples(spark.createDataFrame(HUB, "s string, p string, o string, seq int"))
+    found = G.neighbourhood(g, "x", 3)
+    assert "SortMergeJoin [src" not in planned(found) or "__part" in planned(found)
+    assert sorted(r["id"] for r in found.collect()) == sorted(["x", "ex:OrderEvent", *(f"o{k}" for k in range(40))])
+    assert sorted(r["id"] for r in G.neighbourhood(g, "x", 1).collect()) == ["o2", "x"]
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_facets_at_a_hub(spark, monkeypatch, few):
+    monkeypatch.setattr(G, "BROADCAST_IDS", few)
+    g = G.from_triples(spark.createDataFrame(HUB, "s string, p string, o string, seq int"))
+    found = G.visible_edges(g, facets=[G.Facet("nodeRole", ("type",))])
+    assert "SortMergeJoin [dst" not in planned(found) or "__part" in planned(found)
+    assert found.count() == 43
+    assert [r["id"] for r in G.visible_edges(g, facets=[G.Facet("nodeRole", ("type",), exclude=True), G.Facet("nodeRole", ("instance",), exclude=True)]).where("kind = 'subClassOf'").collect()] == []
