@@ -41,6 +41,16 @@ def test_index_scores_as_the_scans_do(spark, tmp_path):
     assert S.score_index(empty, "spark").collect() == []
 
 
+def test_index_counts_terms_where_the_texts_are(spark):
+    """Only postings move, once: no shuffle counts tokens, and none samples for ranges."""
+    df = spark.createDataFrame([(1, "bb aa bb", "cc"), (2, "", None), (3, "aa", "aa aa")], "id int, title string, body string")
+    index = S.write_index(df, "id", ["title", "body"])
+    got = sorted(tuple(r) for r in index.postings.select("field", "term", "id", "tf", "length").collect())
+    assert got == [("body", "aa", 3, 2, 2), ("body", "cc", 1, 1, 1), ("title", "aa", 1, 1, 3), ("title", "aa", 3, 1, 1), ("title", "bb", 1, 2, 3)]
+    assert index.postings.where(F.col("key") != F.xxhash64("term")).count() == 0
+    assert "In(key" in S.score_index(index, "aa bb")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ranges_and_highlights(spark):
     df = spark.createDataFrame([(1, "Café cafe CAFÉ"), (2, None)], "id int, t string")
     ranges = S.match_ranges(df, "id", "t", "cafe af")

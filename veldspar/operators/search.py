@@ -13,6 +13,8 @@ from veldspar.shared import new_path
 
 K1, B = 1.2, 0.75
 LIMIT = 100
+#: Parts that a term's postings are dealt over.
+TERM_PARTS = 16
 BETWEEN = r"[^\p{L}\p{M}\p{N}]+"
 #: Letters with marks and the letters without, one for one, so that positions stay.
 MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
@@ -97,22 +99,31 @@ def _equals(word: str):
 
 @dataclass(frozen=True)
 class Index:
-    """postings (field, term, id, tf, length of the field) in files sorted by term, so that a query reads the row groups
-    of its own terms; means (field, rows, mean): all rows, and the mean length of the field over them."""
+    """postings (key, field, term, id, tf, length of the field) in files sorted by key, a hash of the term that sorts
+    without comparing texts, so that a query reads the row groups of its own terms; means (field, rows, mean): all rows, and the mean length of the field over them."""
 
     postings: DataFrame
     means: DataFrame
     fields: tuple[str, ...]
 
 
+def _counted(terms: Column) -> Column:
+    """Of sorted terms an array of (term, tf): where each run of equal ones starts, up to where the next does."""
+    n = F.size(terms)
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(terms, i) != F.get(terms, i - 1)))
+    runs = lambda at: F.transform(at, lambda i, k: F.struct(F.get(terms, i).alias("term"), (F.coalesce(F.get(at, k + 1), n) - i).cast("bigint").alias("tf")))
+    return F.when(n > 0, F.get(F.transform(F.array(starts), runs), F.lit(0)))  # the array of one binds the starts, which each run would work out again
+
+
 def write_index(df: DataFrame, id_col: str, fields: list[str], path: str | None = None) -> Index:
-    """The index of df, kept in `path` or in the shared folder. Ids are unique. Texts are cut once; ranges of (term, id)
-    split a term that very many rows hold."""
+    """The index of df, kept in `path` or in the shared folder. Ids are unique. Texts are cut once and counted where they
+    are, so that only postings move, once; a term's postings are dealt over parts, as very many rows may hold it."""
     path = path or new_path(df.sparkSession, "index-*")
-    long = df.select(F.col(id_col).alias("id"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(df[f]).alias("terms")) for f in fields])).alias("x"))
-    each = long.select("id", "x.field", F.size("x.terms").alias("length"), F.explode("x.terms").alias("term"))
-    counted = each.groupBy("field", "term", "id").agg(F.count("*").alias("tf"), F.max("length").alias("length"))
-    counted.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{path}/postings")
+    long = df.select(F.col(id_col).alias("id"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.sort_array(tokens(df[f])).alias("terms")) for f in fields])).alias("x"))
+    sized = long.select("id", "x.field", F.size("x.terms").alias("length"), "x.terms")
+    each = sized.select("id", "field", "length", F.explode(_counted(F.col("terms"))).alias("t")).select(F.xxhash64("t.term").alias("key"), "field", "t.term", "id", "t.tf", "length")
+    dealt = each.repartition("key", F.pmod(F.xxhash64("id"), F.lit(TERM_PARTS)))
+    dealt.sortWithinPartitions("key").write.parquet(f"{path}/postings")
     rows = df.count()
     written = df.sparkSession.read.parquet(f"{path}/postings")
     written.groupBy("field").agg(F.lit(rows).alias("rows"), (F.sum("tf") / rows).alias("mean")).write.parquet(f"{path}/means")
@@ -128,7 +139,7 @@ def score_index(index: Index, query: str, mode: str = "any", docs: DataFrame | N
     phrase reads the texts of `docs` too."""
     words = query_tokens(query)
     distinct = list(dict.fromkeys(words))
-    hits = index.postings.where(F.col("term").isin(distinct))
+    hits = index.postings.where(F.col("key").isin([F.xxhash64(F.lit(w)) for w in distinct]) & F.col("term").isin(distinct))
     frequencies = hits.groupBy("field", "term").agg(F.count("*").alias("df"))  # a row for each field and term of the query
     met = hits.join(F.broadcast(frequencies), ["field", "term"]).join(F.broadcast(index.means), "field")
     times = F.lit(0)
