@@ -171,3 +171,11 @@ def test_facets_at_a_hub(spark, monkeypatch, few):
     assert "SortMergeJoin [dst" not in planned(found) or "__part" in planned(found)
     assert found.count() == 43
     assert [r["id"] for r in G.visible_edges(g, facets=[G.Facet("nodeRole", ("type",), exclude=True), G.Facet("nodeRole", ("instance",), exclude=True)]).where("kind = 'subClassOf'").collect()] == []
+
+
+def test_optionals_find_lone_rows_by_values(spark):
+    """Which rows meet none is found by the distinct values of the other side, not by all pairs once more."""
+    rows = [("a", "p", "1"), ("b", "p", "2"), ("c", "p", "3"), ("a", "q", "x"), ("b", "q", "y"), ("t", "r", "x"), ("u", "r", "x")]
+    found = sparql.select(spark.createDataFrame(rows, "s string, p string, o string"), "SELECT ?s ?t WHERE { ?s <p> ?o OPTIONAL { ?s <q> ?x } OPTIONAL { ?t <r> ?x } }", "w3c")
+    assert "Aggregate(keys=[__r_x" in planned(found)
+    assert sorted(map(tuple, found.collect())) == [("a", "t"), ("a", "u"), ("b", ""), ("c", "t"), ("c", "u")]

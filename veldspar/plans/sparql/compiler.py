@@ -195,7 +195,9 @@ class _Compiler:
             return left.join(renamed, _agree(sure, unsure), "left").select(*out)
         numbered = written(left.withColumn("__row", F.monotonically_increasing_id()))
         met = self.agreeing(numbered, renamed, sure, unsure, False)
-        alone = numbered.join(met.select("__row").distinct(), "__row", "left_anti")
+        slim = renamed.select(*[f"__r_{c}" for c in unsure]).distinct()  # a row meets some row if it meets some value: no need of all pairs
+        some = self.agreeing(numbered.select("__row", *unsure), slim, [], unsure, False).select("__row").distinct()
+        alone = numbered.join(some, "__row", "left_anti")
         return met.select(*out).unionByName(alone.select(*left.columns), allowMissingColumns=True)
 
     def pattern(self, p: tuple) -> tuple[DataFrame, set[str]]:
