@@ -1,8 +1,11 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from veldspar.operators import graph as G
 from veldspar.plans import sparql
+from veldspar.shared import written
 
 FULL = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 
@@ -173,6 +176,44 @@ def test_facets_at_a_hub(spark, monkeypatch, few):
     assert [r["id"] for r in G.visible_edges(g, facets=[G.Facet("nodeRole", ("type",), exclude=True), G.Facet("nodeRole", ("instance",), exclude=True)]).where("kind = 'subClassOf'").collect()] == []
 
 
+def broadcast_parts(df):
+    return re.search(r"BroadcastHashJoin \[[^\]]*__part", planned(df))
+
+
+@pytest.mark.parametrize("how", ["left", "left_semi", "left_anti"])
+def test_many_ids_are_not_broadcast(spark, monkeypatch, how):
+    """More ids than may go to all tasks are sorted, however small their file looks, and only a hub's id is repeated."""
+    monkeypatch.setattr(G, "BROADCAST_IDS", 2)
+    monkeypatch.setattr(G, "HUB_ROWS", 10)
+    keys = ["hub"] * 95 + [f"k{k}" for k in range(30)] + [None]
+    known = ["hub", *(f"k{k}" for k in range(0, 60, 2))]
+    rows = spark.createDataFrame(list(zip(keys, range(len(keys)), strict=True)), "key string, n int")
+    ids = written(spark.createDataFrame([(k,) for k in known], "key string"))
+    found = G.at_hubs(rows, ids.withColumn("hit", F.lit(True)) if how == "left" else ids, "key", how)
+    assert not broadcast_parts(found)
+    assert [tuple(r) for r in G._hubs(rows, "key").collect()] == [("hub", 10)]
+    want = {"left": [(n, k in known or None) for n, k in enumerate(keys)], "left_semi": [(n,) for n, k in enumerate(keys) if k in known], "left_anti": [(n,) for n, k in enumerate(keys) if k not in known]}[how]
+    assert sorted(map(tuple, found.drop("key").collect())) == want
+
+
+@pytest.mark.parametrize(("few", "want"), [(100_000, ["k1", "k2", "k3", "k4", "k5"]), (4, ["k4", "k5"]), (0, [])])
+def test_hubs_are_few(spark, monkeypatch, few, want):
+    """Which keys are hubs goes to all tasks, so they are no more than ids may be."""
+    monkeypatch.setattr(G, "BROADCAST_IDS", few)
+    monkeypatch.setattr(G, "HUB_ROWS", 1)
+    rows = spark.createDataFrame([(f"k{k}",) for k in range(6) for _ in range(k + 1)], "key string")
+    assert sorted(r["key"] for r in G._hubs(rows, "key").collect()) == want
+
+
+def test_facets_by_metadata_of_many(spark, monkeypatch):
+    monkeypatch.setattr(G, "BROADCAST_IDS", 0)
+    triples = [(f"c{k}", "ex:in", f"n{k % 3}", k) for k in range(40)] + [(f"c{k}", "ex:segment", f'"{"AUTO" if k % 4 else "OTHER"}"', 100 + k) for k in range(40)]
+    g = G.from_triples(spark.createDataFrame(triples, "s string, p string, o string, seq int"))
+    found = G.apply_facets(g, [G.Facet("edgeLabel", ("in",)), G.Facet("metadataContains", ("segment", "auto"))])
+    assert not broadcast_parts(found)
+    assert sorted(r["src"] for r in found.collect()) == sorted(f"c{k}" for k in range(40) if k % 4)
+
+
 def test_optionals_find_lone_rows_by_values(spark):
     """Which rows meet none is found by the distinct values of the other side, not by all pairs once more."""
     rows = [("a", "p", "1"), ("b", "p", "2"), ("c", "p", "3"), ("a", "q", "x"), ("b", "q", "y"), ("t", "r", "x"), ("u", "r", "x")]
