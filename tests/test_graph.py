@@ -214,6 +214,18 @@ def test_facets_by_metadata_of_many(spark, monkeypatch):
     assert sorted(r["src"] for r in found.collect()) == sorted(f"c{k}" for k in range(40) if k % 4)
 
 
+def test_facets_exclude_many_by_degree(spark, monkeypatch):
+    """An edge goes if both ends are of high degree: many ids, among them hubs, whose edges are dealt out."""
+    monkeypatch.setattr(G, "BROADCAST_IDS", 2)
+    monkeypatch.setattr(G, "HUB_ROWS", 8)
+    triples = [(f"c{k}", "rdf:type", "ex:Customer", k) for k in range(20)] + [(f"c{k}", "ex:in", f"n{k % 2}", 100 + k) for k in range(20)] + [(f"o{k}", "ex:by", f"c{k % 7}", 200 + k) for k in range(35)]
+    g = G.from_triples(spark.createDataFrame(triples, "s string, p string, o string, seq int"))
+    found = G.apply_facets(g, [G.Facet("metricThreshold", ("degree", ">", 3), exclude=True)])
+    assert not broadcast_parts(found)
+    high = {"ex:Customer", "n0", "n1", *(f"c{k}" for k in range(7))}
+    assert sorted(r["id"] for r in found.collect()) == sorted(f"{s}-{p}-{o}" for s, p, o, _ in triples if not (s in high and o in high))
+
+
 def test_optionals_find_lone_rows_by_values(spark):
     """Which rows meet none is found by the distinct values of the other side, not by all pairs once more."""
     rows = [("a", "p", "1"), ("b", "p", "2"), ("c", "p", "3"), ("a", "q", "x"), ("b", "q", "y"), ("t", "r", "x"), ("u", "r", "x")]
