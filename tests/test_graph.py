@@ -226,6 +226,22 @@ def test_facets_exclude_many_by_degree(spark, monkeypatch):
     assert sorted(r["id"] for r in found.collect()) == sorted(f"{s}-{p}-{o}" for s, p, o, _ in triples if not (s in high and o in high))
 
 
+VISIBLE = [(f"c{k}", "ex:in", f"n{k % 2}", k) for k in range(20)] + [(f"c{k}", "ex:segment", f'"{"BUILDING" if k % 4 else "OTHER"}"', 100 + k) for k in range(20)] + [(f"c{k}", "rdf:type", "ex:Customer", 200 + k) for k in range(20)] + [("ex:Customer", "rdfs:subClassOf", "ex:Party", 300), ("ex:Customer", "ex:in", "n0", 301)]
+
+
+@pytest.mark.parametrize("few", [100_000, 2, 0])
+def test_visible_edges_of_many(spark, monkeypatch, few):
+    """Neither the edges of a class nor the many nodes that a text finds are gathered in one place."""
+    monkeypatch.setattr(G, "BROADCAST_IDS", few)
+    monkeypatch.setattr(G, "HUB_ROWS", 5)
+    g = G.from_triples(spark.createDataFrame(VISIBLE, "s string, p string, o string, seq int"))
+    for graph in (g, G.Graph(g.nodes, g.edges)):
+        found = G.visible_edges(graph, show_classes=False, text="build", facets=[G.Facet("edgeLabel", ("in",))])
+        assert "SortMergeJoin [dst" not in planned(found) or "__part" in planned(found)
+        assert not broadcast_parts(found)
+        assert sorted((r["src"], r["dst"]) for r in found.collect()) == sorted((f"c{k}", f"n{k % 2}") for k in range(20) if k % 4)
+
+
 def test_optionals_find_lone_rows_by_values(spark):
     """Which rows meet none is found by the distinct values of the other side, not by all pairs once more."""
     rows = [("a", "p", "1"), ("b", "p", "2"), ("c", "p", "3"), ("a", "q", "x"), ("b", "q", "y"), ("t", "r", "x"), ("u", "r", "x")]
