@@ -242,6 +242,18 @@ def test_visible_edges_of_many(spark, monkeypatch, few):
         assert sorted((r["src"], r["dst"]) for r in found.collect()) == sorted((f"c{k}", f"n{k % 2}") for k in range(20) if k % 4)
 
 
+@pytest.mark.parametrize("few", [100_000, 2, 0])
+def test_visible_nodes_of_many(spark, monkeypatch, few):
+    monkeypatch.setattr(G, "BROADCAST_IDS", few)
+    monkeypatch.setattr(G, "HUB_ROWS", 5)
+    g = G.from_triples(spark.createDataFrame(VISIBLE, "s string, p string, o string, seq int"))
+    edges = G.visible_edges(g, show_classes=False, text="build", facets=[G.Facet("edgeLabel", ("in",))])
+    found = G.visible_nodes(g, edges, "c0", show_classes=False)
+    assert "SortMergeJoin [dst" not in planned(found) or "__part" in planned(found)
+    assert not broadcast_parts(found)
+    assert sorted(r["id"] for r in found.collect()) == sorted(["n0", "n1", "c0", *(f"c{k}" for k in range(20) if k % 4)])
+
+
 def test_optionals_find_lone_rows_by_values(spark):
     """Which rows meet none is found by the distinct values of the other side, not by all pairs once more."""
     rows = [("a", "p", "1"), ("b", "p", "2"), ("c", "p", "3"), ("a", "q", "x"), ("b", "q", "y"), ("t", "r", "x"), ("u", "r", "x")]
